@@ -314,3 +314,124 @@ def core_oracle() -> dict[str, str]:
 
 def all_oracle() -> dict[str, str]:
     return core_oracle()
+
+
+def _model_ctes() -> str:
+    names = feature_names()
+    corr_cols = ", ".join(f'corr(cast("{c}" as double), session_value) as "{c}"' for c in names)
+    return f"""
+lab as (select distinct user_session, session_value from clk where split = 'train'),
+trn as (select f.*, lab.session_value from feat f left join lab using (user_session) where f.split = 'train'),
+tst as (select * from feat where split = 'test'),
+corrs as (select {corr_cols} from trn where session_value is not null),
+sc as (select feature, case when c is null or isnan(c) then 0.0 else abs(c) end as score
+       from (unpivot corrs on columns(*) into name feature value c)),
+top as (select feature, score, cast(row_number() over (order by floor(score * 1e9 + 0.5) desc, feature) as integer) as rank
+        from sc qualify rank <= 25),
+fo as (select user_session, cast((row_number() over (order by md5(user_session || ':42'), user_session) - 1) % 5 as integer) as fold
+       from (select distinct user_session from trn)),
+d as (select t.user_session, fo.fold, t.session_value, cast(t.event_type_count as double) as x
+      from trn t join fo using (user_session) where t.session_value is not null),
+per as (select fold, cast(count(*) as double) as n, sum(x) as sx, sum(session_value) as sy,
+               sum(x * session_value) as sxy, sum(x * x) as sxx from d group by fold),
+oth as (select p.fold, t.n - p.n as n, t.sx - p.sx as sx, t.sy - p.sy as sy, t.sxy - p.sxy as sxy, t.sxx - p.sxx as sxx
+        from per p cross join (select sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxy) as sxy, sum(sxx) as sxx from per) t),
+pb as (select fold, sx, sy, n, case when n * sxx - sx * sx <> 0 then (n * sxy - sx * sy) / (n * sxx - sx * sx) else 0.0 end as b from oth),
+prm as (select fold, b, (sy - b * sx) / n as a from pb),
+oof as (select d.user_session, d.fold, d.session_value, prm.a + prm.b * d.x as prediction from d join prm using (fold)),
+tp as (select t.user_session, sum(prm.a + prm.b * cast(t.event_type_count as double)) / 5 as prediction
+       from tst t cross join prm group by t.user_session),
+med as (select median(session_value) as v from clean where split = 'train' and user_session is not null),
+sub as (
+  select user_session, prediction as session_value, 'model' as source from tp
+  union all
+  select distinct user_session, session_value, 'common' from clk
+    where split = 'train' and user_session in (select user_session from tri where session_class = 'common')
+  union all
+  select user_session, (select v from med), 'placeholder' from tri where session_class = 'anomalous' and in_test = 1)"""
+
+
+def _cat_case(col: str) -> str:
+    rules = [
+        ("Temporal", ("time", "hour", "duration", "minute", "second")),
+        ("Product/Category", ("product", "category")),
+        ("Event/Behavior", ("view", "buy", "cart", "event")),
+        ("Conversion/Ratio", ("ratio", "rate", "conversion")),
+        ("Aggregation", ("count", "nunique", "sum")),
+        ("Engagement", ("diversity", "exploration", "efficiency")),
+    ]
+    parts = " ".join(
+        f"when {' or '.join(f'contains(lower({col}), {chr(39)}{w}{chr(39)})' for w in ws)} then '{name}'"
+        for name, ws in rules
+    )
+    return f"case {parts} else 'Other' end"
+
+
+def model_oracle() -> dict[str, str]:
+    m = with_ctes(TRIAGE_SQL, FEATURE_SQL, _model_ctes())
+    names = feature_names()
+    train_num = _num(names)
+    long_sel = f"""select user_session, split, feature, {r6('value')} as value from
+        (unpivot (select * exclude (session_value) from {{src}}) on {{cols}} into name feature value value)
+        where feature in (select feature from top)"""
+    cols_all = ", ".join(f'"{c}"' for c in names)
+    z_src = f"""(select user_session, split, feature, value from
+        (unpivot (select user_session, split, {cols_all} from feat) on {cols_all} into name feature value value)
+        where feature in (select feature from top))"""
+    return {
+        "attach_label": f"select user_session, split, {r6('session_value')} as session_value, {train_num} from trn",
+        "numeric_columns": f"select user_session, {train_num} from trn",
+        "sample_rows": f"""select user_session, {r6('session_value')} as session_value from trn
+            order by md5(user_session || ':42'), user_session limit 5000""",
+        "top_features": f"select feature, {r6('score')} as score, rank from top",
+        "select_features": m + " " + f"""select user_session, split, feature, {r6('value')} as value from {z_src}""",
+        "standardize": m + " " + f"""select user_session, split, feature, {r6('z')} as z_tmp from (
+            select v.user_session, v.split, v.feature,
+              (v.value - s.mu) / (case when s.sd is null or s.sd = 0 then 1.0 else s.sd end) as z
+            from {z_src} v join (select feature, avg(value) as mu, stddev_pop(value) as sd from {z_src}
+              where split = 'train' group by feature) s using (feature))""".replace("as z_tmp", "as value"),
+        "kfold_assign": "select user_session, fold from fo",
+        "fold_metrics": f"""select fold, n, {r6('rmse')} as rmse, {r6('avg(rmse) over ()')} as rmse_mean,
+            {r6('stddev_pop(rmse) over ()')} as rmse_std from (
+            select fold, count(*) as n, sqrt(avg((session_value - prediction) * (session_value - prediction))) as rmse
+            from oof group by fold)""",
+        "oof_metrics": f"""select {r6('sqrt(mse)')} as oof_rmse, {r6('mse')} as oof_mse from (
+            select avg((session_value - prediction) * (session_value - prediction)) as mse from oof)""",
+        "prediction_stats": f"""select {r6('min(prediction)')} as pred_min, {r6('max(prediction)')} as pred_max,
+            {r6('avg(prediction)')} as pred_mean, {r6('median(prediction)')} as pred_median,
+            {r6('stddev_pop(prediction)')} as pred_std from tp""",
+        "feature_categories": f"select feature, {r6('score')} as score, {_cat_case('feature')} as category from sc",
+        "category_report": f"""select category, n_features, rank_in_category, feature, {r6('score')} as score,
+            greatest(n_features - 3, 0) as n_more from (
+            select category, count(*) over (partition by category) as n_features,
+              cast(row_number() over (partition by category order by floor(score * 1e9 + 0.5) desc, feature) as integer)
+                as rank_in_category, feature, score
+            from (select feature, score, {_cat_case('feature')} as category from top where rank <= 20))
+            where rank_in_category <= 3""",
+        "assemble_submission": f"select user_session, {r6('session_value')} as session_value, source from sub",
+        "clip_negative": f"""select user_session, {r6('case when session_value < 0 then 0.0 else session_value end')}
+            as session_value from sub""",
+        "coverage_check": """select t.n as n_test_sessions, s.n as n_submission_sessions,
+            (select count(*) from (select distinct user_session from clk where split = 'test')
+               where user_session not in (select user_session from sub)) as n_missing,
+            (select count(*) from (select distinct user_session from sub)
+               where user_session not in (select user_session from clk where split = 'test')) as n_extra,
+            t.n = s.n as counts_match
+            from (select count(distinct user_session) as n from clk where split = 'test') t,
+                 (select count(distinct user_session) as n from sub) s""",
+        "profile_shapes": """select stage, n_rows, n_cols from (
+            select 'events_' || split as stage, count(*) as n_rows, 9 as n_cols from clk group by split
+            union all select 'clean_' || split, count(*), 9 from clean group by split
+            union all select 'anomalous_test', count(*), 9 from clk where split = 'test'
+              and user_session in (select user_session from anom_ids)
+            union all select 'model_' || split, count(*), 9 from mev group by split
+            union all select 'features_' || split, count(*), 113 from feat group by split)""",
+    }
+
+
+def all_oracle() -> dict[str, str]:  # noqa: F811
+    out = core_oracle()
+    m = with_ctes(TRIAGE_SQL, FEATURE_SQL, _model_ctes())
+    for k, v in model_oracle().items():
+        out[k] = v if v.startswith("with ") else f"{m} {v}"
+    return out

@@ -120,3 +120,138 @@ def core_queries() -> dict[str, Query]:
 
 def all_queries() -> dict[str, Query]:
     return core_queries()
+
+
+# ---------------------------------------------------------------- model side
+from clickflow.config import shared_dir  # noqa: E402
+from clickflow.operators import model as M  # noqa: E402
+from clickflow.operators import select as S  # noqa: E402
+from clickflow.operators import submit as U  # noqa: E402
+from clickflow.operators.features import feature_names  # noqa: E402
+from clickflow.schema import LABEL  # noqa: E402
+
+
+class Ctx:
+    """The pipeline pieces one query needs, built lazily from the tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.events = _events(spark, sf_dir)
+        self.triage = TR.triage_sessions(self.events)
+        self.features = session_features(self.events, TR.session_ids(self.triage, TR.MODEL))
+        self.train = S.attach_label(self.features, self.events)
+        self.test = self.features.where(F.col("split") == "test")
+        self.cols = feature_names()
+
+    def scores(self) -> DataFrame:
+        return S.correlation_scores(self.train, self.cols)
+
+    def top_names(self, n: int = 25) -> list[str]:
+        rows = S.top_features(self.scores(), n).orderBy("rank").select("feature").collect()
+        return [r.feature for r in rows]
+
+    def folds(self) -> DataFrame:
+        return M.kfold_assign(self.train)
+
+    def standin(self):
+        return M.fold_ols_predictions(self.train, self.test, self.folds())
+
+    def submission(self) -> DataFrame:
+        _, test_pred = self.standin()
+        return U.assemble_submission(
+            test_pred,
+            TR.common_answers(self.events, self.triage),
+            TR.placeholder_predictions(self.events, self.triage),
+        )
+
+
+def _long(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.unpivot([SESSION, "split"], names, "feature", "value")
+
+
+def q_select_features(spark, d):
+    c = Ctx(spark, d)
+    names = c.top_names()
+    return rounded(_long(S.select_features(c.features, names), names))
+
+
+def q_standardize(spark, d):
+    c = Ctx(spark, d)
+    names = c.top_names()
+    tr, te = M.standardize(S.select_features(c.train, names), S.select_features(c.test, names), names)
+    return rounded(_long(tr.unionByName(te), names))
+
+
+def q_fit_forest(spark, d):
+    c = Ctx(spark, d)
+    model = S.fit_forest(S.sample_rows(c.train), c.cols)
+    return S.forest_importance(spark, model, c.cols)
+
+
+def q_cross_fit(spark, d):
+    c = Ctx(spark, d)
+    names = c.top_names()
+    tr, te = M.standardize(S.select_features(c.train, names + [LABEL]), S.select_features(c.test, names), names)
+    oof, test_pred, _ = M.cross_fit(tr, te, c.folds(), names)
+    return oof.select(SESSION, F.lit("oof").alias("kind"), "prediction").unionByName(
+        test_pred.select(SESSION, F.lit("test").alias("kind"), "prediction")
+    )
+
+
+def q_mean_importance(spark, d):
+    c = Ctx(spark, d)
+    names = c.top_names()
+    tr, te = M.standardize(S.select_features(c.train, names + [LABEL]), S.select_features(c.test, names), names)
+    _, _, models = M.cross_fit(tr, te, c.folds(), names)
+    return M.mean_importance(spark, models, names)
+
+
+def q_write_submission(spark, d):
+    c = Ctx(spark, d)
+    path = shared_dir(spark, "submission")
+    U.write_submission(U.clip_negative(c.submission()), path)
+    return spark.read.option("header", True).schema(f"{SESSION} string, {LABEL} double").csv(path)
+
+
+def q_profile_shapes(spark, d):
+    c = Ctx(spark, d)
+    return c_profile(c)
+
+
+def c_profile(c: Ctx) -> DataFrame:
+    """Rows and columns of each stage, from one aggregate over the events
+    joined with the session classes, plus the feature tables."""
+    from clickflow.sources.io import profile_shapes
+
+    return profile_shapes(c.events, c.triage, c.features)
+
+
+def model_queries() -> dict[str, Query]:
+    return {
+        "attach_label": lambda s, d: rounded(Ctx(s, d).train),
+        "numeric_columns": lambda s, d: rounded(
+            (lambda c: c.train.select(SESSION, *S.numeric_columns(c.train)))(Ctx(s, d))
+        ),
+        "sample_rows": lambda s, d: rounded(S.sample_rows(Ctx(s, d).train).select(SESSION, LABEL)),
+        "fit_forest": q_fit_forest,
+        "top_features": lambda s, d: rounded(S.top_features(Ctx(s, d).scores())),
+        "select_features": q_select_features,
+        "standardize": q_standardize,
+        "kfold_assign": lambda s, d: Ctx(s, d).folds(),
+        "cross_fit": q_cross_fit,
+        "fold_metrics": lambda s, d: rounded(M.fold_metrics(Ctx(s, d).standin()[0])),
+        "oof_metrics": lambda s, d: rounded(M.oof_metrics(Ctx(s, d).standin()[0])),
+        "mean_importance": q_mean_importance,
+        "prediction_stats": lambda s, d: rounded(M.prediction_stats(Ctx(s, d).standin()[1])),
+        "feature_categories": lambda s, d: rounded(S.feature_categories(Ctx(s, d).scores())),
+        "category_report": lambda s, d: rounded(S.category_report(Ctx(s, d).scores())),
+        "assemble_submission": lambda s, d: rounded(Ctx(s, d).submission()),
+        "clip_negative": lambda s, d: rounded(U.clip_negative(Ctx(s, d).submission()).select(SESSION, LABEL)),
+        "coverage_check": lambda s, d: (lambda c: U.coverage_check(c.events, c.submission()))(Ctx(s, d)),
+        "write_submission": q_write_submission,
+        "profile_shapes": q_profile_shapes,
+    }
+
+
+def all_queries() -> dict[str, Query]:  # noqa: F811
+    return {**core_queries(), **model_queries()}
