@@ -8,8 +8,10 @@ Per-feature statistics are one-row aggregates (bounded by the feature count).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.regression import GBTRegressor
+from pyspark import StorageLevel
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,22 @@ def kfold_assign(train: DataFrame, k: int = N_FOLDS, seed: int = SEED, bucket_ch
     return ranked.select(SESSION, ((F.col("_off") + F.col("_rn") - 1) % k).cast("int").alias("fold"))
 
 
+def forest_factory(cols: Sequence[str], seed: int = SEED, num_trees: int = 50, max_depth: int = 8):
+    """Default regressor of the cross-fit: a regression forest (MLlib). Its
+    trees grow level by level in one pass over the data per level, so a fold
+    costs about ``max_depth`` jobs."""
+    rf = RandomForestRegressor(
+        featuresCol="features", labelCol=LABEL, seed=seed, numTrees=num_trees, maxDepth=max_depth
+    )
+
+    def fit(df: DataFrame):
+        return rf.fit(assemble(df, cols))
+
+    return fit
+
+
 def gbt_factory(cols: Sequence[str], seed: int = SEED, max_iter: int = 20, max_depth: int = 5):
-    """Default regressor of the cross-fit: gradient-boosted trees (MLlib)."""
+    """Gradient-boosted trees (MLlib): sequential rounds, one job chain each."""
     gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=seed, maxIter=max_iter, maxDepth=max_depth)
 
     def fit(df: DataFrame):
@@ -74,18 +90,21 @@ def cross_fit(
     cols: Sequence[str],
     fit: Callable[[DataFrame], object] | None = None,
     k: int = N_FOLDS,
+    parallelism: int | None = None,
 ) -> tuple[DataFrame, DataFrame, list]:
     """M3: for each fold, fit on the other folds, predict the held-out rows
     (out-of-fold) and the test rows; the test prediction is the mean over
     folds. Returns (oof: session, fold, label, prediction;
     test: session, prediction; fitted models)."""
-    fit = fit or gbt_factory(cols)
-    data = train.join(folds, SESSION).where(F.col(LABEL).isNotNull()).cache()
-    test_x = assemble(test, cols).select(SESSION, "features").cache()
-    oof_parts, test_parts, models = [], [], []
-    for f in range(k):
-        model = fit(data.where(F.col("fold") != f))
-        models.append(model)
+    fit = fit or forest_factory(cols)
+    data = train.join(folds, SESSION).where(F.col(LABEL).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    test_x = assemble(test, cols).select(SESSION, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    # The k fits are independent Spark jobs: submit them from k driver threads
+    # (as CrossValidator's ``parallelism``) so small folds share the cores.
+    with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
+        models = list(pool.map(lambda f: fit(data.where(F.col("fold") != f)), range(k)))
+    oof_parts, test_parts = [], []
+    for f, model in enumerate(models):
         held = assemble(data.where(F.col("fold") == f), cols)
         oof_parts.append(model.transform(held).select(SESSION, "fold", LABEL, "prediction"))
         test_parts.append(model.transform(test_x).select(SESSION, F.lit(f).alias("fold"), "prediction"))

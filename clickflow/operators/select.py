@@ -91,19 +91,21 @@ def correlation_scores(train: DataFrame, cols: Sequence[str], label: str = LABEL
     """Stand-in ranking score, |Pearson correlation| with the label (0 when
     undefined): one aggregate over the train rows, then unpivoted to
     (feature, score). Deterministic, so the ranking steps can be checked in SQL."""
-    y = F.col(label)
-
-    def safe_corr(c: str) -> Column:
-        x = F.col(f"`{c}`").cast("double")
-        # Pearson r from population moments; ANSI mode raises on a zero variance
-        # inside ``corr``, so divide with try_divide (null -> score 0).
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    aggs = [safe_corr(c).alias(c) for c in cols]
-    wide = train.where(F.col(label).isNotNull()).agg(*aggs)
-    long = wide.unpivot([], list(cols), "feature", "corr")
+    # Long (feature, x, y) rows aggregated by feature: a narrow codegen
+    # aggregate, combined map-side to one row per feature and task (a single
+    # aggregate with three moments per column is too wide to compile).
+    rows = train.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]
+    )
+    long = rows.unpivot(["_y"], list(cols), "feature", "_x")
+    x, y = F.col("_x"), F.col("_y")
+    # Pearson r from population moments; ANSI mode raises on a zero variance
+    # inside ``corr``, so divide with try_divide (null -> score 0).
+    r = long.groupBy("feature").agg(
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("corr")
+    )
     score = F.when(F.isnan("corr") | F.col("corr").isNull(), F.lit(0.0)).otherwise(F.abs("corr"))
-    return long.select("feature", score.alias("score"))
+    return r.select("feature", score.alias("score"))
 
 
 def _rank_key(score: str) -> Column:

@@ -123,7 +123,9 @@ def all_queries() -> dict[str, Query]:
 
 
 # ---------------------------------------------------------------- model side
-from clickflow.config import shared_dir  # noqa: E402
+from pyspark import StorageLevel  # noqa: E402
+
+from clickflow.config import materialize, shared_dir  # noqa: E402
 from clickflow.operators import model as M  # noqa: E402
 from clickflow.operators import select as S  # noqa: E402
 from clickflow.operators import submit as U  # noqa: E402
@@ -138,8 +140,11 @@ class Ctx:
         self.spark = spark
         self.events = _events(spark, sf_dir)
         self.triage = TR.triage_sessions(self.events)
-        self.features = session_features(self.events, TR.session_ids(self.triage, TR.MODEL))
-        self.train = S.attach_label(self.features, self.events)
+        # Read by every later step (labels, ranking, scaling, folds, fits):
+        # checkpointed once, so later plans start from a scan of it instead of
+        # re-planning and re-running the whole feature lineage.
+        self.features = materialize(session_features(self.events, TR.session_ids(self.triage, TR.MODEL)))
+        self.train = materialize(S.attach_label(self.features, self.events))
         self.test = self.features.where(F.col("split") == "test")
         self.cols = feature_names()
 

@@ -28,15 +28,21 @@ def scan_events(spark: SparkSession, path: str, fmt: str | None = None, strict:
     AnalysisException (PATH_NOT_FOUND), which is left to surface (S2)."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "csv":
-        raw = spark.read.schema(RAW_EVENT_SCHEMA).option("header", True).csv(path)
+        raw = _spread(spark.read.schema(RAW_EVENT_SCHEMA).option("header", True).csv(path))
         return raw.withColumn("event_time", parse_event_time("event_time", strict))
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+    return _spread(spark.read.schema(EVENT_SCHEMA).parquet(path))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    from clickflow.config import spread_small_input
+
+    return spread_small_input(df)
+
+
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived click events (FIXTURES.md F-1) in the event schema.
 
@@ -46,7 +52,7 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     session. AQE picks broadcast or a skew-split sort-merge join from the
     measured size of the per-session side.
     """
-    ev = table(spark, sf_dir, "events")
+    ev = _spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
     e = ev.select(
         "event_id",
         F.col("ts").alias("event_time"),
