@@ -52,8 +52,9 @@ def finite_or_zero(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         if f.name in keep or not isinstance(f.dataType, T.NumericType):
             out.append(col)
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            bad = F.isnan(col) | (F.abs(col) == F.lit(float("inf")))
-            out.append(F.coalesce(F.when(~bad, col), F.lit(0.0)).alias(f.name))
+            # One comparison: false for NaN (greater than +inf in Spark), for
+            # +-inf and for null, so all three become 0.
+            out.append(F.when(F.abs(col) < F.lit(float("inf")), col).otherwise(F.lit(0.0)).alias(f.name))
         else:
             out.append(F.coalesce(col, F.lit(0).cast(f.dataType)).alias(f.name))
     return df.select(*out)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickflow.functions.expr import c, equal_width_bin, finite_or_zero, flag, hour_bin, ratio
-from clickflow.operators.sequence import event_calendar, micros, sequence_stats
+from clickflow.operators.sequence import TYPE_CODES, event_calendar, micros, sequence_stats
 from clickflow.schema import EVENT_TYPES, SESSION
 
 BASE_COLUMNS = (
@@ -58,9 +58,11 @@ def session_aggregates(events: DataFrame, event_types: Sequence[str] = EVENT_TYP
     """The main per-session aggregate."""
     ev = event_calendar(events.where(F.col(SESSION).isNotNull()))
     et = F.col("event_type")
-    key = F.when(et.isNotNull(), F.struct("event_time", "event_id"))
+    # Split as a code (0 train, 1 test): a fixed-width buffer keeps this a
+    # hash aggregate (a string min would force a sort-based one).
+    split_code = F.when(F.col("split") == "train", 0).when(F.col("split") == "test", 1).otherwise(2)
     return ev.groupBy(SESSION).agg(
-        F.min("split").alias("_split"),
+        F.min(split_code).alias("_split_code"),
         F.min(micros()).alias("_t_min"),
         F.max(micros()).alias("_t_max"),
         F.count("product_id").alias("product_id_count"),
@@ -79,8 +81,6 @@ def session_aggregates(events: DataFrame, event_types: Sequence[str] = EVENT_TYP
         F.expr("cast(bit_count(bit_or(shiftleft(1L, day))) as bigint)").alias("day_nunique"),
         F.count(F.lit(1)).alias("event_order_max"),
         *[F.count_if(et == t).alias(t) for t in type_columns(event_types)],
-        F.min_by("event_type", key).alias("_first_type"),
-        F.max_by("event_type", key).alias("_last_type"),
         F.bool_or(et == "VIEW").alias("_has_view"),
         F.bool_or(et == "ADD_CART").alias("_has_cart"),
         F.bool_or(et == "BUY").alias("_has_buy"),
@@ -118,6 +118,8 @@ def session_core(events: DataFrame, event_types: Sequence[str] = EVENT_TYPES) ->
         (F.col("event_type_nunique") + F.col("_event_type_hasnull")).cast("long"),
     )
     seq = sequence_stats(events)
+    split = F.when(F.col("_split_code") == 0, "train").when(F.col("_split_code") == 1, "test")
+    agg = agg.withColumn("_split", split)
     return agg.join(vc, SESSION, "left").join(seq, SESSION, "left")
 
 
@@ -181,7 +183,8 @@ def _project(t: DataFrame, event_types: Sequence[str], keep_split: bool) -> Data
     zero_if_missing = lambda name: F.coalesce(c(name), F.lit(0))
     cnt = {ty: c(ty) for ty in types}
     view, cart, remove, buy = (cnt.get(k, F.lit(0)) for k in ("VIEW", "ADD_CART", "REMOVE_CART", "BUY"))
-    first, last = c("_first_type"), c("_last_type")
+    first, last = c("_first_code"), c("_last_code")
+    codes = TYPE_CODES
     has_view, has_cart, has_buy = (F.coalesce(c(k), F.lit(False)) for k in ("_has_view", "_has_cart", "_has_buy"))
 
     cols = [c(SESSION)]
@@ -223,13 +226,13 @@ def _project(t: DataFrame, event_types: Sequence[str], keep_split: bool) -> Data
         flag(c("day_of_week_max") >= 5).alias("ends_weekend"),
         flag((c("day_of_week_min") < 5) & (c("day_of_week_max") >= 5)).alias("crosses_weekend"),
         # D5
-        flag(F.coalesce(first == "VIEW", F.lit(False))).alias("first_event_is_view"),
-        flag(F.coalesce(first == "ADD_CART", F.lit(False))).alias("first_event_is_cart"),
-        flag(F.coalesce(first == "BUY", F.lit(False))).alias("first_event_is_buy"),
-        flag(F.coalesce(last == "VIEW", F.lit(False))).alias("last_event_is_view"),
-        flag(F.coalesce(last == "BUY", F.lit(False))).alias("last_event_is_buy"),
-        flag(F.coalesce(last == "ADD_CART", F.lit(False))).alias("last_event_is_cart"),
-        flag(F.coalesce((first == "VIEW") & (last == "BUY"), F.lit(False))).alias("view_to_buy_direct"),
+        flag(F.coalesce(first == codes["VIEW"], F.lit(False))).alias("first_event_is_view"),
+        flag(F.coalesce(first == codes["ADD_CART"], F.lit(False))).alias("first_event_is_cart"),
+        flag(F.coalesce(first == codes["BUY"], F.lit(False))).alias("first_event_is_buy"),
+        flag(F.coalesce(last == codes["VIEW"], F.lit(False))).alias("last_event_is_view"),
+        flag(F.coalesce(last == codes["BUY"], F.lit(False))).alias("last_event_is_buy"),
+        flag(F.coalesce(last == codes["ADD_CART"], F.lit(False))).alias("last_event_is_cart"),
+        flag(F.coalesce((first == codes["VIEW"]) & (last == codes["BUY"]), F.lit(False))).alias("view_to_buy_direct"),
         flag(has_view & has_cart & has_buy).alias("view_cart_buy_funnel"),
         flag(has_view & has_buy).alias("has_view_and_buy"),
         flag(has_cart & has_buy).alias("has_cart_and_buy"),

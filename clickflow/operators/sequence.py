@@ -46,15 +46,18 @@ def event_calendar(events: DataFrame) -> DataFrame:
     )
 
 
-def ordered_events(events: DataFrame, extra: tuple[str, ...] = ("category_id",)) -> DataFrame:
+def ordered_events(
+    events: DataFrame, extra: tuple[str, ...] = ("category_id",), carry: tuple = ()
+) -> DataFrame:
     """Each event with its order in the session and its predecessor.
 
-    Output: session, event_id, ``_t`` (µs), ``extra`` columns, ``event_order``
-    (1-based), ``_prev_t`` and ``_prev_<c>`` for each extra column, and
-    ``_has_prev``.
+    Output: session, event_id, ``_t`` (µs), ``extra`` and ``carry`` columns,
+    ``event_order`` (1-based), ``_prev_t`` and ``_prev_<c>`` for each extra
+    column, and ``_has_prev``. ``carry`` are columns (or named expressions)
+    passed through without a predecessor.
     """
     spark = events.sparkSession
-    cols = [SESSION, "event_id", micros().alias("_t"), *extra]
+    cols = [SESSION, "event_id", micros().alias("_t"), *extra, *carry]
     base = events.where(F.col(SESSION).isNotNull()).select(*cols)
     # Block ids are checkpointed: range bounds come from a sample, so a second
     # evaluation of the exchange could cut the blocks elsewhere.
@@ -70,33 +73,51 @@ def ordered_events(events: DataFrame, extra: tuple[str, ...] = ("category_id",))
         F.lag("_t").over(w).alias("_lt"),
         *[F.lag(c).over(w).alias(f"_l_{c}") for c in extra],
     )
-    last = F.struct("_t", *extra)
+    # Per block: size and last event (max_by on the row number: fixed-width
+    # buffers, so a hash aggregate on the window's own partitioning).
     blocks = win.groupBy(SESSION, _BLK).agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by(last, F.struct("_t", "event_id")).alias("_last")
+        F.max("_rn").alias("_n"),
+        F.max_by("_t", "_rn").alias("_bt"),
+        *[F.max_by(c, "_rn").alias(f"_b_{c}") for c in extra],
     )
     bw = Window.partitionBy(SESSION).orderBy(_BLK)
     fix = blocks.select(
         SESSION,
         _BLK,
-        F.coalesce(
-            F.sum("_n").over(bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-        F.lag("_last").over(bw).alias("_pb"),
+        F.coalesce(F.sum("_n").over(bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.lag(_BLK).over(bw).isNotNull().alias("_pb"),
+        F.lag("_bt").over(bw).alias("_pbt"),
+        *[F.lag(f"_b_{c}").over(bw).alias(f"_pb_{c}") for c in extra],
     )
     j = win.join(fix, [SESSION, _BLK])
     first = F.col("_rn") == 1
+    carried = [c if isinstance(c, str) else c._jc.toString() for c in carry]
+    carried = [n.split(" AS ")[-1].strip("`") for n in carried]
     return j.select(
         SESSION,
         "event_id",
         "_t",
         *extra,
+        *carried,
         (F.col("_off") + F.col("_rn")).alias("event_order"),
-        F.when(first, F.col("_pb._t")).otherwise(F.col("_lt")).alias("_prev_t"),
-        *[F.when(first, F.col(f"_pb.{c}")).otherwise(F.col(f"_l_{c}")).alias(f"_prev_{c}") for c in extra],
-        (~first | F.col("_pb").isNotNull()).alias("_has_prev"),
+        F.when(first, F.col("_pbt")).otherwise(F.col("_lt")).alias("_prev_t"),
+        *[F.when(first, F.col(f"_pb_{c}")).otherwise(F.col(f"_l_{c}")).alias(f"_prev_{c}") for c in extra],
+        (~first | F.col("_pb")).alias("_has_prev"),
     )
 
 
+# Integer codes of the event vocabulary (any other non-null type is 4).
+TYPE_CODES = {"VIEW": 0, "ADD_CART": 1, "REMOVE_CART": 2, "BUY": 3}
+
+
+def type_code(col: Column) -> Column:
+    """Event type as a small int (fixed-width aggregate buffers)."""
+    expr = None
+    for name, code in TYPE_CODES.items():
+        expr = F.when(col == name, code) if expr is None else expr.when(col == name, code)
+    return F.when(col.isNull(), F.lit(None).cast("int")).otherwise(expr.otherwise(4)).cast("int")
+
+
 def _differs(a: str, b: str) -> Column:
     """pandas ``a != b``: true when either side is null (NaN != NaN)."""
     return ~F.coalesce(F.col(a) == F.col(b), F.lit(False))
@@ -152,13 +173,19 @@ def sequence_stats(events: DataFrame) -> DataFrame:
     "gap > lo-th smallest gap"; that order statistic comes from a bounded
     radix select on integer microseconds.
     """
-    o = ordered_events(events, ("category_id",))
+    o = ordered_events(events, ("category_id",), (type_code(F.col("event_type")).alias("_code"),))
     gap_us = F.when(F.col("_has_prev"), F.col("_t") - F.col("_prev_t"))
     sw = F.when(F.col("_has_prev") & _differs("category_id", "_prev_category_id"), 1).otherwise(0)
-    o = o.select(SESSION, gap_us.alias("_g"), sw.alias("_sw"))
+    # One checkpoint of the per-event result: the statistics and the radix
+    # select read it instead of each re-running the block windows.
+    o = materialize(o.select(SESSION, gap_us.alias("_g"), sw.alias("_sw"), "_code", "event_order"))
     # Mean, min, max and sum on integer microseconds (exact), then to seconds.
     g = F.col("_g")
+    order = F.when(F.col("_code").isNotNull(), F.col("event_order"))
     stats = o.groupBy(SESSION).agg(
+        # First / last non-null event type, by the unique event order.
+        F.min_by("_code", order).alias("_first_code"),
+        F.max_by("_code", order).alias("_last_code"),
         F.count("_g").alias("_m"),
         (F.avg(g) / 1e6).alias("avg_time_between_events"),
         F.stddev_samp(g / 1e6).alias("std_time_between_events"),
@@ -189,4 +216,6 @@ def sequence_stats(events: DataFrame) -> DataFrame:
         ],
         F.when(has, F.col("_m") - F.col("n_le")).otherwise(F.lit(0)).cast("long").alias("long_pauses_count"),
         "category_switch_count",
+        "_first_code",
+        "_last_code",
     )
