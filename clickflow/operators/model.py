@@ -138,9 +138,9 @@ def fold_ols_predictions(
     o = {c: F.col(f"t_{c}") - F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx")}
     den = o["n"] * o["sxx"] - o["sx"] * o["sx"]
     b = F.when(den != 0, (o["n"] * o["sxy"] - o["sx"] * o["sy"]) / den).otherwise(F.lit(0.0))
-    params = per.crossJoin(tot).select("fold", b.alias("b"), o["sy"].alias("_sy"), o["sx"].alias("_sx"), o["n"].alias("_n"))
-    params = params.select("fold", "b", ((F.col("_sy") - F.col("b") * F.col("_sx")) / F.col("_n")).alias("a"))
-    pred = F.col("a") + F.col("b") * xv
+    params = per.crossJoin(tot).select("fold", b.alias("_b"), o["sy"].alias("_sy"), o["sx"].alias("_sx"), o["n"].alias("_n"))
+    params = params.select("fold", "_b", ((F.col("_sy") - F.col("_b") * F.col("_sx")) / F.col("_n")).alias("_a"))
+    pred = F.col("_a") + F.col("_b") * xv
     oof = data.join(F.broadcast(params), "fold").select(SESSION, "fold", LABEL, pred.alias("prediction"))
     test_pred = (
         test.select(SESSION, x)
