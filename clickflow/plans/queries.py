@@ -193,6 +193,13 @@ def q_fit_forest(spark, d):
     return S.forest_importance(spark, model, c.cols)
 
 
+def q_shap_importance(spark, d):
+    from clickflow.operators.shap import shap_ranking
+
+    c = Ctx(spark, d)
+    return shap_ranking(spark, c.train, c.cols)
+
+
 def q_cross_fit(spark, d):
     c = Ctx(spark, d)
     names = c.top_names()
@@ -239,6 +246,7 @@ def model_queries() -> dict[str, Query]:
         ),
         "sample_rows": lambda s, d: rounded(S.sample_rows(Ctx(s, d).train).select(SESSION, LABEL)),
         "fit_forest": q_fit_forest,
+        "shap_importance": q_shap_importance,
         "top_features": lambda s, d: rounded(S.top_features(Ctx(s, d).scores())),
         "select_features": q_select_features,
         "standardize": q_standardize,

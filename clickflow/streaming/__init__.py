@@ -1,0 +1,4 @@
+"""No streaming operators: the reference has no streams, watermarks, windows
+over event time or state. Session features are batch statistics (per-split
+quantiles and bins need the whole split), so this package is empty on purpose.
+"""

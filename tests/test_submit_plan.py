@@ -26,7 +26,7 @@ def test_coverage_lists_missing(make_events, spark):
 
 def test_registry_and_oracle_keys():
     q, o = entry.queries(), entry.oracle_sql()
-    no_oracle = {"fit_forest", "cross_fit", "mean_importance", "write_submission"}
+    no_oracle = {"fit_forest", "shap_importance", "cross_fit", "mean_importance", "write_submission"}
     assert set(o) == set(q) - no_oracle
     assert len(q) >= 60
 
