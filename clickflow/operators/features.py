@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from clickflow.functions.expr import c, equal_width_bin, finite_or_zero, flag, hour_bin, ratio
 from clickflow.operators.sequence import TYPE_CODES, event_calendar, micros, sequence_stats
+from clickflow.operators.triage import MODEL, session_class, triage_aggregates
 from clickflow.schema import EVENT_TYPES, SESSION
 
 BASE_COLUMNS = (
@@ -84,6 +85,8 @@ def session_aggregates(events: DataFrame, event_types: Sequence[str] = EVENT_TYP
         F.bool_or(et == "VIEW").alias("_has_view"),
         F.bool_or(et == "ADD_CART").alias("_has_cart"),
         F.bool_or(et == "BUY").alias("_has_buy"),
+        # T10 in the same aggregate: the session class needs no second pass.
+        *triage_aggregates(),
     )
 
 
@@ -119,7 +122,7 @@ def session_core(events: DataFrame, event_types: Sequence[str] = EVENT_TYPES) ->
     )
     seq = sequence_stats(events)
     split = F.when(F.col("_split_code") == 0, "train").when(F.col("_split_code") == 1, "test")
-    agg = agg.withColumn("_split", split)
+    agg = agg.withColumn("_split", split).withColumn("_class", session_class())
     return agg.join(vc, SESSION, "left").join(seq, SESSION, "left")
 
 
@@ -153,14 +156,19 @@ def session_features(
     sessions: DataFrame | None = None,
     event_types: Sequence[str] = EVENT_TYPES,
     keep_split: bool = True,
+    model_only: bool = False,
 ) -> DataFrame:
     """``user_session`` (+ ``split``) and 112 features per session.
 
-    ``sessions``: optional one-column table of session ids to keep (e.g. the
-    model sessions of triage); statistics are then computed over those only,
-    per split, as the reference computes them per input frame.
+    ``sessions``: optional one-column table of session ids to keep;
+    ``model_only``: keep the model sessions of triage (classified inside the
+    same aggregate). Statistics are computed over the kept sessions only, per
+    split, as the reference computes them per input frame.
     """
     core = session_core(events, event_types)
+    if model_only:
+        # Triage class from the same aggregate: keep the modelled sessions.
+        core = core.where(F.col("_class") == MODEL)
     if sessions is not None:
         core = core.join(sessions.select(SESSION), SESSION, "left_semi")
     stats = _activity_stats(core)

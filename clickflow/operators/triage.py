@@ -24,36 +24,43 @@ def _in(split: str, col: str) -> F.Column:
     return F.when(F.col("split") == split, F.col(col))
 
 
-def triage_sessions(events: DataFrame) -> DataFrame:
-    """One row per session: split presence, per-split anomaly, class.
-
-    anomalous: more than one user id within the train rows or within the test
-    rows (counted per split, so user A in train and B in test is not flagged);
-    common: clean and present in both splits; model: the rest.
-    """
-    agg = (
-        events.where(F.col(SESSION).isNotNull())
-        .groupBy(SESSION)
-        .agg(
-            F.max((F.col("split") == "train").cast("int")).alias("in_train"),
-            F.max((F.col("split") == "test").cast("int")).alias("in_test"),
-            F.min(_in("train", "user_id")).alias("_tr_min"),
-            F.max(_in("train", "user_id")).alias("_tr_max"),
-            F.min(_in("test", "user_id")).alias("_te_min"),
-            F.max(_in("test", "user_id")).alias("_te_max"),
-        )
-    )
-    tr_anom = F.coalesce(F.col("_tr_min") != F.col("_tr_max"), F.lit(False))
-    te_anom = F.coalesce(F.col("_te_min") != F.col("_te_max"), F.lit(False))
-    anom = tr_anom | te_anom
+def triage_aggregates() -> list[F.Column]:
+    """Per-session aggregate columns the classification needs: split presence
+    and per-split min/max user id (all algebraic, combined map-side)."""
+    return [
+        F.max((F.col("split") == "train").cast("int")).alias("in_train"),
+        F.max((F.col("split") == "test").cast("int")).alias("in_test"),
+        F.min(_in("train", "user_id")).alias("_tr_min"),
+        F.max(_in("train", "user_id")).alias("_tr_max"),
+        F.min(_in("test", "user_id")).alias("_te_min"),
+        F.max(_in("test", "user_id")).alias("_te_max"),
+    ]
+
+
+def _anomalous(split: str) -> F.Column:
+    lo, hi = ("_tr_min", "_tr_max") if split == "train" else ("_te_min", "_te_max")
+    return F.coalesce(F.col(lo) != F.col(hi), F.lit(False))
+
+
+def session_class() -> F.Column:
+    """anomalous: more than one user id within the train rows or within the
+    test rows (counted per split, so user A in train and B in test is not
+    flagged); common: clean and present in both splits; model: the rest."""
+    anom = _anomalous("train") | _anomalous("test")
     common = ~anom & (F.col("in_train") == 1) & (F.col("in_test") == 1)
+    return F.when(anom, ANOMALOUS).when(common, COMMON).otherwise(MODEL)
+
+
+def triage_sessions(events: DataFrame) -> DataFrame:
+    """One row per session: split presence, per-split anomaly, class."""
+    agg = events.where(F.col(SESSION).isNotNull()).groupBy(SESSION).agg(*triage_aggregates())
     return agg.select(
         SESSION,
         "in_train",
         "in_test",
-        tr_anom.cast("int").alias("anomalous_train"),
-        te_anom.cast("int").alias("anomalous_test"),
-        F.when(anom, ANOMALOUS).when(common, COMMON).otherwise(MODEL).alias("session_class"),
+        _anomalous("train").cast("int").alias("anomalous_train"),
+        _anomalous("test").cast("int").alias("anomalous_test"),
+        session_class().alias("session_class"),
     )
 
 

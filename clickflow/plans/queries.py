@@ -46,8 +46,7 @@ def _model_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir)
-    return session_features(ev, TR.session_ids(TR.triage_sessions(ev), TR.MODEL))
+    return session_features(_events(spark, sf_dir), model_only=True)
 
 
 def _group(name: str) -> Query:
@@ -75,7 +74,7 @@ def q_session_gap_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def q_activity_quantiles(spark: SparkSession, d: str) -> DataFrame:
     ev = _events(spark, d)
-    core = session_core(ev).join(TR.session_ids(TR.triage_sessions(ev), TR.MODEL), SESSION, "left_semi")
+    core = session_core(ev).where(F.col("_class") == TR.MODEL)
     return rounded(activity_quantiles(core))
 
 
@@ -143,7 +142,7 @@ class Ctx:
         # Read by every later step (labels, ranking, scaling, folds, fits):
         # checkpointed once, so later plans start from a scan of it instead of
         # re-planning and re-running the whole feature lineage.
-        self.features = materialize(session_features(self.events, TR.session_ids(self.triage, TR.MODEL)))
+        self.features = materialize(session_features(self.events, model_only=True))
         self.train = materialize(S.attach_label(self.features, self.events))
         self.test = self.features.where(F.col("split") == "test")
         self.cols = feature_names()
