@@ -4,8 +4,8 @@ Path-dependent TreeSHAP (Lundberg, Erion and Lee, 2018, algorithm 2) over the
 trees of a fitted MLlib forest. The node table (bounded by the model size)
 is read from the saved model and broadcast; rows are explained inside
 ``mapInPandas``. The recursion visits the same nodes for every row - only
-which child is "hot" differs - so it runs once per tree and Arrow batch with
-per-row numpy vectors. Each batch emits per-feature sums of |phi| and a row
+which child is "hot" differs - so it runs once per tree and Arrow batch on
+(path element x row) numpy arrays. Each batch emits per-feature sums of |phi| and a row
 count, and the importance is their grouped mean: one row per feature leaves a
 task, whatever the number of rows explained.
 """
@@ -56,31 +56,35 @@ def forest_tables(spark, model) -> list[dict]:
     return trees
 
 
-def _extend(d, z, o, w, pz, po, pi, n):
-    ln = len(d)
-    d, z, o = d + [pi], z + [pz], o + [po]
-    w = [x.copy() for x in w] + [np.ones(n) if ln == 0 else np.zeros(n)]
-    for i in range(ln - 1, -1, -1):
-        w[i + 1] = w[i + 1] + po * w[i] * (i + 1) / (ln + 1)
-        w[i] = pz * w[i] * (ln - i) / (ln + 1)
-    return d, z, o, w
-
-
-def _unwound(z, o, w, i):
-    """Weights after removing path element i (the UNWIND step)."""
-    ln = len(w) - 1
-    oi, zi = o[i], z[i]
+def _extend(d, z, o, w, pz, po, pi):
+    """EXTEND: append (pi, pz, po) to the path. The sequential update has the
+    closed form w'[i] = pz w[i] (L-i)/(L+1) + po w[i-1] i/(L+1), so it is two
+    array operations over (path element, row)."""
+    ln, n = w.shape
+    nw = np.zeros((ln + 1, n))
+    nw[ln] = 1.0 if ln == 0 else 0.0
+    if ln:
+        idx = np.arange(ln)[:, None]
+        nw[:ln] += pz * w * (ln - idx) / (ln + 1)
+        nw[1:] += po[None, :] * w * (idx + 1) / (ln + 1)
+    return d + [pi], np.append(z, pz), np.vstack([o, po[None, :]]), nw
+
+
+def _unwind_rows(z, o, w, sel):
+    """UNWIND for the path elements ``sel`` at once: weights of the path
+    without each of them, shape (len(sel), L, rows)."""
+    ln = w.shape[0] - 1
+    oi, zi = o[sel], z[sel][:, None]
     nz = oi != 0
-    nvec = w[ln].copy()
-    out = [None] * ln
+    safe_o = np.where(nz, oi, 1.0)
+    nvec = np.repeat(w[ln][None, :], len(sel), axis=0)
+    out = np.empty((len(sel), ln, w.shape[1]))
     with np.errstate(divide="ignore", invalid="ignore"):
         for j in range(ln - 1, -1, -1):
-            t = w[j]
-            hot = nvec * (ln + 1) / ((j + 1) * np.where(nz, oi, 1.0))
-            cold = t * (ln + 1) / (zi * (ln - j))
-            wj = np.where(nz, hot, cold)
+            t = w[j][None, :]
+            wj = np.where(nz, nvec * (ln + 1) / ((j + 1) * safe_o), t * (ln + 1) / (zi * (ln - j)))
             nvec = np.where(nz, t - wj * zi * (ln - j) / (ln + 1), nvec)
-            out[j] = wj
+            out[:, j] = wj
     return out
 
 
@@ -92,11 +96,13 @@ def tree_shap(x: np.ndarray, tree: dict, phi: np.ndarray) -> float:
     value, cover = tree["value"], tree["cover"]
 
     def recurse(j, d, z, o, w, pz, po, pi):
-        d, z, o, w = _extend(d, z, o, w, pz, po, pi, n)
+        d, z, o, w = _extend(d, z, o, w, pz, po, pi)
         if left[j] < 0:
-            for i in range(1, len(d)):
-                s = np.sum(_unwound(z, o, w, i), axis=0)
-                phi[:, d[i]] += s * (o[i] - z[i]) * value[j]
+            if len(d) > 1:
+                sel = np.arange(1, len(d))
+                sums = _unwind_rows(z, o, w, sel).sum(axis=1)  # (elements, rows)
+                contrib = sums * (o[sel] - z[sel][:, None]) * value[j]
+                phi[:, np.asarray(d[1:])] += contrib.T  # path features are distinct
             return
         f = int(feat[j])
         goes_left = (x[:, f] <= thr[j]).astype(float)
@@ -104,13 +110,13 @@ def tree_shap(x: np.ndarray, tree: dict, phi: np.ndarray) -> float:
         if f in d[1:]:
             k = d.index(f, 1)
             iz, io = z[k], o[k]
-            w = _unwound(z, o, w, k)
-            d, z, o = d[:k] + d[k + 1 :], z[:k] + z[k + 1 :], o[:k] + o[k + 1 :]
+            w = _unwind_rows(z, o, w, np.array([k]))[0]
+            d, z, o = d[:k] + d[k + 1 :], np.delete(z, k), np.delete(o, k, axis=0)
         lj, rj = int(left[j]), int(right[j])
         recurse(lj, d, z, o, w, iz * cover[lj] / cover[j], io * goes_left, f)
         recurse(rj, d, z, o, w, iz * cover[rj] / cover[j], io * (1.0 - goes_left), f)
 
-    recurse(0, [], [], [], [], 1.0, np.ones(n), -1)
+    recurse(0, [], np.zeros(0), np.zeros((0, n)), np.zeros((0, n)), 1.0, np.ones(n), -1)
     leaves = left < 0
     return float(np.sum(value[leaves] * cover[leaves]) / cover[0])
 
