@@ -64,7 +64,13 @@ def forest_factory(cols: Sequence[str], seed: int = SEED, num_trees: int = 50, m
     trees grow level by level in one pass over the data per level, so a fold
     costs about ``max_depth`` jobs."""
     rf = RandomForestRegressor(
-        featuresCol="features", labelCol=LABEL, seed=seed, numTrees=num_trees, maxDepth=max_depth
+        featuresCol="features",
+        labelCol=LABEL,
+        seed=seed,
+        numTrees=num_trees,
+        maxDepth=max_depth,
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
     )
 
     def fit(df: DataFrame):

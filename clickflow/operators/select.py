@@ -72,6 +72,10 @@ def fit_forest(
         seed=seed,
         featureSubsetStrategy="all",
         maxBins=max_bins,
+        # Larger split-statistics budget per task: fewer passes per tree level;
+        # node ids are cached (and checkpointed) instead of re-routed each level.
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
     )
     return rf.fit(assemble(train.where(F.col(LABEL).isNotNull()), cols))
 
