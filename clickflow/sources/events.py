@@ -12,8 +12,9 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clickflow.schema import EVENT_SCHEMA, RAW_EVENT_SCHEMA, SESSION
+from clickflow.schema import EVENT_SCHEMA, LABEL, RAW_EVENT_SCHEMA, SESSION
 
 
 def parse_event_time(col: Column | str, strict: bool = True) -> Column:
@@ -33,6 +34,31 @@ def scan_events(spark: SparkSession, path: str, fmt: str | None = None, strict:
     return _spread(spark.read.schema(EVENT_SCHEMA).parquet(path))
 
 
+def scan_splits(
+    spark: SparkSession, train_path: str, test_path: str, fmt: str | None = None, strict: bool = True
+) -> DataFrame:
+    """S1 for the two-file layout (train with labels, test without): both
+    read with the fixed schema and tagged with ``split``."""
+    fields = [f for f in EVENT_SCHEMA.fields if f.name != "split"]
+
+    def read(path: str, split: str) -> DataFrame:
+        kind = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+        if kind == "csv":
+            raw = T.StructType(
+                [T.StructField(f.name, T.StringType() if f.name == "event_time" else f.dataType, True) for f in fields]
+            )
+            df = spark.read.schema(raw).option("header", True).csv(path)
+            df = df.withColumn("event_time", parse_event_time("event_time", strict))
+        else:
+            df = spark.read.parquet(path)
+            if LABEL not in df.columns:
+                df = df.withColumn(LABEL, F.lit(None).cast("double"))
+            df = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+        return _spread(df).withColumn("split", F.lit(split))
+
+    return read(train_path, "train").unionByName(read(test_path, "test"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
