@@ -122,8 +122,6 @@ def all_queries() -> dict[str, Query]:
 
 
 # ---------------------------------------------------------------- model side
-from pyspark import StorageLevel  # noqa: E402
-
 from clickflow.config import materialize, shared_dir  # noqa: E402
 from clickflow.operators import model as M  # noqa: E402
 from clickflow.operators import select as S  # noqa: E402
