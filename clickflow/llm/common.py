@@ -155,14 +155,14 @@ def shingle_sets(col: pa.Array, width: int) -> Iterator[np.ndarray]:
     for k in range(width):
         full[: n - k] += words[k:] * np.uint64((0xD1342543DE82EF95 * (2 * k + 1) | 1) & MASK)
     full = mix(full)
-    for a, b in zip(first[:-1], first[1:]):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= width:
             yield np.unique(full[a : b - width + 1])
         elif b > a:
-            short = np.uint64((b - a) * 0x632BE59BD9B4E019 & MASK)
+            short = np.array([(b - a) * 0x632BE59BD9B4E019 & MASK], np.uint64)
             for k in range(a, b):
-                short = mix(np.array([short + words[k] * np.uint64((0xD1342543DE82EF95 * (2 * (k - a) + 1) | 1) & MASK)]))[0]
-            yield np.array([short], np.uint64)
+                short = mix(short + words[k : k + 1] * np.uint64((0xD1342543DE82EF95 * (2 * (k - a) + 1) | 1) & MASK))
+            yield short
         else:
             yield np.empty(0, np.uint64)
 

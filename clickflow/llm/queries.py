@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from clickflow.llm.html import op9_html_extraction
 from clickflow.llm.language import op3_language_id
+from clickflow.llm.ngram_join import op2_ngram_jaccard
 from clickflow.llm.toxicity import op8_toxicity
 
 QUERIES = (
+    op2_ngram_jaccard,
     op3_language_id,
     op8_toxicity,
     op9_html_extraction,
