@@ -70,6 +70,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, store: Store, key: str, tex
     """(key, n_tokens, p: array of posteriors) of every document, and the domain names in array order."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("w", words("text"))
     known = labelled.where(F.col("domain").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain"))
+    known = known.join(rows.select("id"), "id", "left_semi")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     domains = sorted(counts)
     if len(domains) < 2:

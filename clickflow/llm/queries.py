@@ -5,11 +5,13 @@ from __future__ import annotations
 from clickflow.llm.decontaminate import op4_decontaminate
 from clickflow.llm.html import op9_html_extraction
 from clickflow.llm.language import op3_language_id
+from clickflow.llm.line_dedup import op1_line_dedup
 from clickflow.llm.mixing import op7_mixing
 from clickflow.llm.ngram_join import op2_ngram_jaccard
 from clickflow.llm.toxicity import op8_toxicity
 
 QUERIES = (
+    op1_line_dedup,
     op2_ngram_jaccard,
     op3_language_id,
     op4_decontaminate,
