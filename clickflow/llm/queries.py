@@ -8,6 +8,7 @@ from clickflow.llm.language import op3_language_id
 from clickflow.llm.line_dedup import op1_line_dedup
 from clickflow.llm.mixing import op7_mixing
 from clickflow.llm.ngram_join import op2_ngram_jaccard
+from clickflow.llm.suffix_dedup import op6_suffix_dedup
 from clickflow.llm.toxicity import op8_toxicity
 
 QUERIES = (
@@ -15,6 +16,7 @@ QUERIES = (
     op2_ngram_jaccard,
     op3_language_id,
     op4_decontaminate,
+    op6_suffix_dedup,
     op7_mixing,
     op8_toxicity,
     op9_html_extraction,
