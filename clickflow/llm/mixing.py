@@ -68,9 +68,10 @@ def lexicon_of(sample: DataFrame, domain: str, most: int) -> list[str]:
 
 def posteriors(docs: DataFrame, labelled: DataFrame, store: Store, key: str, text: str, sample: int, lexicon: int):
     """(key, n_tokens, p: array of posteriors) of every document, and the domain names in array order."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("w", words("text"))
+    plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = plain.withColumn("w", words("text"))
     known = labelled.where(F.col("domain").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain"))
-    known = known.join(rows.select("id"), "id", "left_semi")
+    known = known.join(plain.select("id"), "id", "left_semi")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     domains = sorted(counts)
     if len(domains) < 2:
@@ -79,7 +80,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, store: Store, key: str, tex
     share = F.create_map(*[F.lit(x) for d in domains for x in (d, min(1.0, each / counts[d]))])
     draw = F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(draw < share[F.col("domain")])
-    learn = store.put(rows.join(chosen, "id").select("id", "domain", "text", "w"), "sample")
+    learn = plain.join(F.broadcast(chosen), "id").withColumn("w", words("text"))  # about ``sample`` ids at most
+    learn = store.put(learn.select("id", "domain", "text", "w"), "sample")
     lexicons = [lexicon_of(learn, d, lexicon) for d in domains]
     inputs = [*STATISTICS, *(f"lexicon{k}" for k in range(len(domains)))]
     at = F.create_map(*[F.lit(x) for k, d in enumerate(domains) for x in (d, float(k))])
