@@ -5,15 +5,15 @@ All ``width``-byte windows of all texts are judged, but only a sparse set of suf
 1. The anchor of a window is the smallest hashed ``GRAM``-byte string in it (leftmost on ties). Equal
    windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a run;
    there are about two runs for every ``width - GRAM`` bytes.
-2. Runs go to the task of their anchor's hash, ordered by the hash of the run's whole string and by
-   place. All but the first run of one string are repeats from end to end.
-3. A first run can still repeat in part. Runs that share an anchor with another string and agree with one
-   on ``SIDE`` bytes to the left or to the right fetch their bytes. What stands right of the anchors, and
+2. Runs go to the tasks of two keys: their anchor with ``SIDE`` bytes to its left, and with ``SIDE`` bytes to its
+   right. There they are ordered by the hash of the run's whole string and by place. All but the
+   first run of one string are repeats from end to end.
+3. A first run can still repeat in part. If its key has another string, it fetches its bytes. What stands right of the anchors, and
    (reversed) left of them, is sorted as suffixes by deep-shallow sorting: multikey quicksort on
    8-byte words to a shallow depth, then a blind trie for each group that still agrees. The longest
    common extensions follow from neighbours in both orders; a window repeats if an earlier run
    extends far enough to both sides of the anchor.
-   Anchors with more than ``block`` such runs are split by hash of the place; windows that a block leaves
+   Keys with more than ``block`` such runs are split by hash of the place; windows that a block leaves
    open are then compared by their own hashes, pre-aggregated, over all blocks.
 
 Strings are judged on the input, matches never cross texts, order is (key, byte position). Null and empty
@@ -92,7 +92,11 @@ def unpack(pos):
 
 
 def runs_of(rows: DataFrame, width: int) -> DataFrame:
-    """(k, h, side, id, pos) of each run: hashes of the anchor, of the run's string, and of both sides (32 bits each)."""
+    """(k, h, id, pos), twice for each run: k is the hash of the anchor with ``SIDE`` bytes to its left or (odd k) right, h of the run's string.
+
+    A window agrees with its repeats on the anchor and on ``SIDE`` bytes to one of both sides at least, so
+    either k brings them together, while an anchor that is common in itself spreads over many keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -103,18 +107,13 @@ def runs_of(rows: DataFrame, width: int) -> DataFrame:
                 continue
             left = hasher.of(np.maximum(anchor - SIDE, offs[row]), anchor + GRAM)
             right = hasher.of(anchor, np.minimum(anchor + GRAM + SIDE, offs[row + 1]))
-            side = (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
+            one = np.uint64(1)
             base = offs[row]
-            cols = [
-                signed(hasher.of(anchor, anchor + GRAM)),
-                signed(hasher.of(start, last + width)),
-                signed(side),
-                batch.column("id").to_numpy()[row],
-                pack(start - base, last - base, anchor - base),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k", "h", "side", "id", "pos"])
+            rest = [signed(hasher.of(start, last + width)), batch.column("id").to_numpy()[row], pack(start - base, last - base, anchor - base)]
+            for k in (left & ~one, right | one):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (signed(k), *rest)], names=["k", "h", "id", "pos"])
 
-    return rows.mapInArrow(run, "k long, h long, side long, id long, pos long")
+    return rows.mapInArrow(run, "k long, h long, id long, pos long")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int, least: int = 100_000) -> Iterator[pa.Table]:
@@ -140,51 +139,45 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int, least: int = 100_000
 
 
 def whole_repeats(runs: DataFrame) -> DataFrame:
-    """Repeated runs (part = false) and first runs that may repeat in part (part = true), from runs by anchor.
+    """Repeated runs (part = false) and first runs that may repeat in part (part = true), from the rows of ``runs_of``.
 
-    Rows of an anchor come in order of string and place, so only the first run of each string is held.
+    Rows of a key come in order of string and place. The first run of each string may repeat in part if
+    its key has another string. Only the last row of the rows before is held, whatever the size of a key.
+    Whole repeats are read from one of a run's two rows: the left one if the anchor is ``SIDE`` or more into the run.
     """
-    names = ["k", "h", "side", "id", "pos", "part"]
+    names = ["k", "id", "pos", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {"k": None, "h": None}
-        firsts: list[np.ndarray] = []  # first runs of the anchor that is not ended yet
-
-        def part(cols: np.ndarray):
-            k, h, side = cols[0], cols[1], cols[2].view(np.uint64)
-            use = np.zeros(len(k), bool)
-            for s in (side >> np.uint64(32), side & np.uint64(0xFFFFFFFF)):
-                order = np.lexsort((s, k))
-                a, b = k[order], s[order]
-                eq = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-                use[order[1:][eq]] = True
-                use[order[:-1][eq]] = True
-            return out(cols[:, use], True)
-
-        def out(cols: np.ndarray, flag: bool):
-            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(np.full(cols.shape[1], flag))], names=names)
-
+        before = None  # last row, and whether it was a first run alone in its key so far
+        lonely = None  # such a row, not written yet
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = np.stack([c.to_numpy() for c in batch.columns])
-            k, h = cols[0], cols[1]
-            first = np.ones(len(k), bool)
-            first[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
-            first[0] = state["k"] != k[0] or state["h"] != h[0]
-            state = {"k": k[-1], "h": h[-1]}
-            yield out(cols[:, ~first], False)
-            firsts.append(cols[:, first])
-            held = np.concatenate(firsts, axis=1)
-            done = held[0] != k[-1]
-            if done.any():
-                yield part(held[:, done])
-            firsts = [held[:, ~done]]
-        if firsts:
-            yield part(np.concatenate(firsts, axis=1))
+            k, h, ids, pos = (c.to_numpy() for c in batch.columns)
+            new_k, new_h = np.ones(len(k), bool), np.ones(len(k), bool)
+            new_k[1:] = k[1:] != k[:-1]
+            new_h[1:] = new_k[1:] | (h[1:] != h[:-1])
+            if before is not None:
+                new_k[0] = k[0] != before[0]
+                new_h[0] = new_k[0] or h[0] != before[1]
+            main = (pos & 0xFF >= SIDE) == (k & 1 == 0)
+            again = ~new_h & main
+            # a first run is written if its key begins before it, or if the key goes on with another string
+            part = new_h & ~new_k
+            first = np.flatnonzero(new_h)
+            follows = np.flatnonzero(part[first][1:])  # the first run before such a one
+            part[first[follows]] = True
+            if len(first) and not new_k[first[0]] and lonely is not None:
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in lonely), pa.array([True])], names=names)
+            use = again | part
+            yield pa.RecordBatch.from_arrays([pa.array(k[use]), pa.array(ids[use]), pa.array(pos[use]), pa.array(part[use])], names=names)
+            if len(first):
+                f = first[-1]
+                lonely = None if part[f] else (int(k[f]), int(ids[f]), int(pos[f]))
+            before = (k[-1], h[-1])
 
     near = runs.repartition("k").sortWithinPartitions("k", "h", "id", "pos")
-    return near.mapInArrow(run, "k long, h long, side long, id long, pos long, part boolean")
+    return near.mapInArrow(run, "k long, id long, pos long, part boolean")
 
 
 # --- deep-shallow sorting -----------------------------------------------------
@@ -289,7 +282,7 @@ def extensions(strings: list[bytes]) -> np.ndarray:
 
 
 def partial_repeats(ids, pos, texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For runs of one anchor: which windows of each run stand in an earlier run."""
+    """For runs of one key: which windows of each run stand in an earlier run."""
     start, last, anchor = unpack(np.asarray(pos))
     left = [t[: o][::-1] for t, o in zip(texts, (anchor - start).tolist())]
     right = [t[o:] for t, o in zip(texts, (anchor - start).tolist())]
@@ -363,11 +356,12 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     start = F.shiftright("pos", 16)
     whole = runs.where("not part").select("id", start.alias("a"), (start + F.shiftright("pos", 8).bitwiseAND(F.lit(0xFF).cast("long")) + width).alias("b"))
     part = runs.where("part").select("k", "id", "pos")
-    size = store.put(part.groupBy("k").agg(F.ceil(F.count("*") / block).alias("blocks")), "size")
+    n = part.count()
+    size = store.put(part.groupBy("k").agg(F.ceil(F.count("*") / block).alias("blocks")), "size", n)
     wanted = part.join(size, "k").withColumn("block", F.pmod(F.xxhash64("id", "pos"), F.col("blocks")))
     some = store.put(part_repeats(fetch(rows, wanted, width), width), "some")
     open_ = some.where("w is not null")
-    first = store.put(open_.groupBy("w").agg(F.min(F.struct("id", "a")).alias("f")).select("w", F.col("f.id").alias("fi"), F.col("f.a").alias("fa")), "first")
+    first = store.put(open_.groupBy("w").agg(F.min(F.struct("id", "a")).alias("f")).select("w", F.col("f.id").alias("fi"), F.col("f.a").alias("fa")), "first", open_.count())
     late = open_.join(first, "w").where("id <> fi or a <> fa").select("id", "a", "b")
     return whole.unionByName(some.where("w is null").select("id", "a", "b")).unionByName(late)
 
