@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+ROWS_PER_FILE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,14 @@ class Store:
             base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="clickflow-")
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read back: cuts the lineage, and later joins get exchanges of their own."""
+    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write and read back: cuts the lineage, and later joins get exchanges of their own.
+
+        ``rows`` is a bound on the table's size where one is known; small tables get few files.
+        """
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(-(-max(rows, 1) // ROWS_PER_FILE))
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -192,23 +198,23 @@ def components(store: Store, edges: DataFrame, name: str = "cc", rounds: int = 6
     now = store.put(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0"
     )
-    state = None
+    n, state = now.count(), None
     for k in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = store.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-{k}a")
+        low = store.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-{k}a", 2 * n)
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        large = store.put(large, f"{name}-{k}b")
-        low2 = store.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}c")
+        large = store.put(large, f"{name}-{k}b", n)
+        low2 = store.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}c", n)
         small = large.join(low2, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low2.select("u", F.col("m").alias("v"))
         )
-        after = store.put(small.where("u <> v").distinct(), f"{name}-{k}")
+        after = store.put(small.where("u <> v").distinct(), f"{name}-{k}", n)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         store.drop(f"{name}-{k - 1}", f"{name}-{k}a", f"{name}-{k}b", f"{name}-{k}c")
-        now = after
+        now, n = after, seen[0]
         if tuple(seen) == state:
             break
         state = tuple(seen)

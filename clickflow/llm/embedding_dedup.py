@@ -118,12 +118,12 @@ def top(entries: DataFrame, size: int) -> DataFrame:
     return entries.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
 
-def local_joins(lists: DataFrame, nodes: DataFrame, size: int, store: Store, name: str) -> DataFrame:
+def local_joins(lists: DataFrame, nodes: DataFrame, size: int, store: Store, name: str, total: int) -> DataFrame:
     """Entries found by comparing the neighbours of each node with each other."""
     near = lists.select(F.col("id").alias("m"), F.col("nbr").alias("x")).unionByName(lists.select(F.col("nbr").alias("m"), F.col("id").alias("x"))).distinct()
-    degree = store.put(near.groupBy("m").agg(F.ceil(F.count("*") / STRETCH).alias("parts")), f"{name}-degree")
+    degree = store.put(near.groupBy("m").agg(F.ceil(F.count("*") / STRETCH).alias("parts")), f"{name}-degree", total)
     floor = lists.groupBy("id").agg(F.when(F.count("*") >= size, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
-    known = store.put(nodes.select("id", "v").join(floor, "id"), f"{name}-known")
+    known = store.put(nodes.select("id", "v").join(floor, "id"), f"{name}-known", 10 * total)
     near = near.join(degree, "m").select("m", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"), F.col("x").alias("id"))
     sent = near.join(known, "id").select("m", "part", "id", "floor", "v")
 
@@ -165,9 +165,8 @@ def block_counts(members: DataFrame, threshold: float) -> DataFrame:
     return near.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audited(nodes: DataFrame, threshold: float, audit: int, seed: int) -> DataFrame:
+def audited(nodes: DataFrame, threshold: float, audit: int, seed: int, total: int) -> DataFrame:
     """All links (a, b) of a bounded sample of nodes, by comparison with every node."""
-    total = nodes.count()
     draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
     asked = nodes.where(draw < min(1.0, audit / max(total, 1))).select("id", "label", "dim", "v").toPandas()
     groups = {k: (g["id"].to_numpy(), np.array(g["v"].tolist(), np.float64)) for k, g in asked.groupby(["label", "dim"])}
@@ -208,9 +207,9 @@ def near_duplicates(
     # equal vectors by a hash of their numbers; the node's row has the smallest id
     twin = [F.xxhash64("label", "dim", "v").alias("h1"), F.hash("v", "dim", "label").alias("h2")]
     hashed = store.put(valid.select("id", *twin), "hashed")
-    twins = store.put(hashed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("w")), "twins")
-    nodes = store.put(valid.join(twins.select("id", "w"), "id"), "nodes")
-    total = nodes.count()
+    total = hashed.count()
+    twins = store.put(hashed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("w")), "twins", total)
+    nodes = store.put(valid.join(twins.select("id", "w"), "id"), "nodes", 10 * total)  # rows with vectors: fewer for each file
     bits = min(20, max(0, math.ceil(math.log2(max(total, 1) / STRETCH)))) if total else 0
 
     lists = extra = None
@@ -221,31 +220,31 @@ def near_duplicates(
             entries = found if entries is None else entries.unionByName(found)
         if lists is not None:
             entries = entries.unionByName(lists)
-        lists = store.put(top(entries, size), f"lists-{r}")
+        lists = store.put(top(entries, size), f"lists-{r}", size * total)
         for d in range(descents):
-            better = local_joins(lists, nodes, size, store, f"join-{r}-{d}")
-            lists = store.put(top(lists.unionByName(better), size), f"lists-{r}-{d}")
+            better = local_joins(lists, nodes, size, store, f"join-{r}-{d}", total)
+            lists = store.put(top(lists.unionByName(better), size), f"lists-{r}-{d}", size * total)
             store.drop(f"join-{r}-{d}-degree", f"join-{r}-{d}-known")
         edges = lists.where(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("nbr").alias("b"))
-        edges = store.put(edges if extra is None else edges.unionByName(extra), f"edges-{r}")
-        cells = store.put(components(store, edges, f"cc-{r}").withColumnRenamed("component", "cell"), f"cells-{r}")
-        truth = store.put(audited(nodes, threshold, audit, r), f"audit-{r}")
+        edges = store.put(edges if extra is None else edges.unionByName(extra), f"edges-{r}", size * total)
+        cells = store.put(components(store, edges, f"cc-{r}").withColumnRenamed("component", "cell"), f"cells-{r}", total)
+        truth = store.put(audited(nodes, threshold, audit, r, total), f"audit-{r}")
         both = truth.join(cells.withColumnRenamed("id", "a").withColumnRenamed("cell", "ca"), "a", "left")
         both = both.join(cells.withColumnRenamed("id", "b").withColumnRenamed("cell", "cb"), "b", "left").withColumn("hit", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
         n = both.agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hit")).first()
         missed = both.where("not hit").select("a", "b")
-        extra = store.put(missed if extra is None else missed.unionByName(extra), f"extra-{r}")
+        extra = store.put(missed if extra is None else missed.unionByName(extra), f"extra-{r}", total)
         if not n["n"] or n["hit"] >= target * n["n"]:
             break
     if n["n"] and n["hit"] < n["n"]:
         edges = edges.unionByName(extra)
-        cells = store.put(components(store, edges, "cc-last").withColumnRenamed("component", "cell"), "cells-last")
+        cells = store.put(components(store, edges, "cc-last").withColumnRenamed("component", "cell"), "cells-last", total)
 
     # complete the components that are saturated or fit in one block
     full = lists.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= size) & (F.col("low") >= threshold))
     saturated = cells.join(full.select("id"), "id", "left_semi").select("cell").distinct().withColumn("saturated", F.lit(True))
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks")).join(saturated, "cell", "left")
-    sizes = store.put(sizes.where("blocks = 1 or saturated").select("cell", "blocks"), "sizes")
+    sizes = store.put(sizes.where("blocks = 1 or saturated").select("cell", "blocks"), "sizes", total)
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     placed = cells.join(sizes, "cell").withColumn("side", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("cell", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id")
@@ -255,7 +254,7 @@ def near_duplicates(
     loose = loose.join(cells.join(sizes, "cell", "left_anti").select(F.col("id").alias("a")), "a")
     loose = loose.join(nodes.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("links"))
     links = counted.unionByName(loose).join(cells, "id")
-    by_twin = store.put(twins.join(links, "id", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("cell", "id").alias("c")), "by-twin")
+    by_twin = store.put(twins.join(links, "id", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("cell", "id").alias("c")), "by-twin", total)
     result = hashed.join(by_twin, ["h1", "h2"]).select("id", "n", "c")
     out = rows.select("id").join(result, "id", "left")
     return out.select(

@@ -334,25 +334,27 @@ def repeated_lines(
     passed = store.put(lines_and_sketch(rows, min_tokens), "lines")
     sketch = spark.sparkContext.broadcast(sketch_sum(passed.where("id is null").select("part", "cells")))
     lines = passed.where("id is not null").select("id", "line", "sig")
-    firsts = store.put(lines.groupBy("sig").agg(F.min(F.struct("id", "line")).alias("f")).select("sig", "f.id", "f.line"), "firsts")
+    n = lines.count()
+    firsts = lines.groupBy("sig").agg(F.min(F.struct("id", "line")).alias("f")).select("sig", "f.id", "f.line")
+    firsts = store.put(firsts, "firsts", n)
     edges = candidates(prefixes(rows, sketch, min_tokens, num, den), num, den)
-    cells = store.put(components(store, edges, "cells").withColumnRenamed("component", "cell").withColumnRenamed("id", "sig"), "cell")
-    sizes = store.put(cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block)), "sizes")
-    sized = store.put(cells.join(firsts, "sig").join(sizes, "cell"), "sized")
+    cells = store.put(components(store, edges, "cells").withColumnRenamed("component", "cell").withColumnRenamed("id", "sig"), "cell", n)
+    sizes = store.put(cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block)), "sizes", n)
+    sized = store.put(cells.join(firsts, "sig").join(sizes, "cell"), "sized", n)
     own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(5), "sig"), F.lit(1 << 30)) < F.lit(float(PIVOTS) * (1 << 30)) / F.col("size"))
     columns = ["id", "line", "sig", "cell"]
     placed = sized.select(*columns, F.explode(F.when(pivot, every).otherwise(F.array(own))).alias("block"), F.lit(True).alias("probe"))
-    found = store.put(marked(rows, placed, num, den).distinct(), "found")
+    found = store.put(marked(rows, placed, num, den).distinct(), "found", n)
     large = sized.where("blocks > 1")
     if large.limit(1).count():
         left = large.join(found, "sig", "left_anti")
         there = large.join(left.select("cell").distinct(), "cell")
         again = left.select(*columns, F.explode(every).alias("block"), F.lit(True).alias("probe"))
         others = there.join(left.select("sig"), "sig", "left_anti").select(*columns, own.alias("block"), F.lit(False).alias("probe"))
-        found = store.put(found.unionByName(marked(rows, again.unionByName(others), num, den)).distinct(), "found2")
-    judged = store.put(firsts.join(found.withColumn("late", F.lit(True)), "sig", "left").select("sig", F.col("id").alias("fi"), F.col("line").alias("fl"), "late"), "judged")
+        found = store.put(found.unionByName(marked(rows, again.unionByName(others), num, den)).distinct(), "found2", n)
+    judged = store.put(firsts.join(found.withColumn("late", F.lit(True)), "sig", "left").select("sig", F.col("id").alias("fi"), F.col("line").alias("fl"), "late"), "judged", n)
     return lines.join(judged, "sig").where("late or id <> fi or line <> fl").select("id", "line").distinct()
 
 

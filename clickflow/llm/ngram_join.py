@@ -225,37 +225,46 @@ def near_duplicates(
     store = Store(docs.sparkSession, "ngram-join")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed_rows = store.put(signatures(rows, "id", "text", width, num, den), "signatures")
-    reps = store.put(signed_rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep")), "reps")
+    n = signed_rows.agg(F.count("*").alias("docs"), F.sum(F.size("keys")).alias("keys")).first()
+    docs_n = n["docs"]
+    reps = store.put(signed_rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep")), "reps", docs_n)
 
     # candidates: one row for each (part key, set); a key is kept when two sets have it
     keyed = signed_rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("k"))
-    met = store.put(keyed.groupBy("k").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m <> x").select("k", "m"), "met")
+    met = keyed.groupBy("k").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m <> x").select("k", "m")
+    met = store.put(met, "met", (n["keys"] or 0) // 2)
     pairs = keyed.join(met, "k").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
-    cells = store.put(components(store, pairs, "cells").withColumnRenamed("component", "cell"), "cell")
-    sizes = store.put(cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block)), "sizes")
-    sized = cells.join(sizes, "cell")
+    cells = store.put(components(store, pairs, "cells").withColumnRenamed("component", "cell"), "cell", docs_n)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block))
+    sizes = store.put(sizes, "sizes", docs_n)
+    sized = store.put(cells.join(sizes, "cell"), "sized", docs_n)
     draw = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     pivot = (F.col("blocks") > 1) & (draw < F.lit(float(PIVOTS) * (1 << 30)) / F.col("size"))
     blocks = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
     placed = sized.select("id", "cell", F.explode(blocks).alias("block"), F.col("id").alias("known"))
-    links = store.put(cell_links(rows, placed, width, num, den), "links")
+    links = store.put(cell_links(rows, placed, width, num, den), "links", docs_n)
 
     # cells of several blocks that are not yet in one piece compare block with block
-    parts = store.put(components(store, links, "parts"), "part")
-    large = sized.where("blocks > 1").join(parts, "id", "left").withColumn("known", F.coalesce("component", "id"))
-    large = store.put(large.select("id", "cell", "blocks", "known"), "large")
-    open_cells = large.groupBy("cell").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi")
-    still = large.join(store.put(open_cells.select("cell"), "open"), "cell")
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.greatest(own, j) * F.col("blocks") + F.least(own, j))
-    across = still.select("id", "cell", F.explode(F.array_distinct(pair)).alias("block"), "known")
-    links = links.unionByName(cell_links(rows, across, width, num, den))
-    found = store.put(components(store, links, "components"), "found")
-    classes = found.join(reps.withColumnRenamed("rep", "id"), "id").select("sig", "component")
-    classes = store.put(classes, "classes")
+    large = sized.where("blocks > 1")
+    if large.limit(1).count():
+        parts = components(store, links, "parts")
+        large = large.join(parts, "id", "left").withColumn("known", F.coalesce("component", "id"))
+        large = store.put(large.select("id", "cell", "blocks", "known"), "large", docs_n)
+        open_cells = large.groupBy("cell").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi")
+        still = large.join(store.put(open_cells.select("cell"), "open", docs_n), "cell")
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        pair = F.transform(every, lambda j: F.greatest(own, j) * F.col("blocks") + F.least(own, j))
+        across = store.put(still.select("id", "cell", F.explode(F.array_distinct(pair)).alias("block"), "known"), "across")
+        if across.limit(1).count():
+            links = links.unionByName(cell_links(rows, across, width, num, den))
+    found = components(store, links, "components")
+    classes = store.put(found.join(reps.withColumnRenamed("rep", "id"), "id").select("sig", "component"), "classes", docs_n)
+    classes = reps.join(classes, "sig", "left").select("sig", F.coalesce("component", "rep").alias("c"))
+    classes = store.put(classes, "class-of", docs_n)
 
     # membership by signature: both sides are written tables, so AQE splits the rows of a large group of copies
-    member = signed_rows.select("id", "n", "sig").join(reps.join(classes, "sig", "left").select("sig", F.coalesce("component", "rep").alias("c")), "sig", "left")
+    member = signed_rows.select("id", "n", "sig").join(classes, "sig", "left")
     return member.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id")
     )
