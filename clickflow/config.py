@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         conf_dir = tempfile.mkdtemp(prefix="clickflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
@@ -64,15 +66,3 @@ def materialize(df):
     files instead of re-running the plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_small_input(df):
-    """A scan with fewer partitions than the cluster has cores (one small
-    file, one row group) would run every map-side stage in a few tasks:
-    round-robin it to the default parallelism. Large inputs already have many
-    splits and are left alone, so this never adds a shuffle at scale. The
-    exchange is reused by every branch of a query that reads the same scan."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

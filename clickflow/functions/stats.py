@@ -57,6 +57,9 @@ def exact_quantiles(
         F.col(value).cast("double").alias("_x"),
         (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("_w"),
     )
+    # Equal values become one weighted row before the exchange, so that a value
+    # held by much of a group does not fill one block.
+    base = base.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"))
     # Checkpointed: both the block counts and the ranked rows must see the
     # same (sampled) range bounds.
     ranged = materialize(

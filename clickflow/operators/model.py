@@ -59,7 +59,7 @@ def kfold_assign(train: DataFrame, k: int = N_FOLDS, seed: int = SEED, bucket_ch
     return ranked.select(SESSION, ((F.col("_off") + F.col("_rn") - 1) % k).cast("int").alias("fold"))
 
 
-def forest_factory(cols: Sequence[str], seed: int = SEED, num_trees: int = 50, max_depth: int = 8):
+def forest_factory(cols: Sequence[str], seed: int = SEED, num_trees: int = 100, max_depth: int = 10, max_bins: int = 256):
     """Default regressor of the cross-fit: a regression forest (MLlib). Its
     trees grow level by level in one pass over the data per level, so a fold
     costs about ``max_depth`` jobs."""
@@ -69,6 +69,7 @@ def forest_factory(cols: Sequence[str], seed: int = SEED, num_trees: int = 50, m
         seed=seed,
         numTrees=num_trees,
         maxDepth=max_depth,
+        maxBins=max_bins,
         maxMemoryInMB=1024,
         cacheNodeIds=True,
     )
@@ -109,18 +110,17 @@ def cross_fit(
     # (as CrossValidator's ``parallelism``) so small folds share the cores.
     with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
         models = list(pool.map(lambda f: fit(data.where(F.col("fold") != f)), range(k)))
-    oof_parts, test_parts = [], []
+    oof_parts, scored = [], test_x
     for f, model in enumerate(models):
         held = assemble(data.where(F.col("fold") == f), cols)
         oof_parts.append(model.transform(held).select(SESSION, "fold", LABEL, "prediction"))
-        test_parts.append(model.transform(test_x).select(SESSION, F.lit(f).alias("fold"), "prediction"))
+        # the k models score the test rows side by side in one pass
+        scored = model.transform(scored).withColumnRenamed("prediction", f"_p{f}")
     oof = oof_parts[0]
     for p in oof_parts[1:]:
         oof = oof.unionByName(p)
-    tp = test_parts[0]
-    for p in test_parts[1:]:
-        tp = tp.unionByName(p)
-    test_pred = tp.groupBy(SESSION).agg((F.sum("prediction") / k).alias("prediction"))
+    total = sum((F.col(f"_p{f}") for f in range(1, k)), F.col("_p0"))
+    test_pred = scored.select(SESSION, (total / k).alias("prediction"))
     return oof, test_pred, models
 
 
@@ -148,12 +148,9 @@ def fold_ols_predictions(
     params = params.select("fold", "_b", ((F.col("_sy") - F.col("_b") * F.col("_sx")) / F.col("_n")).alias("_a"))
     pred = F.col("_a") + F.col("_b") * xv
     oof = data.join(F.broadcast(params), "fold").select(SESSION, "fold", LABEL, pred.alias("prediction"))
-    test_pred = (
-        test.select(SESSION, x)
-        .crossJoin(F.broadcast(params))
-        .groupBy(SESSION)
-        .agg((F.sum(pred) / k).alias("prediction"))
-    )
+    # the mean over folds of a + b * x is mean(a) + mean(b) * x: one row
+    mean = params.agg((F.sum("_a") / k).alias("_a"), (F.sum("_b") / k).alias("_b"))
+    test_pred = test.select(SESSION, x).crossJoin(F.broadcast(mean)).select(SESSION, pred.alias("prediction"))
     return oof, test_pred
 
 

@@ -60,7 +60,7 @@ def fit_forest(
     num_trees: int = 100,
     max_depth: int = 10,
     seed: int = SEED,
-    max_bins: int = 64,
+    max_bins: int = 256,
 ):
     """regression forest on the given columns (all features tried at each
     split, bootstrap rows, as the reference forest)."""

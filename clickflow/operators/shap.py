@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickflow.config import shared_dir, spread_small_input
+from clickflow.config import shared_dir
 from clickflow.operators.select import fit_forest
 
 
@@ -143,8 +143,7 @@ def shap_importance(spark, rows: DataFrame, model, cols: Sequence[str]) -> DataF
             phi, _ = forest_shap(x, trees.value)
             yield pd.DataFrame({"feature": names, "abs_sum": np.abs(phi).sum(axis=0), "n": len(pdf)})
 
-    # A sample comes out of a top-k as one partition: spread it over the cores.
-    x = spread_small_input(rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names]))
+    x = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
     sums = x.mapInPandas(
         explain, "feature string, abs_sum double, n long"
     )
@@ -152,9 +151,8 @@ def shap_importance(spark, rows: DataFrame, model, cols: Sequence[str]) -> DataF
 
 
 def shap_ranking(spark, train: DataFrame, cols: Sequence[str], sample: int = 5000) -> DataFrame:
-    """F2-F4 together: forest on the sample, SHAP importance over the sample."""
+    """F2-F4 together: forest fitted on a sample of at most ``sample`` rows, SHAP importance over all rows."""
     from clickflow.operators.select import sample_rows
 
-    rows = sample_rows(train, sample)
-    model = fit_forest(rows, cols)
-    return shap_importance(spark, rows, model, cols)
+    model = fit_forest(sample_rows(train, sample), cols)
+    return shap_importance(spark, train, model, cols)

@@ -5,8 +5,8 @@ and split, min and max user id (``nunique > 1`` is ``min <> max`` on non-null
 ids) and presence flags. The aggregate is map-side combined, so a session
 holding a third of the rows adds one partial row per task to the shuffle.
 Event-level splits are semi/anti joins of the events with that small
-per-session table; AQE broadcasts it when its measured size allows, else it
-splits skewed partitions of the sort-merge join.
+per-session table through ``by_session``: AQE broadcasts it when its measured
+size allows, else it can split a hot session of the sort-merge join.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickflow.functions.stats import exact_quantiles
+from clickflow.operators.joins import by_session
 from clickflow.schema import LABEL, SESSION
 
 ANOMALOUS, COMMON, MODEL = "anomalous", "common", "model"
@@ -88,24 +89,24 @@ def clean_events(events: DataFrame, triage: DataFrame | None = None) -> DataFram
     """Events whose session is not anomalous (both splits). Null session
     keys are kept, as ``~isin`` keeps them."""
     triage = triage if triage is not None else triage_sessions(events)
-    return events.join(session_ids(triage, ANOMALOUS), SESSION, "left_anti")
+    return by_session(events, session_ids(triage, ANOMALOUS), "left_anti")
 
 
 def anomalous_test_events(events: DataFrame, triage: DataFrame | None = None) -> DataFrame:
     """T4: test events of anomalous sessions."""
     triage = triage if triage is not None else triage_sessions(events)
     test = events.where(F.col("split") == "test")
-    return test.join(session_ids(triage, ANOMALOUS), SESSION, "left_semi")
+    return by_session(test, session_ids(triage, ANOMALOUS), "left_semi")
 
 
 def placeholder_median(events: DataFrame, triage: DataFrame | None = None) -> DataFrame:
     """T5: median ``session_value`` over clean train *event rows* (each session
-    weighted by its row count), common sessions included. Pre-aggregated to
-    (session, value, rows) before the exact weighted median."""
+    weighted by its row count), common sessions and null sessions included.
+    Pre-aggregated to (session, value, rows) before the exact weighted median."""
     triage = triage if triage is not None else triage_sessions(events)
-    train = events.where((F.col("split") == "train") & F.col(SESSION).isNotNull())
+    train = events.where(F.col("split") == "train")
     per_value = train.groupBy(SESSION, LABEL).agg(F.count(F.lit(1)).alias("_rows"))
-    clean = per_value.join(session_ids(triage, ANOMALOUS), SESSION, "left_anti")
+    clean = by_session(per_value, session_ids(triage, ANOMALOUS), "left_anti")
     return exact_quantiles(clean, LABEL, [0.5], weight="_rows", names=["placeholder_value"])
 
 
@@ -128,7 +129,7 @@ def common_answers(events: DataFrame, triage: DataFrame | None = None) -> DataFr
     session with two labels gives two rows."""
     triage = triage if triage is not None else triage_sessions(events)
     train = events.where(F.col("split") == "train")
-    return train.join(session_ids(triage, COMMON), SESSION, "left_semi").select(SESSION, LABEL).distinct()
+    return by_session(train, session_ids(triage, COMMON), "left_semi").select(SESSION, LABEL).distinct()
 
 
 def model_events(events: DataFrame, triage: DataFrame | None = None) -> DataFrame:
@@ -136,7 +137,7 @@ def model_events(events: DataFrame, triage: DataFrame | None = None) -> DataFram
     Null session keys are kept, as ``~isin`` keeps them."""
     triage = triage if triage is not None else triage_sessions(events)
     dropped = triage.where(F.col("session_class") != MODEL).select(SESSION)
-    return events.join(dropped, SESSION, "left_anti")
+    return by_session(events, dropped, "left_anti")
 
 
 def multi_label_sessions(events: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def run(
     top_n: int = TOP_N_FEATURES,
     k: int = N_FOLDS,
     fit=None,
+    sample: int = 5000,
 ) -> FlowResult:
-    """Run everything; write the submission CSV to ``out`` when given."""
+    """Run everything; write the submission CSV to ``out`` when given. ``sample`` bounds the rows the ranking forest is fitted on."""
     triage = TR.triage_sessions(events)
     features = materialize(session_features(events, model_only=True))
     train = materialize(S.attach_label(features, events))
@@ -62,7 +63,7 @@ def run(
     if ranking == "shap":
         from clickflow.operators.shap import shap_ranking
 
-        scores = shap_ranking(spark, train, cols)
+        scores = shap_ranking(spark, train, cols, sample)
     else:
         scores = S.correlation_scores(train, cols)
     scores = materialize(scores)

@@ -247,14 +247,6 @@ def with_ctes(*ctes: str) -> str:
     return "with " + ",".join([CLICKSTREAM_SQL, *ctes])
 
 
-def rounded_select(cols: list[tuple[str, str]], src: str, tail: str = "") -> str:
-    """``select`` with doubles rounded; ``cols`` are (expr-or-name, kind)."""
-    parts = []
-    for name, kind in cols:
-        parts.append(f'round("{name}", 6) as "{name}"' if kind == "d" else f'"{name}"')
-    return f"select {', '.join(parts)} from {src} {tail}"
-
-
 def _num(cols: list[str]) -> str:
     """Round the double feature columns, pass integer ones through."""
     return ", ".join(f'"{c}"' if c in INT_FEATURES else f'{r6(chr(34) + c + chr(34))} as "{c}"' for c in cols)
@@ -268,15 +260,15 @@ def core_oracle() -> dict[str, str]:
         "parse_event_time": f"{with_ctes()} select event_id, cast(cast(event_time as varchar) as timestamp) as event_time from clk",
         "triage_sessions": f"{tri} select * from tri",
         "anomalous_sessions": f"""{with_ctes()} select split, user_session from clk where user_session is not null
-            group by split, user_session having min(user_id) <> max(user_id)""",
+            group by split, user_session having count(distinct user_id) > 1""",
         "anomalous_union": f"""{with_ctes()} select distinct user_session from (select split, user_session from clk
-            where user_session is not null group by split, user_session having min(user_id) <> max(user_id))""",
+            where user_session is not null group by split, user_session having count(distinct user_id) > 1)""",
         "clean_events": f"{tri} select {EV_COLS} from clean",
         "anomalous_test_events": f"""{tri} select {EV_COLS} from clk where split = 'test'
             and user_session in (select user_session from anom_ids)""",
         "placeholder_median": f"""{tri} select {r6("median(session_value)")} as placeholder_value
-            from clean where split = 'train' and user_session is not null""",
-        "placeholder_predictions": f"""{tri} select user_session, {r6("(select median(session_value) from clean where split = 'train' and user_session is not null)")} as session_value
+            from clean where split = 'train'""",
+        "placeholder_predictions": f"""{tri} select user_session, {r6("(select median(session_value) from clean where split = 'train')")} as session_value
             from tri where session_class = 'anomalous' and in_test = 1""",
         "common_sessions": f"{tri} select user_session from tri where session_class = 'common'",
         "common_answers": f"""{tri} select distinct user_session, {r6("session_value")} as session_value from clk
@@ -312,10 +304,6 @@ def core_oracle() -> dict[str, str]:
     return q
 
 
-def all_oracle() -> dict[str, str]:
-    return core_oracle()
-
-
 def _model_ctes() -> str:
     names = feature_names()
     corr_cols = ", ".join(f'corr(cast("{c}" as double), session_value) as "{c}"' for c in names)
@@ -341,7 +329,7 @@ prm as (select fold, b, (sy - b * sx) / n as a from pb),
 oof as (select d.user_session, d.fold, d.session_value, prm.a + prm.b * d.x as prediction from d join prm using (fold)),
 tp as (select t.user_session, sum(prm.a + prm.b * cast(t.event_type_count as double)) / 5 as prediction
        from tst t cross join prm group by t.user_session),
-med as (select median(session_value) as v from clean where split = 'train' and user_session is not null),
+med as (select median(session_value) as v from clean where split = 'train'),
 sub as (
   select user_session, prediction as session_value, 'model' as source from tp
   union all
@@ -378,7 +366,16 @@ def model_oracle() -> dict[str, str]:
     z_src = f"""(select user_session, split, feature, value from
         (unpivot (select user_session, split, {cols_all} from feat) on {cols_all} into name feature value value)
         where feature in (select feature from top))"""
+    text_ids = "concat('PROD_', product_id) as product_id, concat('CAT_', category_id) as category_id, concat('USER_', user_id) as user_id"
+    broken = "(select split, event_id % 97 = 0 as t, event_id % 89 = 0 as u from clk)"
     return {
+        "scan_splits": f"""{with_ctes()} select event_time, event_type, {text_ids}, user_session, split,
+            case when split = 'train' then {r6("session_value")} end as session_value from clk""",
+        "quarantine": f"""{with_ctes()} select split, reason, count(*) as n_rows from (
+            select split, 'bad event_time' as reason from {broken} where t
+            union all select split, 'null user_session' as reason from {broken} where u) group by split, reason""",
+        "multi_label_sessions": f"""{with_ctes()} select user_session, count(distinct session_value) as n_labels from clk
+            where split = 'train' group by user_session having count(distinct session_value) > 1""",
         "attach_label": f"select user_session, split, {r6('session_value')} as session_value, {train_num} from trn",
         "numeric_columns": f"select user_session, {train_num} from trn",
         "sample_rows": f"""select user_session, {r6('session_value')} as session_value from trn
@@ -429,7 +426,7 @@ def model_oracle() -> dict[str, str]:
     }
 
 
-def all_oracle() -> dict[str, str]:  # noqa: F811
+def all_oracle() -> dict[str, str]:
     out = core_oracle()
     m = with_ctes(TRIAGE_SQL, FEATURE_SQL, _model_ctes())
     for k, v in model_oracle().items():

@@ -7,6 +7,8 @@ places, as in the oracle SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +18,16 @@ from clickflow.operators import sequence as E
 from clickflow.operators import triage as TR
 from clickflow.operators.features import FEATURE_GROUPS, activity_quantiles, session_core, session_features
 from clickflow.schema import SESSION
-from clickflow.sources.events import clickstream, parse_event_time
+from clickflow.sources.events import clickstream, parse_event_time, quarantine, scan_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def round6(col):
     """floor(x * 1e6 + 0.5) / 1e6: the same IEEE steps in Spark and DuckDB, so
-    half-way values round alike (Spark ``round`` rounds the decimal string)."""
+    half-way values round alike (Spark ``round`` rounds the decimal string). Values
+    of 1e12 and more have no digits to round there and are passed on; only the
+    registered wrappers use it."""
     return F.when(F.abs(col) < 1e12, F.floor(col * 1e6 + 0.5) / 1e6).otherwise(col)
 
 
@@ -117,10 +121,6 @@ def core_queries() -> dict[str, Query]:
     return q
 
 
-def all_queries() -> dict[str, Query]:
-    return core_queries()
-
-
 # ---------------------------------------------------------------- model side
 from clickflow.config import materialize, shared_dir  # noqa: E402
 from clickflow.operators import model as M  # noqa: E402
@@ -131,20 +131,28 @@ from clickflow.schema import LABEL  # noqa: E402
 
 
 class Ctx:
-    """The pipeline pieces one query needs, built lazily from the tables."""
+    """The pipeline pieces one query needs, each built when it is first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.events = _events(spark, sf_dir)
         self.triage = TR.triage_sessions(self.events)
-        # Read by every later step (labels, ranking, scaling, folds, fits):
-        # checkpointed once, so later plans start from a scan of it instead of
-        # re-planning and re-running the whole feature lineage.
-        self.features = materialize(session_features(self.events, model_only=True))
-        self.train = materialize(S.attach_label(self.features, self.events))
-        self.test = self.features.where(F.col("split") == "test")
         self.cols = feature_names()
 
+    @cached_property
+    def features(self) -> DataFrame:
+        # Read by several later steps (ranking, scaling, fits): checkpointed, so
+        # later plans start from a scan of it instead of the whole feature lineage.
+        return materialize(session_features(self.events, model_only=True))
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return materialize(S.attach_label(self.features, self.events))
+
+    @property
+    def test(self) -> DataFrame:
+        return self.features.where(F.col("split") == "test")
+
     def scores(self) -> DataFrame:
         return S.correlation_scores(self.train, self.cols)
 
@@ -153,7 +161,9 @@ class Ctx:
         return [r.feature for r in rows]
 
     def folds(self) -> DataFrame:
-        return M.kfold_assign(self.train)
+        """Folds of the modelled train sessions; these follow from the triage alone."""
+        modelled = (F.col("session_class") == TR.MODEL) & (F.col("in_train") == 1)
+        return M.kfold_assign(self.triage.where(modelled).select(SESSION))
 
     def standin(self):
         return M.fold_ols_predictions(self.train, self.test, self.folds())
@@ -235,8 +245,39 @@ def c_profile(c: Ctx) -> DataFrame:
     return profile_shapes(c.events, c.triage, c.features)
 
 
+def _export(spark: SparkSession, d: str, broken: bool) -> tuple[str, str]:
+    """Write the derived clickstream as the two-file CSV export (text ids, no event_id and no split column)."""
+    text = {"product_id": "PROD_", "category_id": "CAT_", "user_id": "USER_"}
+    ev = _events(spark, d)
+    ids = [F.concat(F.lit(p), F.col(c).cast("string")).alias(c) for c, p in text.items()]
+    time = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    session = F.col(SESSION)
+    if broken:
+        time = F.when(F.col("event_id") % 97 == 0, F.lit("no time")).otherwise(time)
+        session = F.when(F.col("event_id") % 89 != 0, session)
+    out = ev.select("split", time.alias("event_time"), "event_type", *ids, session.alias(SESSION), F.col(LABEL).cast("string").alias(LABEL))
+    base = shared_dir(spark, f"export-{uuid4().hex}")
+    for split, cols in (("train", out.columns[1:]), ("test", out.columns[1:-1])):
+        out.where(F.col("split") == split).select(*cols).write.option("header", True).csv(f"{base}/{split}")
+    return f"{base}/train", f"{base}/test"
+
+
+def q_scan_splits(spark, d):
+    back = scan_splits(spark, *_export(spark, d, broken=False), fmt="csv")
+    return rounded(back.drop("event_id"))
+
+
+def q_quarantine(spark, d):
+    train, test = _export(spark, d, broken=True)
+    bad = quarantine(spark, train, split="train").unionByName(quarantine(spark, test, split="test"))
+    return bad.select("split", F.explode("reasons").alias("reason")).groupBy("split", "reason").agg(F.count("*").alias("n_rows"))
+
+
 def model_queries() -> dict[str, Query]:
     return {
+        "scan_splits": q_scan_splits,
+        "quarantine": q_quarantine,
+        "multi_label_sessions": lambda s, d: TR.multi_label_sessions(_events(s, d)),
         "attach_label": lambda s, d: rounded(Ctx(s, d).train),
         "numeric_columns": lambda s, d: rounded(
             (lambda c: c.train.select(SESSION, *S.numeric_columns(c.train)))(Ctx(s, d))
@@ -263,5 +304,5 @@ def model_queries() -> dict[str, Query]:
     }
 
 
-def all_queries() -> dict[str, Query]:  # noqa: F811
+def all_queries() -> dict[str, Query]:
     return {**core_queries(), **model_queries()}

@@ -1,9 +1,9 @@
 """Event sources.
 
-``scan_events`` reads a click-event export (CSV with a header, or parquet) with
-an explicit schema. ``clickstream`` derives the same event model from the
-generic ``events`` table of a test-data folder (the fixture of FIXTURES.md F-1),
-so every query grows with that table.
+``scan_events`` reads a click-event export (CSV with a header, or parquet) by column
+name, ids as text. ``quarantine`` returns the rows of the same export that do not fit, with
+the reasons. ``clickstream`` derives the same event model from the generic ``events`` table
+of a test-data folder (the fixture of FIXTURES.md F-1), so every query grows with that table.
 """
 
 from __future__ import annotations
@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.schema import EVENT_SCHEMA, LABEL, RAW_EVENT_SCHEMA, SESSION
+from clickflow.operators.joins import by_session
+from clickflow.schema import LABEL, SESSION, SPLITS
+
+#: Columns an export must have; ``event_id``, ``session_value`` and ``split`` may be absent.
+REQUIRED = ("event_time", "event_type", "product_id", "category_id", "user_id", SESSION)
+CORRUPT = "_corrupt_row"
 
 
 def parse_event_time(col: Column | str, strict: bool = True) -> Column:
@@ -24,61 +29,120 @@ def parse_event_time(col: Column | str, strict: bool = True) -> Column:
     return F.to_timestamp_ntz(c) if strict else F.try_to_timestamp(c).cast("timestamp_ntz")
 
 
-def scan_events(spark: SparkSession, path: str, fmt: str | None = None, strict: bool = True) -> DataFrame:
-    """Read an event export with the fixed schema. A missing path raises
-    AnalysisException (PATH_NOT_FOUND), which is left to surface (S2)."""
-    fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
-    if fmt == "csv":
-        raw = _spread(spark.read.schema(RAW_EVENT_SCHEMA).option("header", True).csv(path))
-        return raw.withColumn("event_time", parse_event_time("event_time", strict))
-    return _spread(spark.read.schema(EVENT_SCHEMA).parquet(path))
+def format_of(spark: SparkSession, path: str) -> str:
+    """``csv`` or ``parquet`` by the names of the data files, not by the folder's name."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return "parquet"  # the read itself reports the missing path
+    names = [st.getPath().getName() for st in fs.listStatus(where) if not st.getPath().getName().startswith(("_", "."))]
+    if names and all(".parquet" in n for n in names):
+        return "parquet"
+    if names and all(".csv" in n or ".txt" in n for n in names):
+        return "csv"
+    raise ValueError(f"give fmt ('csv' or 'parquet'): cannot tell it from the files of {path}")
+
+
+def _read_raw(spark: SparkSession, path: str, fmt: str | None, strict: bool) -> DataFrame:
+    """The export's columns under their own names; CSV values as text. Rows that break the CSV
+    form raise if strict, else carry their text in a column of their own."""
+    fmt = fmt or format_of(spark, path)
+    if fmt == "parquet":
+        raw = spark.read.parquet(path)
+    elif fmt == "csv":
+        names = spark.read.option("header", True).csv(path).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        if strict:
+            raw = reader.option("mode", "FAILFAST").schema(schema).csv(path)
+        else:
+            schema = schema.add(CORRUPT, T.StringType())
+            raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+    missing = [c for c in REQUIRED if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    return raw
+
+
+def _typed(raw: DataFrame, strict: bool, split: str | None, tie_break: str) -> DataFrame:
+    """Event columns and ``reasons`` (why a row does not fit; empty if it does)."""
+    reasons: list[Column] = []
+
+    def number(name: str, kind: str) -> Column:
+        if strict:
+            return F.col(name).cast(kind)
+        out = F.col(name).try_cast(kind)
+        reasons.append(F.when(F.col(name).isNotNull() & out.isNull(), F.lit(f"bad {name}")))
+        return out
+
+    time = F.col("event_time").cast("string")
+    parsed = parse_event_time(time, strict)
+    reasons.append(F.when(parsed.isNull(), F.lit("bad event_time")))
+    reasons.append(F.when(F.col(SESSION).isNull(), F.lit(f"null {SESSION}")))
+    if CORRUPT in raw.columns:
+        reasons.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("bad row")))
+    # without a tie-break column, the order of the rows in the files breaks ties of time
+    event_id = number(tie_break, "long") if tie_break in raw.columns else F.monotonically_increasing_id()
+    label = number(LABEL, "double") if LABEL in raw.columns else F.lit(None).cast("double")
+    if split is None and "split" not in raw.columns:
+        raise ValueError("the export has no split column: give split")
+    side = F.lit(split) if split is not None else F.col("split").cast("string")
+    if split is None:
+        reasons.append(F.when(~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)), F.lit("bad split")))
+    kept = [F.col(c).cast("string").alias(c) for c in ("event_type", "product_id", "category_id", "user_id", SESSION)]
+    why = F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons")
+    return raw.select(event_id.alias("event_id"), parsed.alias("event_time"), *kept, label.alias(LABEL), side.alias("split"), why)
+
+
+def scan_events(
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    strict: bool = True,
+    split: str | None = None,
+    tie_break: str = "event_id",
+) -> DataFrame:
+    """Read an event export by column name; ids stay text.
+
+    ``strict`` raises on a value or row that does not fit (a null session key is kept, as the
+    operators define it); otherwise rows that ``quarantine`` would return are left out. A missing
+    path raises AnalysisException (PATH_NOT_FOUND), which is left to surface (S2).
+    """
+    typed = _typed(_read_raw(spark, path, fmt, strict), strict, split, tie_break)
+    return (typed if strict else typed.where(F.size("reasons") == 0)).drop("reasons")
+
+
+def quarantine(
+    spark: SparkSession, path: str, fmt: str | None = None, split: str | None = None, tie_break: str = "event_id"
+) -> DataFrame:
+    """S3: the rows of an export that do not fit, with all their reasons."""
+    return _typed(_read_raw(spark, path, fmt, False), False, split, tie_break).where(F.size("reasons") > 0)
 
 
 def scan_splits(
     spark: SparkSession, train_path: str, test_path: str, fmt: str | None = None, strict: bool = True
 ) -> DataFrame:
-    """S1 for the two-file layout (train with labels, test without): both
-    read with the fixed schema and tagged with ``split``."""
-    fields = [f for f in EVENT_SCHEMA.fields if f.name != "split"]
-
-    def read(path: str, split: str) -> DataFrame:
-        kind = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
-        if kind == "csv":
-            raw = T.StructType(
-                [T.StructField(f.name, T.StringType() if f.name == "event_time" else f.dataType, True) for f in fields]
-            )
-            df = spark.read.schema(raw).option("header", True).csv(path)
-            df = df.withColumn("event_time", parse_event_time("event_time", strict))
-        else:
-            df = spark.read.parquet(path)
-            if LABEL not in df.columns:
-                df = df.withColumn(LABEL, F.lit(None).cast("double"))
-            df = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
-        return _spread(df).withColumn("split", F.lit(split))
-
-    return read(train_path, "train").unionByName(read(test_path, "test"))
+    """S1 for the two-file layout (train with labels, test without), tagged with ``split``."""
+    train = scan_events(spark, train_path, fmt, strict, "train")
+    return train.unionByName(scan_events(spark, test_path, fmt, strict, "test"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    from clickflow.config import spread_small_input
-
-    return spread_small_input(df)
-
-
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived click events (FIXTURES.md F-1) in the event schema.
 
     The per-session label is a sum over the session: computed as a grouped
     aggregate (map-side partial sums, so a hot session does not land in one
     task) and joined back on the session key, instead of a window over the
-    session. AQE picks broadcast or a skew-split sort-merge join from the
-    measured size of the per-session side.
+    session.
     """
-    ev = _spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     e = ev.select(
         "event_id",
         F.col("ts").alias("event_time"),
@@ -101,7 +165,7 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("su") + F.col("dom")) % 10).alias("b"),
     )
     cents = k.groupBy(SESSION).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("_cents"))
-    out = k.join(cents, SESSION, "left")
+    out = by_session(k, cents, "left")
     return out.select(
         "event_id",
         "event_time",

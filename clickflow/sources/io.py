@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickflow.operators.joins import by_session
 from clickflow.schema import SESSION
 
 
@@ -14,7 +15,7 @@ def profile_shapes(events: DataFrame, triage: DataFrame, features: DataFrame) ->
     joined with the per-session class (null sessions count as clean)."""
     ev_cols = len(events.columns)
     feat_cols = len([c for c in features.columns if c != "split"])
-    cls = events.join(triage.select(SESSION, "session_class"), SESSION, "left")
+    cls = by_session(events, triage.select(SESSION, "session_class"), "left")
     klass = F.coalesce(F.col("session_class"), F.lit("model"))
     agg = cls.groupBy("split").agg(
         F.count(F.lit(1)).alias("all"),

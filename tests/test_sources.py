@@ -25,3 +25,84 @@ def test_two_file_csv_round_trip(spark):
 def test_missing_path_surfaces(spark):
     with pytest.raises(AnalysisException):
         scan_events(spark, "/nonexistent/events.parquet").count()
+
+
+def _csv(spark, name, lines):
+    path = shared_dir(spark, f"src-{name}")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+HEADER = "user_session,user_id,event_time,category_id,product_id,event_type,session_value"
+
+
+def test_columns_by_name_and_text_ids(spark):
+    path = _csv(spark, "names", [HEADER, "S1,USER_1,2025-01-01 10:00:00,CAT_2,PROD_3,BUY,7.5", "S1,USER_2,2025-01-01 10:01:00,CAT_4,PROD_5,VIEW,7.5"])
+    rows = scan_events(spark, path, fmt="csv", split="train").orderBy("event_time").collect()
+    assert [(r.product_id, r.category_id, r.user_id, r.event_type, r.session_value, r.split) for r in rows] == [
+        ("PROD_3", "CAT_2", "USER_1", "BUY", 7.5, "train"),
+        ("PROD_5", "CAT_4", "USER_2", "VIEW", 7.5, "train"),
+    ]
+    assert rows[0].event_id < rows[1].event_id  # built from the order of the rows
+    from clickflow.operators.triage import triage_sessions
+
+    assert [r.session_class for r in triage_sessions(scan_events(spark, path, fmt="csv", split="train")).collect()] == ["anomalous"]
+
+
+def test_bad_rows_raise_or_go_to_quarantine(spark):
+    from clickflow.sources.events import quarantine
+
+    path = _csv(
+        spark,
+        "bad",
+        [HEADER, "S1,U,2025-01-01 10:00:00,C,P,BUY,1.0", "S2,U,yesterday,C,P,BUY,1.0", ",U,2025-01-01 10:00:00,C,P,BUY,1.0", "S3,U,2025-01-01 10:00:00,C,P,BUY,much"],
+    )
+    with pytest.raises(Exception):
+        scan_events(spark, path, fmt="csv", split="train").collect()
+    good = scan_events(spark, path, fmt="csv", split="train", strict=False).collect()
+    assert [r.user_session for r in good] == ["S1"]
+    bad = quarantine(spark, path, fmt="csv", split="train").collect()
+    assert sorted(r for b in bad for r in b.reasons) == ["bad event_time", "bad session_value", "null user_session"]
+
+
+def test_missing_column_and_unknown_format(spark):
+    path = _csv(spark, "short", ["user_session,user_id", "S,U"])
+    with pytest.raises(ValueError, match="event_time"):
+        scan_events(spark, path, fmt="csv", split="train")
+    with pytest.raises(ValueError):
+        scan_events(spark, path, fmt="json", split="train")
+
+
+def test_parquet_folder_without_suffix(spark):
+    ev = clickstream(spark, "/root/testdata/sf0.001")
+    path = shared_dir(spark, "src-plain-folder")
+    ev.write.mode("overwrite").parquet(path)
+    assert scan_events(spark, path).count() == ev.count()
+
+
+def test_hot_session_is_dealt_over_tasks(spark, make_events):
+    """Half of the events in one session, no broadcast: AQE splits the hot partition of the join."""
+    from clickflow.operators.triage import clean_events
+
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "8k")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        n = 40_000
+        ev = spark.range(n, numPartitions=8).select(
+            F.col("id").alias("event_id"),
+            F.expr("timestamp_ntz'2025-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)").alias("event_time"),
+            F.lit("VIEW").alias("event_type"), (F.col("id") % 50).alias("product_id"), (F.col("id") % 5).alias("category_id"),
+            F.when((F.col("id") % 997 == 3) & (F.col("id") % 2 == 1), F.col("id")).otherwise(1).alias("user_id"),
+            F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 997)).alias("user_session"),
+            F.lit(1.0).alias("session_value"), F.lit("train").alias("split"),
+        )
+        rows = clean_events(ev).withColumn("t", F.spark_partition_id()).groupBy("t").count().collect()
+        gone = sum(1 for i in range(n) if i % 997 == 3 and i % 2 == 1)
+        assert gone and sum(r["count"] for r in rows) == n - gone
+        assert max(r["count"] for r in rows) < n / 3
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
