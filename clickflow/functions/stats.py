@@ -11,9 +11,10 @@ sit in one task. The two operators here only ever hold bounded pieces:
   blocks. Linear interpolation between neighbours, as pandas ``quantile``,
   DuckDB ``quantile_cont`` and Spark ``percentile``.
 * ``order_statistic`` - many groups (sessions), non-negative integer values
-  (microseconds): a two-pass radix select. Pass one counts values per
-  (group, high bits), pass two counts exact values only inside the chosen
-  high-bits bucket, so no group is ever larger than ``2**low_bits`` rows.
+  (microseconds): a radix select in three passes over digits of ``low_bits``
+  bits. Each pass counts the values of the chosen prefix by their next digit, so
+  no window is larger than ``2**low_bits`` rows for values below ``2**(3 * low_bits)``
+  (20 bits: 36,000 years of microseconds).
 """
 
 from __future__ import annotations
@@ -126,16 +127,18 @@ def order_statistic(
     rank. Returns (group, ``value``, n_le) where n_le counts values <= it.
     """
     hist = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    hi = F.shiftright(F.col(value), low_bits)
-    coarse = hist.groupBy(group, hi.alias("_b")).agg(F.sum("_c").alias("_c1"))
-    coarse = coarse.withColumn("_before1", _before("_b", [group], "_c1"))
-    pick1 = (
-        coarse.join(ranks.select(group, rank), group)
-        .where((F.col("_before1") <= F.col(rank)) & (F.col(rank) < F.col("_before1") + F.col("_c1")))
-        .select(group, "_b", "_before1", (F.col(rank) - F.col("_before1")).alias("_r"))
-    )
-    fine = hist.withColumn("_b", hi).join(pick1, [group, "_b"])
-    fine = fine.withColumn("_before2", _before(value, [group], "_c"))
-    return fine.where(
-        (F.col("_before2") <= F.col("_r")) & (F.col("_r") < F.col("_before2") + F.col("_c"))
-    ).select(group, value, (F.col("_before1") + F.col("_before2") + F.col("_c")).alias("n_le"))
+    pick = ranks.select(group, F.col(rank).cast("long").alias("_r"), F.lit(0).cast("long").alias("_lt"))
+    keys, digits = [group], hist
+    for shift in (2 * low_bits, low_bits, 0):
+        # values of the chosen prefix, counted by their next digit
+        digit = f"_d{shift}"
+        digits = digits.withColumn(digit, F.shiftright(F.col(value), shift))
+        level = digits.join(pick, keys).groupBy(*keys, digit, "_r", "_lt").agg(F.sum("_c").alias("_n"))
+        level = level.withColumn("_b", _before(digit, keys, "_n"))
+        level = level.where((F.col("_b") <= F.col("_r")) & (F.col("_r") < F.col("_b") + F.col("_n")))
+        pick = level.select(
+            group, digit, (F.col("_r") - F.col("_b")).alias("_r"), (F.col("_lt") + F.col("_b")).alias("_lt"), "_n"
+        )
+        keys = [group, digit]
+        found, pick = pick, pick.drop("_n")
+    return found.select(group, F.col(digit).alias(value), (F.col("_lt") + F.col("_n")).alias("n_le"))
