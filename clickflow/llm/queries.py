@@ -9,6 +9,7 @@ from clickflow.llm.language import op3_language_id
 from clickflow.llm.line_dedup import op1_line_dedup
 from clickflow.llm.mixing import op7_mixing
 from clickflow.llm.ngram_join import op2_ngram_jaccard
+from clickflow.llm.oracle import ORACLE
 from clickflow.llm.pii import op5_pii
 from clickflow.llm.suffix_dedup import op6_suffix_dedup
 from clickflow.llm.toxicity import op8_toxicity
@@ -32,4 +33,4 @@ def llm_queries() -> dict:
 
 
 def llm_oracle() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
