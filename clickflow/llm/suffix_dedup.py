@@ -92,11 +92,14 @@ def unpack(pos):
 
 
 def runs_of(rows: DataFrame, width: int) -> DataFrame:
-    """(k, h, id, pos), twice for each run: k is the hash of the anchor with ``SIDE`` bytes to its left or (odd k) right, h of the run's string.
+    """(k, h, id, pos, again), twice for each run: k is the hash of the anchor with ``SIDE`` bytes to its left or (odd k) right, h of the run's string.
 
     A window agrees with its repeats on the anchor and on ``SIDE`` bytes to one of both sides at least, so
     either k brings them together, while an anchor that is common in itself spreads over many keys.
+    Runs whose string stands earlier in the same piece of the input are known repeats already: they get one
+    row, under a key of their own place.
     """
+    names = ["k", "h", "id", "pos", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -109,11 +112,16 @@ def runs_of(rows: DataFrame, width: int) -> DataFrame:
             right = hasher.of(anchor, np.minimum(anchor + GRAM + SIDE, offs[row + 1]))
             one = np.uint64(1)
             base = offs[row]
-            rest = [signed(hasher.of(start, last + width)), batch.column("id").to_numpy()[row], pack(start - base, last - base, anchor - base)]
-            for k in (left & ~one, right | one):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (signed(k), *rest)], names=["k", "h", "id", "pos"])
+            h, ids, pos = hasher.of(start, last + width), batch.column("id").to_numpy()[row], pack(start - base, last - base, anchor - base)
+            order = np.lexsort((pos, ids, h))
+            known = np.zeros(len(h), bool)
+            known[order[1:]] = h[order[1:]] == h[order[:-1]]
+            place = mix(ids.astype(np.uint64) * np.uint64(BASE) + pos.astype(np.uint64))
+            for k, use in ((left & ~one, ~known), (right | one, ~known), (place, known)):
+                cols = [pa.array(c[use], pa.int64()) for c in (signed(k), signed(h), ids, pos)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(known[use])], names=names)
 
-    return rows.mapInArrow(run, "k long, h long, id long, pos long")
+    return rows.mapInArrow(run, "k long, h long, id long, pos long, again boolean")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int, least: int = 100_000) -> Iterator[pa.Table]:
@@ -153,7 +161,13 @@ def whole_repeats(runs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, h, ids, pos = (c.to_numpy() for c in batch.columns)
+            known = batch.column("again").to_numpy(zero_copy_only=False)
+            if known.any():
+                k, _, ids, pos = (c.filter(batch.column("again")) for c in batch.columns[:4])
+                yield pa.RecordBatch.from_arrays([k, ids, pos, pa.array(np.zeros(len(k), bool))], names=names)
+            k, h, ids, pos = (c.to_numpy()[~known] for c in batch.columns[:4])
+            if not len(k):
+                continue
             new_k, new_h = np.ones(len(k), bool), np.ones(len(k), bool)
             new_k[1:] = k[1:] != k[:-1]
             new_h[1:] = new_k[1:] | (h[1:] != h[:-1])
@@ -348,7 +362,7 @@ def part_repeats(fetched: DataFrame, width: int) -> DataFrame:
     return fetched.repartition("k", "block").sortWithinPartitions("k", "block").mapInArrow(run, "id long, a long, b long, w long")
 
 
-def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100, block: int = 256) -> DataFrame:
+def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100, block: int = 512) -> DataFrame:
     """(id, a, b): byte ranges of each text that go; ranges may overlap."""
     store = Store(docs.sparkSession, "suffix-dedup")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
