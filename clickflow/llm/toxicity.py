@@ -16,7 +16,6 @@ all, the score is 0 everywhere. Repeated rows score alike; other columns are not
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickflow.llm.common import fold, slices, table
+from clickflow.llm.common import Store, fold, slices, table
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 OPEN_QUOTES, CLOSE_QUOTES = "\"“«„‘", "\"”»“’"
@@ -99,26 +98,28 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.trie = model, build_trie(model.terms)
         self.known: dict[str, tuple[float, int]] = {}
-        self.heads = {t[:k] for t in model.terms for k in range(len(t) + 1)}
-        self.tails = {t[k:] for t in model.terms for k in range(len(t) + 1)}
-        self.width = max((len(s) for s in model.stems), default=0)
+        # two words within one edit agree, as they are or with one letter left out
+        self.reach = set(model.terms) | {t[:i] + t[i + 1 :] for t in model.terms for i in range(len(t))}
+        self.widths = sorted({len(s) for s in model.stems}, reverse=True)
 
     def near(self, word: str) -> bool:
-        """Whether a term can be within reach: one edit leaves the front or the back half of a word as it was."""
-        half = (len(word) - 1) // 2
-        return word in self.model.terms or allowed_edits(len(word)) > 0 and (word[:half] in self.heads or word[half + 2 :] in self.tails)
+        """Whether the automaton can find a term: a cheap test that spares it most words."""
+        if word in self.model.terms:
+            return True
+        n = len(word)
+        return allowed_edits(n) > 0 and (word in self.reach or any(word[:i] + word[i + 1 :] in self.reach for i in range(n)))
 
     def weigh(self, word: str) -> tuple[float, int]:
         got = self.known.get(word)
         if got is None:
             got = match(self.trie, word) if self.near(word) else (0.0, 0)
-            if got[0] <= 0 and self.width:
-                for k in range(self.width, 2, -1):
+            if got[0] <= 0:
+                for k in self.widths:
                     weight = self.model.stems.get(word[:k])
                     if weight:
                         got = (0.7 * weight, 1)
                         break
-            if len(self.known) > 300_000:
+            if len(self.known) > 400_000:
                 self.known.clear()
             self.known[word] = got
         return got
@@ -128,12 +129,18 @@ class Scorer:
 
         context is 1 for plain use, 0.5 inside quotation marks, less near rejecting words.
         """
-        low = text.lower() if len(text.lower()) == len(text) else text
+        low = text.lower()
+        if len(low) != len(text):  # a few letters change their length; keep positions
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        words = WORD.findall(low)
+        terms = {w: got for w in set(words) if (got := self.weigh(w))[0] > 0}
+        if not terms:
+            return [], len(words)
         spans = [m.span() for m in WORD.finditer(low)]
         out = []
         for k, (a, b) in enumerate(spans):
-            weight, edits = self.weigh(low[a:b])
-            if weight > 0:
+            if words[k] in terms:
+                weight, edits = terms[words[k]]
                 near = spans[max(0, k - self.model.window) : k + self.model.window + 1]
                 context = 0.5 if quoted(text, a, b, near[0][0], near[-1][1]) else 1.0
                 if self.model.reject:
@@ -199,7 +206,8 @@ def fit(
                 keys = ["w" + w for w in words if len(w) > 2] + ["s" + s for s in {w[:k] for w in words for k in (4, 5) if len(w) > k}]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.full(len(keys), y, np.int32))], names=["k", "y"])
 
-    rows = rows.persist()
+    store = Store(docs.sparkSession, "toxicity")
+    rows = store.put(rows, "sample")
     n1, n0 = (rows.where(f"y = {y}").count() for y in (1, 0))
     seen = rows.select("text", "y").mapInArrow(presence, "k string, y int").groupBy("k")
     seen = seen.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
@@ -212,26 +220,32 @@ def fit(
     stems = {r["k"][1:]: min(r["odds"], 6.0) for r in strong if r["k"][0] == "s"}
     model = ToxicityModel(terms, stems)
 
-    # feature rows of the sample come to the driver: ``sample`` rows of a few numbers, and words near hits
-    def featured(batches):
+    # words near hits: those that stand there in texts that are not toxic make a hit count less
+    def around(batches):
         scorer = Scorer(model)
         for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            near: list[list[str]] = []
-            for t in texts:
-                low, words = t.lower(), Counter()
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                low, near = t.lower(), set()
                 for a, b, *_ in scorer.hits(t)[0]:
-                    words.update(m[0] for m in WORD.finditer(low[max(0, a - 40) : b + 40]))
-                near.append(list(words))
-            f = [scorer.features(t).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string())), batch.column("y")], names=["f", "near", "y"])
-
-    scored = rows.select("text", "y").mapInArrow(featured, "f array<double>, near array<string>, y int")
-    around = scored.where("size(near) > 0").select(F.explode("near").alias("w"), "y").groupBy("w")
-    around = around.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where("q >= 5 and q > 4 * p")
-    model.reject = {r["w"]: min(0.9, (r["q"] / (r["p"] + r["q"]) - 0.5) * 1.5) for r in around.orderBy(F.desc("q"), "w").limit(200).collect() if r["w"] not in terms}
-    data = scored.select("f", "y").collect()
-    rows.unpersist()
+                    near.update(WORD.findall(low[max(0, a - 40) : b + 40]))
+                if near:
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string()), pa.array(np.full(len(near), y, np.int32))], names=["w", "y"])
+
+    seen = rows.select("text", "y").mapInArrow(around, "w string, y int").groupBy("w")
+    seen = seen.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where("q >= 5 and q > 4 * p")
+    most = seen.orderBy(F.desc("q"), "w").limit(200).collect()
+    reject = {r["w"]: min(0.9, (r["q"] / (r["p"] + r["q"]) - 0.5) * 1.5) for r in most if r["w"] not in terms}
+    model = ToxicityModel(terms, stems, reject)
+
+    # feature rows of the sample come to the driver: ``sample`` rows of a few numbers
+    def featured(batches):
+        scorer = Scorer(model)
+        for batch in slices(batches, "text"):
+            f = [scorer.features(t).tolist() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column("y")], names=["f", "y"])
+
+    data = rows.select("text", "y").mapInArrow(featured, "f array<double>, y int").collect()
+    store.drop("sample")
     x = np.array([r["f"] for r in data]).reshape(len(data), N_FEATURES)
     y = np.array([r["y"] for r in data], float)
     model.weights, model.fitted = logistic(x, y), True
