@@ -6,8 +6,8 @@ sample (``sample`` labelled rows) and gives every document a posterior over doma
 nonnegative rates r are fitted by projected-gradient least squares so that the expected tokens
 of each domain, sum(r * tokens * posterior), meet the targets. The residual is weighted by the
 inverse Gram matrix of the domains, which makes 1 a safe step. A step needs one aggregate of
-as many numbers as there are domains; a document's rate is a fold over the steps taken, so no
-state table is written.
+as many numbers as there are domains; a document's rate is a fold over the steps taken, from a
+state that is written every few steps.
 
 Null and empty texts have no tokens; their rate is the starting rate. Null label values form no
 domain. With no labelled rows there is one domain, and all rates are equal. Domains without a
@@ -98,8 +98,13 @@ def posteriors(docs: DataFrame, labelled: DataFrame, store: Store, key: str, tex
     return scored.withColumn("total", total).select("id", "n_tokens", F.transform("e", lambda v: v / F.col("total")).alias("p")), domains
 
 
-def fit_rates(members: DataFrame, target: np.ndarray, start: float, steps: int = 60, tolerance: float = 1e-6) -> list[list[float]]:
-    """Steps of the accelerated projected gradient over (n_tokens, p): a multiplier for each domain, and the momentum."""
+def fit_rates(
+    members: DataFrame, target: np.ndarray, start: float, store: Store | None = None, steps: int = 60, tolerance: float = 1e-5, every: int = 6
+) -> list[list[float]]:
+    """Steps of the accelerated projected gradient over (n_tokens, p): a multiplier for each domain, and the momentum.
+
+    With a store, the rows' state is written after every few steps, so that a step folds over few of them.
+    """
     k = len(target)
     n = F.col("n_tokens").cast("double")
     dot = [F.sum(n * n * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
@@ -109,27 +114,35 @@ def fit_rates(members: DataFrame, target: np.ndarray, start: float, steps: int =
         for j in range(i, k):
             gram[i, j] = gram[j, i] = gram_row[f"g{i}_{j}"] or 0.0
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    now, rows, written = members, members.count() if store else 0, 0
     taken: list[list[float]] = []
     t = 1.0
-    for _ in range(steps):
-        at = state_of(taken, k, start)
+    for step in range(steps):
+        at = state_of(taken[written:], k, start, "state" if written else None)
+        if store and step - written == every:
+            now = store.put(now.select("n_tokens", "p", at.alias("state")), f"state-{step}", rows)
+            if written:
+                store.drop(f"state-{written}")
+            written, at = step, F.col("state")
         sums = [F.sum(n * F.col("p")[i] * F.col("s")[v]).alias(f"{v}{i}") for v in ("r", "y") for i in range(k)]
-        row = members.withColumn("s", at).agg(*sums).first()
+        row = now.withColumn("s", at).agg(*sums).first()
         rates, ahead = (np.array([row[f"{v}{i}"] or 0.0 for i in range(k)]) for v in ("r", "y"))
         if np.abs(rates - target).max() <= tolerance * max(target.sum(), 1.0):
             break
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         taken.append([*(float(v) for v in inverse @ (ahead - target)), float((before - 1) / t)])
+    if written:
+        store.drop(f"state-{written}")
     return taken
 
 
-def state_of(taken: list[list[float]], k: int, start: float) -> Column:
-    """Rate r and look-ahead rate y of a row after the steps.
+def state_of(taken: list[list[float]], k: int, start: float, state: str | None = None) -> Column:
+    """Rate r and look-ahead rate y of a row after the steps, from the start or from a written state.
 
     Each step subtracts the gradient at y, projects to r >= 0 and looks ahead along the change
     (Nesterov's momentum, the last number of a step).
     """
-    first = F.struct(F.lit(float(start)).alias("r"), F.lit(float(start)).alias("y"))
+    first = F.col(state) if state else F.struct(F.lit(float(start)).alias("r"), F.lit(float(start)).alias("y"))
     if not taken:
         return first
     n = F.col("n_tokens").cast("double")
@@ -165,7 +178,7 @@ def mix_to_targets(
     if not goal.sum():
         goal = np.array([now[f"t{i}"] or 0.0 for i in range(k)])
     target = goal / max(goal.sum(), 1e-300) * budget * float(now["n"] or 0)
-    rate = state_of(fit_rates(members, target, budget), k, budget)["r"]
+    rate = state_of(fit_rates(members, target, budget, store), k, budget)["r"]
     out = members.select(F.col("id").alias(key), "n_tokens", F.lit(domains).alias("domains"), F.col("p").alias("posterior"), rate.alias("rate"))
     return out
 
