@@ -212,7 +212,8 @@ def cell_links(docs: DataFrame, placed: DataFrame, width: int, num: int, den: in
         links = trie_links(sets, num, den, known.tolist())
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in links], pa.int64())})
 
-    return docs.join(placed, "id").select("cell", "block", "id", "known", "text").groupBy("cell", "block").applyInArrow(join, "a long, b long")
+    # the placed rows grow with the table: one plan at every size, no broadcast
+    return docs.join(placed.hint("merge"), "id").select("cell", "block", "id", "known", "text").groupBy("cell", "block").applyInArrow(join, "a long, b long")
 
 
 # --- operator ---------------------------------------------------------------
@@ -243,7 +244,7 @@ def near_duplicates(
     pivot = (F.col("blocks") > 1) & (draw < F.lit(float(PIVOTS) * (1 << 30)) / F.col("size"))
     blocks = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
     placed = sized.select("id", "cell", F.explode(blocks).alias("block"), F.col("id").alias("known"))
-    links = store.put(cell_links(rows, placed, width, num, den), "links", docs_n)
+    links = store.put(cell_links(rows, placed, width, num, den), "links")
 
     # cells of several blocks that are not yet in one piece compare block with block
     large = sized.where("blocks > 1")
