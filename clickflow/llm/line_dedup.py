@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickflow.llm.common import LOWER, SPACE, Store, components, lists, mix, signed, slices, spans_of, table, text_bytes, word_hashes
+from clickflow.llm.suffix_dedup import groups_of
 
 CELLS = 1 << 19  # of each of the two sketch rows
 SKETCH_PARTS = 32
@@ -41,8 +42,14 @@ PIVOTS = 32
 PAIRS = 4_000_000
 
 
-def line_tokens(col: pa.Array):
-    """Distinct tokens of each line that has any: token hashes (by line, then hash), line of each, and (row, line number) of each line."""
+TOKEN_BITS = 44
+
+
+def line_tokens(col: pa.Array, whole: bool = False):
+    """Distinct tokens of each line that has any: token hashes (by line, then hash), line of each, and (row, line number) of each line.
+
+    Hashes have 44 bits unless ``whole``, so that line and token sort as one number.
+    """
     data, offs = text_bytes(col)
     data = LOWER[data]
     starts, ends, row = spans_of(~SPACE[data], offs)
@@ -55,15 +62,21 @@ def line_tokens(col: pa.Array):
     line = np.cumsum(np.diff(row * (len(breaks) + 1) + before, prepend=-1) != 0) - 1
     first = np.flatnonzero(np.diff(line, prepend=-1))
     h = word_hashes(data, starts, ends)
-    order = np.lexsort((h, line)) if line[-1] >= 1 << 20 else np.argsort((line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
-    h, at = h[order], line[order]
+    if whole or line[-1] >= 1 << 64 - TOKEN_BITS:
+        if not whole:
+            h >>= np.uint64(64 - TOKEN_BITS)
+        order = np.lexsort((h, line))
+        h, at = h[order], line[order]
+    else:
+        both = np.sort((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (h >> np.uint64(64 - TOKEN_BITS)))
+        h, at = both & np.uint64((1 << TOKEN_BITS) - 1), (both >> np.uint64(TOKEN_BITS)).astype(np.int64)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
     return h[new], at[new], row[first], number[first]
 
 
 def cell_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(CELLS - 1)).astype(np.int64), ((h >> np.uint64(40)) & np.uint64(CELLS - 1)).astype(np.int64)
+    return (h & np.uint64(CELLS - 1)).astype(np.int64), ((h >> np.uint64(22)) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def signature(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -118,7 +131,7 @@ def rarity(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, sketch, min_tokens: int, num: int, den: int) -> DataFrame:
-    """(k, sig, b1, b2): prefix token (48 bits) with the set's size (16 bits, saturated), signature, 128 parity bits.
+    """(k, sig, b1, b2): prefix token (44 bits) with the set's size (16 bits, saturated), signature, 128 parity bits.
 
     Equal sets of one task are written once; tokens that only one line holds cannot meet and are left out.
     """
@@ -149,14 +162,17 @@ def prefixes(rows: DataFrame, sketch, min_tokens: int, num: int, den: int) -> Da
             h, at, df = h[keep], at[keep], rarity(h[keep], counts)
             if not len(h):
                 continue
-            order = np.lexsort((h, df, at))
+            # by line, rarity (in steps of 1/64 of a doubling), hash: ties of the packed number keep the order by hash
+            step = (np.log2(df) * 64).astype(np.uint64)
+            line = (np.cumsum(np.diff(at, prepend=at[0]) != 0)).astype(np.uint64)
+            order = np.argsort((line << np.uint64(44)) | (step << np.uint64(32)) | (h >> np.uint64(TOKEN_BITS - 32)), kind="stable")
             h, at, df = h[order], at[order], df[order]
             n = size[at]
             begin = np.flatnonzero(np.diff(at, prepend=-1))
             place = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
             use = (place <= n - -(-n * num // den)) & (df > 1)
             h, at = h[use], at[use]
-            k = (h & ~np.uint64(0xFFFF)) | np.minimum(size[at], 0xFFFF).astype(np.uint64)
+            k = (h << np.uint64(16)) | np.minimum(size[at], 0xFFFF).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(sig[at]), pa.array(signed(b1[at])), pa.array(signed(b2[at]))], names=["k", "sig", "b1", "b2"])
 
     return rows.select("text").mapInArrow(run, "k long, sig long, b1 long, b2 long")
@@ -224,13 +240,13 @@ def candidates(posted: DataFrame, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         def flush(block: np.ndarray):
-            k = block[0].view(np.uint64)
+            k = block[0]
             if hub is not None:
-                same = k >> np.uint64(16) == hub[0]
+                same = k >> 16 == hub[0]
                 yield out(block[1][same], np.full(int(same.sum()), hub[1]))
                 block, k = block[:, ~same], k[~same]
             if len(k):
-                yield out(*meet(k, block[1], block[2].view(np.uint64), block[3].view(np.uint64), num, den))
+                yield out(*meet(k.view(np.uint64), block[1], block[2].view(np.uint64), block[3].view(np.uint64), num, den))
 
         for batch in batches:
             if not batch.num_rows:
@@ -240,7 +256,7 @@ def candidates(posted: DataFrame, num: int, den: int) -> DataFrame:
             if rows < BUFFER:
                 continue
             block = np.concatenate(held, axis=1)
-            token = block[0].view(np.uint64) >> np.uint64(16)
+            token = block[0] >> 16
             cut = int(np.searchsorted(token, token[-1]))
             if cut == 0:
                 if hub is None or hub[0] != token[-1]:
@@ -251,8 +267,7 @@ def candidates(posted: DataFrame, num: int, den: int) -> DataFrame:
         if rows:
             yield from flush(np.concatenate(held, axis=1))
 
-    # the unsigned order of k within a token is its signed order, and tokens stay together
-    near = posted.repartition(F.shiftrightunsigned("k", 16)).sortWithinPartitions(F.shiftrightunsigned("k", 16), "k", "sig")
+    near = posted.repartition(F.shiftright("k", 16)).sortWithinPartitions("k")  # by token, then size
     return near.mapInArrow(run, "a long, b long").where("a <> b")
 
 
@@ -301,7 +316,7 @@ def marked(rows: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            h, at, row, number = line_tokens(batch.column("text"))
+            h, at, row, number = line_tokens(batch.column("text"), whole=True)
             edge = np.searchsorted(at, np.arange(len(row) + 1))
             where = {(r, n): k for k, (r, n) in enumerate(zip(row.tolist(), number.tolist()))}
             ids = batch.column("id").to_pylist()
@@ -312,16 +327,24 @@ def marked(rows: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, kinds)] + [lists([signed(h[edge[k] : edge[k + 1]]) for k in cols[6]], pa.int64())], names=names
             )
 
-    def join(cell: pa.Table) -> pa.Table:
-        cell = cell.sort_by([("id", "ascending"), ("line", "ascending")])
-        tokens = cell.column("tokens").combine_chunks()
-        values, offs = tokens.values.to_numpy().view(np.uint64), tokens.offsets.to_numpy()
-        sets = [values[a:b] for a, b in zip(offs[:-1], offs[1:])]
-        hit = later_matches(sets, cell.column("probe").to_numpy(), num, den)
-        return pa.table({"sig": cell.column("sig").filter(pa.array(hit))})
-
-    fetched = rows.join(wanted, "id").mapInArrow(fetch, "cell long, block long, id long, line long, sig long, probe boolean, tokens array<long>")
-    return fetched.groupBy("cell", "block").applyInArrow(join, "sig long")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches, 2, 5_000):
+            t = t.combine_chunks()
+            cell, part, sig, probe = (t.column(c).to_numpy() for c in ("cell", "block", "sig", "probe"))
+            tokens = t.column("tokens").combine_chunks()
+            if isinstance(tokens, pa.ChunkedArray):
+                tokens = tokens.chunk(0)
+            values, offs = tokens.values.to_numpy().view(np.uint64), tokens.offsets.to_numpy()
+            cut = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(cell)]
+            hit = np.zeros(len(cell), bool)
+            for a, b in zip(cut, cut[1:]):
+                if b - a > 1:
+                    hit[a:b] = later_matches([values[x:y] for x, y in zip(offs[a:b], offs[a + 1 : b + 1])], probe[a:b], num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[hit])], names=["sig"])
+
+    # the wanted lines grow with the table: one plan at every size, no broadcast
+    fetched = rows.join(wanted.hint("merge"), "id").mapInArrow(fetch, "cell long, block long, id long, line long, sig long, probe boolean, tokens array<long>")
+    return fetched.repartition("cell", "block").sortWithinPartitions("cell", "block", "id", "line").mapInArrow(join, "sig long")
 
 
 def repeated_lines(
