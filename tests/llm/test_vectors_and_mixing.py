@@ -46,6 +46,31 @@ def test_embeddings_against_all_pairs(spark):
     assert got == {i: (len(links[i]), label[i], label[i] == i) for i in label}
 
 
+def all_pairs(x, threshold=0.93):
+    """(n_links, component) of each row of a matrix, ids from 0."""
+    x = x / np.sqrt((x * x).sum(1, keepdims=True))
+    linked = x @ x.T >= threshold
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.array([min([label[i], *label[linked[i]]]) for i in range(len(x))])
+        if (new == label).all():
+            return {i: (int(linked[i].sum()), int(label[i])) for i in range(len(x))}
+        label = new
+
+
+def test_embeddings_of_two_dense_groups(spark):
+    rng = np.random.default_rng(8)
+    one, other = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    centres = [one, 0.955 * one + math.sqrt(1 - 0.955**2) * other]
+    x = np.array([c + rng.normal(size=32) * 0.01 for c in centres for _ in range(45)])
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(table, block=16, audit=0).collect()
+    want = all_pairs(x)
+    assert {c for _, c in want.values()} == {0} and min(n for n, _ in want.values()) > 50
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 def test_embeddings_empty_table(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(none).count() == 0
