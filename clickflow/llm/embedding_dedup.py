@@ -15,7 +15,8 @@
    nodes beyond it, until no list is saturated.
 6. Audit: a hash-drawn sample of ``audit`` nodes is compared with all nodes of their labels. Links that
    the graph lacks are added; while recall is under ``target``, another round with new projections
-   follows.
+   follows. Recall is the share of a node's links that are counted in step 4, averaged over nodes with
+   links, and also over components (the lower one holds), so that a large group cannot hide lost pairs.
 7. If ``rounds`` rounds do not settle it, all nodes of a label are compared in blocks.
 
 Links are between rows of equal, non-null label and equal dimension. Vectors that are null, empty, zero or
@@ -225,6 +226,14 @@ def audited(nodes: DataFrame, threshold: float, audit: int, seed: int, total: in
     return nodes.select("id", "label", "dim", "v").mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def recall_of(both: DataFrame) -> float:
+    """Mean share of hits over audited nodes or over their components, whichever is lower. both: a, ca (component or null), hit."""
+    by_node = both.groupBy("a", F.coalesce("ca", "a").alias("c")).agg(F.avg(F.col("hit").cast("double")).alias("r"), F.sum((~F.col("hit")).cast("long")).alias("lost"))
+    by_cell = by_node.groupBy("c").agg(F.sum("r").alias("r"), F.count("*").alias("nodes"), F.sum("lost").alias("lost"))
+    n = by_cell.agg(F.sum("r") / F.sum("nodes"), F.avg(F.col("r") / F.col("nodes")), F.sum("lost")).first()
+    return 1.0 if not n[2] else min(n[0], n[1])
+
+
 def near_duplicates(
     embeddings: DataFrame,
     key: str = "vec_id",
@@ -273,12 +282,12 @@ def near_duplicates(
         truth = store.put(audited(nodes, threshold, audit, r, total), f"audit-{r}")
         both = truth.join(cells.withColumnRenamed("id", "a").withColumnRenamed("cell", "ca"), "a", "left")
         both = both.join(cells.withColumnRenamed("id", "b").withColumnRenamed("cell", "cb"), "b", "left").withColumn("hit", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
-        n = both.agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hit")).first()
-        if n["n"] and n["hit"] < n["n"]:
+        recall = recall_of(both)
+        if recall < 1:
             edges = edges.unionByName(both.where("not hit").select("a", "b"))
             cells = store.put(components(store, edges, f"cc-{r}-audit").withColumnRenamed("component", "cell"), f"cells-{r}-audit", total)
         full = lists.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= size) & (F.col("low") >= threshold))
-        if (not n["n"] or n["hit"] >= target * n["n"]) and not full.limit(1).count():
+        if recall >= target and not full.limit(1).count():
             settled = True
             break
         if r + 1 < rounds:

@@ -71,6 +71,26 @@ def test_embeddings_of_two_dense_groups(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
 
 
+def test_embeddings_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(9)
+    dim, hot, pairs = 64, 400, 300
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    first = unit(rng.normal(size=(pairs, dim)))
+    aside = rng.normal(size=(pairs, dim))
+    aside = unit(aside - (aside * first).sum(1, keepdims=True) * first)
+    x = np.concatenate([unit(rng.normal(size=dim)) + rng.normal(size=(hot, dim)) * 0.01, first, 0.935 * first + math.sqrt(1 - 0.935**2) * aside])
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(table, projections=1, descents=0, audit=200, rounds=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == all_pairs(x)
+
+
+def test_recall_counts_nodes_and_components(spark):
+    hot = [(a, 0, True) for a in range(30) for _ in range(100)]
+    both = spark.createDataFrame([*hot, (50, None, False), (51, 51, True), (52, None, False)], "a long, ca long, hit boolean")
+    assert embedding_dedup.recall_of(both) == pytest.approx(2 / 4)
+    assert embedding_dedup.recall_of(both.where("hit")) == 1 and embedding_dedup.recall_of(both.limit(0)) == 1
+
+
 def test_embeddings_empty_table(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(none).count() == 0
