@@ -9,6 +9,10 @@ if the page has one, else those of <main>, else all that stand outside of menus,
 forms and the like. Article lines are never deleted for being shared, since copies of one
 article under two addresses are common; a neighbour with the very same lines is no witness.
 
+Class, id and role names mark boilerplate by whole tokens, never on html, body, main or article, and an
+article or main inside an element so marked (or a form) is text again. Hidden elements, menus, footers
+and the like stay closed.
+
 Null or empty html gives an empty text; a null url is a host of its own with empty path.
 Pages alone on their host keep what the landmarks allow. Repeated rows are extracted alike.
 Only the named columns are read, so other columns cannot clash.
@@ -46,7 +50,9 @@ BOILER_NAMES = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TRACKED = frozenset("div section article main nav footer header aside form ul ol table td tr button select dialog menu fieldset head body".split())
-BOILER, NEUTRAL, MAIN, ARTICLE = 0, 1, 2, 3
+ROOTS = frozenset("html body".split())
+CLOSED = BOILER_TAGS - {"form", "fieldset"}  # no article or main inside opens these again
+HIDING, BOILER, NEUTRAL, MAIN, ARTICLE = -1, 0, 1, 2, 3
 
 
 def page_lines(html: str) -> tuple[list[str], list[int]]:
@@ -87,16 +93,19 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             continue
         attrs = m[4]
         inner = zone
-        if zone != BOILER:
-            words = {w for v in NAMED.findall(attrs) for w in re.split(r"[^a-z0-9]+", v.lower())} if "=" in attrs else set()
-            if name in BOILER_TAGS or words & BOILER_NAMES or (HIDDEN.search(attrs) if attrs else None):
-                inner = BOILER
-            elif name == "header" and zone != ARTICLE:
-                inner = BOILER
+        if zone != HIDING:
+            words = {w for v in NAMED.findall(attrs) for w in v.strip("\"'").lower().split()} if "=" in attrs else set()
+            landmark = name in ("article", "main") or "main" in words and "role" in attrs.lower()
+            if name in CLOSED or (HIDDEN.search(attrs) if attrs else None):
+                inner = HIDING
+            elif landmark and zone == BOILER:
+                inner = NEUTRAL  # main text under a misleading name, or teasers: ranked like other text
             elif name == "article":
                 inner = ARTICLE
-            elif zone == NEUTRAL and (name == "main" or "main" in words and "role" in attrs.lower()):
-                inner = MAIN
+            elif landmark:
+                inner = max(zone, MAIN)
+            elif name in BOILER_TAGS or name not in ROOTS and words & BOILER_NAMES or name == "header" and zone != ARTICLE:
+                inner = BOILER
         if name in TRACKED or inner != zone:
             stack.append((name, zone))
             zone = inner
@@ -152,7 +161,7 @@ def main_text(lines: list[str], zones: list[int], neighbours: list[list[str]]) -
             shared |= aligned(lines, other)
     left = [(t, z) for i, (t, z) in enumerate(zip(lines, zones)) if z == ARTICLE or i not in shared]
     best = max((z for _, z in left), default=BOILER)
-    return "\n".join(t for t, z in left if z == best) if best != BOILER else ""
+    return "\n".join(t for t, z in left if z == best) if best > BOILER else ""
 
 
 ADDRESS = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^#]*)"

@@ -396,6 +396,22 @@ def test_pages(spark):
     assert got[5].n_chars == 0 and got[5].url is None
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><p>Text</p></body>",
+        "<body class='cookie'><main class='search'><p>Text</p></main></body>",
+        "<div id='page' class='with-navbar'><p>Text</p><div class='ad'>buy</div></div>",
+        "<article class='related-news search'><p>Text</p><div class='x share'>send</div></article>",
+        "<form><div class='sidebar'>menu<article><p>Text</p></article></div></form>",
+        "<article><p>Text</p><section class='comments'><article><p>me too</p></article></section></article><aside><article>more</article></aside>",
+        "<main hidden><p>gone</p></main><p>Text</p>",
+    ],
+)
+def test_names_do_not_empty_a_page(page):
+    assert html.main_text(*html.page_lines(page), []) == "Text"
+
+
 def test_common_subsequence_against_table():
     rng = random.Random(5)
     for _ in range(300):
