@@ -3,11 +3,13 @@
 Each page is cut into text lines, one per block element, with the zone of the page that a
 line stands in. Pages are sorted by host, path and id (a range exchange, so that a large
 host spreads over many tasks) and each page is compared with its neighbours of the same host
-in that order: lines are aligned by longest common subsequence and shared lines outside an
-article are deleted as template. Of what is left, landmarks decide: the lines of the article
+in that order: lines are aligned by longest common subsequence and shared lines are deleted as
+template, inside of articles too. Of what is left, landmarks decide: the lines of the article
 if the page has one, else those of <main>, else all that stand outside of menus, notices,
-forms and the like. Article lines are never deleted for being shared, since copies of one
-article under two addresses are common; a neighbour with the very same lines is no witness.
+forms and the like. Copies and near copies of one article under several addresses are common: a
+page that shares more than half of the main text (characters of the lines that landmarks would
+keep) is no witness, and the nearest distinct page before and after is taken instead. Pages
+of another partition are not seen.
 
 Class, id and role names mark boilerplate by whole tokens, never on html, body, main or article, and an
 article or main inside an element so marked (or a form) is text again. Hidden elements, menus, footers
@@ -154,16 +156,38 @@ def aligned(a: list, b: list) -> set[int]:
     return out
 
 
-def main_text(lines: list[str], zones: list[int], neighbours: list[list[str]]) -> str:
+def alike(lines: list[str], zones: list[int], shared: set[int]) -> bool:
+    """Whether the shared lines are more than half of what landmarks alone would keep."""
+    best = max(zones, default=BOILER)
+    sizes = [(len(t), i in shared) for i, (t, z) in enumerate(zip(lines, zones)) if z == best]
+    return 2 * sum(n for n, s in sizes if s) > sum(n for n, _ in sizes)
+
+
+def witness(row: dict, seen: list[dict]) -> set[int]:
+    """Positions of the row's lines that the nearest distinct page of ``seen`` (nearest last) shares.
+
+    Pages that the row is a copy or near copy of leave ``seen``, and the row takes their place, so a run of copies holds one page.
+    """
     shared: set[int] = set()
-    for other in neighbours:
-        if other != lines:
-            shared |= aligned(lines, other)
-    left = [(t, z) for i, (t, z) in enumerate(zip(lines, zones)) if z == ARTICLE or i not in shared]
+    while seen:
+        if seen[-1]["lines"] != row["lines"]:
+            shared = aligned(row["lines"], seen[-1]["lines"])
+            if not alike(row["lines"], row["zones"], shared):
+                break
+            shared = set()
+        seen.pop()
+    seen.append(row)
+    del seen[:-DISTINCT]
+    return shared
+
+
+def main_text(lines: list[str], zones: list[int], shared: set[int]) -> str:
+    left = [(t, z) for i, (t, z) in enumerate(zip(lines, zones)) if i not in shared]
     best = max((z for _, z in left), default=BOILER)
     return "\n".join(t for t, z in left if z == best) if best > BOILER else ""
 
 
+DISTINCT = 4  # distinct pages before a page that are held
 ADDRESS = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^#]*)"
 
 
@@ -181,32 +205,41 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     names=["key", "url", "lines", "zones"],
                 )
 
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    yield from batch.slice(at, 500).to_pylist()
-
-        def text(before, row, after):
-            near = [o["lines"] for o in (before, after) if o is not None and o["host"] == row["host"] and row["host"] is not None]
-            return main_text(row["lines"], row["zones"], near)
-
-        out, before, row = [], None, None
-        for after in rows():
-            if row is not None:
-                out.append((row["key"], row["url"], text(before, row, after)))
-            before, row = row, after
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, set[int]]]:
+        """Each row with the positions of lines that the nearest distinct page before it shares."""
+        seen, host = [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for row in batch.slice(at, 500).to_pylist():
+                    if row["host"] != host:
+                        seen, host = [], row["host"]
+                    yield row, witness(row, seen) if host is not None else set()
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(rows(batches), marked_types, lambda row, shared: (*(row[c] for c in names), sorted(shared)))
+
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(rows(batches), types, lambda row, shared: (row["key"], row["url"], main_text(row["lines"], row["zones"], shared.union(row["shared"]))))
+
+    def batches_of(found, schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
+        out = []
+        for row, shared in found:
+            out.append(make(row, shared))
             if len(out) >= 500:
-                yield batch_of(out)
+                yield batch_of(out, schema)
                 out = []
-        if row is not None:
-            out.append((row["key"], row["url"], text(before, row, None)))
-            yield batch_of(out)
+        if out:
+            yield batch_of(out, schema)
 
+    names = ["key", "url", "lines", "zones", "host", "path"]
     types = pa.schema([("key", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("url", pa.string()), ("text", pa.string())])
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)], schema=types)
+    marked_types = pa.schema(
+        [*list(types)[:2], ("lines", pa.list_(pa.string())), ("zones", pa.list_(pa.int8())), ("host", pa.string()), ("path", pa.string()), ("shared", pa.list_(pa.int32()))]
+    )
+
+    def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     lined = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(
         cut, f"key {kind}, url string, lines array<string>, zones array<tinyint>"
@@ -214,7 +247,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     host = F.lower(F.regexp_extract("url", ADDRESS, 1))
     lined = lined.select("*", host.alias("host"), F.regexp_extract("url", ADDRESS, 2).alias("path"))
     near = lined.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    out = near.mapInArrow(differ, f"key {kind}, url string, text string")
+    marked = near.mapInArrow(forward, f"key {kind}, url string, lines array<string>, zones array<tinyint>, host string, path string, shared array<int>")
+    # the same partitions read backwards, for the pages after
+    marked = marked.sortWithinPartitions(F.desc("host"), F.desc("path"), F.desc("key"))
+    out = marked.mapInArrow(backward, f"key {kind}, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -409,7 +409,24 @@ def test_pages(spark):
     ],
 )
 def test_names_do_not_empty_a_page(page):
-    assert html.main_text(*html.page_lines(page), []) == "Text"
+    assert html.main_text(*html.page_lines(page), set()) == "Text"
+
+
+def test_lines_that_articles_share_go(spark):
+    story = lambda k: f"<article><p>Story {k} {'abc' * (k + 3)}</p><p>More of {k} {'xyz' * (k + 3)}</p><p>Subscribe here</p></article>"
+    rows = [(k, f"http://a.com/{k}", PAGE.replace("{body}", story(k))) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got == {k: f"Story {k} {'abc' * (k + 3)}\nMore of {k} {'xyz' * (k + 3)}" for k in range(4)}
+
+
+def test_witness_beyond_copies_and_near_copies(spark):
+    body = lambda k, n: f"<div><p>Welcome to the site</p></div><p>Story {k} {'abc' * (k + 9)}</p><p>And it ends {k}.</p><p>Seen {n} times</p>"
+    rows = [(k, f"http://a.com/{k}", PAGE.replace("{body}", body(*b))) for k, b in enumerate([(0, 0), (1, 1), (1, 1), (1, 1), (1, 2), (1, 3), (2, 4)])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    text = lambda k, n: f"Story {k} {'abc' * (k + 9)}\nAnd it ends {k}.\nSeen {n} times"
+    assert got == {k: text(*b) for k, b in enumerate([(0, 0), (1, 1), (1, 1), (1, 1), (1, 2), (1, 3), (2, 4)])}
 
 
 def test_common_subsequence_against_table():
