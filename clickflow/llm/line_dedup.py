@@ -2,7 +2,9 @@
 
 A line's set is its distinct words (A-Z lower-cased, split at white space). A line goes when an
 earlier line (by document key, then line number) anywhere in the input has Jaccard >= num/den
-with it. Lines with fewer than ``min_tokens`` distinct words stay.
+with it. Lines with fewer than ``min_tokens`` distinct words stay (``op1_line_dedup`` and the pipeline
+judge all lines that have a word). Sets too small to match any but an equal one (under 4 words at
+0.8) are left out of the join; equal sets are found by signature at every size.
 
 1. One pass writes (document, line, signature of the set) and a fixed-size count sketch of how many
    lines hold each word, over all documents. The sketch (min of two rows of cells, as in a
@@ -148,7 +150,7 @@ def prefixes(rows: DataFrame, sketch, min_tokens: int, num: int, den: int) -> Da
             sig = signature(h, edge)
             fresh = np.zeros(len(edge), bool)
             fresh[np.unique(sig, return_index=True)[1]] = True
-            fresh &= size >= min_tokens
+            fresh &= (size >= min_tokens) & (size * den >= num * (size + 1))  # others match equal sets only
             fresh &= np.fromiter((s not in seen for s in sig.tolist()), bool, len(sig))
             if len(seen) > 2_000_000:
                 seen.clear()
@@ -396,7 +398,7 @@ def without(removed: str, text: str) -> Column:
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """For every document: number of lines, number removed, and which (from 0, ascending)."""
     docs = table(spark, sf_dir, "documents")
-    gone = repeated_lines(docs).groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    gone = repeated_lines(docs, min_tokens=1).groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     count = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     joined = count.join(gone, count.doc_id == gone.id, "left")
     empty = F.array().cast("array<bigint>")

@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that nearly repeat an earlier line are cut out of the texts; every document stays."""
-    return line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs))
+    return line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs, min_tokens=1))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,17 @@ def test_line_dedup(spark, block):
         assert left[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want))
 
 
+def test_line_dedup_judges_short_lines(spark, tmp_path):
+    texts = [None, "", "one\n\ntwo words\nabc", " ABC \n\nwords two two\nnew", "a b c d", "a b c d e", "a b c", "a b", "每一行都是一个词\n  ", "每一行都是一个词", "e d c b", "x a b c d e f"]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute_lines(texts, 80, 100, 1)
+    assert (3, 0) in want and (5, 0) in want and (9, 0) in want and (6, 0) not in want
+    got = {(r.doc_id, n) for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect() for n in r.removed}
+    assert got == want
+    left = corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, texts), "")
+    assert {r.doc_id for r in left.collect() if r.text is not None and not r.text.strip()} == {1, 5, 9, 10}
+
+
 def test_line_dedup_empty_table(spark):
     assert line_dedup.repeated_lines(docs_of(spark, ["a"]).limit(0)).count() == 0
 
