@@ -108,8 +108,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             taken.append((a, b))
             out.append((a, kind, b))
 
-    low = text.lower() if "at" in text else ""
-    if "(at)" in low or "[at]" in low or " dot " in low:
+    low = text.lower()
+    if "at" in low and "dot" in low:
         for m in SPELLED.finditer(text):
             add(m.start(), 0, m.end())
     first = DIGITS.search(text)
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 20_000) -> SpanModel:
         for batch in slices(batches, "text"):
             rows = []
             for t in batch.column("text").to_pylist():
-                if t and (any(c in t for c in "0123456789") or "at" in t):
+                if t and (any(c in t for c in "0123456789") or "at" in t.lower()):
                     for a, kind, b in candidates(t, base_spans(t)):
                         vote, features = votes_and_features(t, a, kind, b)
                         rows.append((kind, code_of(vote), features))

@@ -275,6 +275,19 @@ def test_pii_adds_secrets_and_keeps_base(spark):
             assert ("secret", a, a + 40) in {(s.kind, s.start, s.end) for s in got[i].spans}
 
 
+@pytest.mark.parametrize("text", ["JOHN(AT)EXAMPLE(DOT)COM", "jane at example[dot]org", "jane at example(dot)com", "Jane AT Example Dot org", "a[at]b dot c"])
+def test_pii_spelled_addresses_are_candidates(text):
+    assert pii.candidates(text, []) == [(0, 0, len(text))]
+
+
+def test_pii_fit_reads_upper_case_addresses(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "reliabilities", lambda counts: seen.append(counts) or (_ for _ in ()).throw(StopAsyncIteration()))
+    with pytest.raises(StopAsyncIteration):
+        pii.fit(docs_of(spark, ["JOHN(AT)EXAMPLE(DOT)COM"]))
+    assert [k for k, _ in seen[0]] == [0] and list(seen[0].values()) == [1]
+
+
 def test_pii_empty_table(spark):
     docs = docs_of(spark, ["a"]).limit(0)
     assert pii.find(docs, pii.fit(docs)).count() == 0
