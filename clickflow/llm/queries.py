@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from clickflow.llm.conversations import op13_conversation_repair
 from clickflow.llm.decontaminate import op4_decontaminate
 from clickflow.llm.embedding_dedup import op10_embedding_dedup
 from clickflow.llm.html import op9_html_extraction
@@ -12,6 +13,8 @@ from clickflow.llm.ngram_join import op2_ngram_jaccard
 from clickflow.llm.oracle import ORACLE
 from clickflow.llm.pii import op5_pii
 from clickflow.llm.suffix_dedup import op6_suffix_dedup
+from clickflow.llm.token_alignment import op12_token_alignment
+from clickflow.llm.topk_search import op11_topk_search
 from clickflow.llm.toxicity import op8_toxicity
 
 QUERIES = (
@@ -25,6 +28,9 @@ QUERIES = (
     op8_toxicity,
     op9_html_extraction,
     op10_embedding_dedup,
+    op11_topk_search,
+    op12_token_alignment,
+    op13_conversation_repair,
 )
 
 
