@@ -3,10 +3,12 @@ cluster settings (checkpoint folder, partition count) from the session."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -59,10 +61,55 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def materialize(df):
-    """Reliable checkpoint into the shared checkpoint folder: fixes values that
-    must not be recomputed differently (block ids of a range exchange, whose
-    bounds are sampled) and cuts the lineage so a lost executor re-reads the
-    files instead of re-running the plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Workspace:
+    """Owner of the tables that one run writes to the shared folder.
+
+    A written table fixes values that must not be computed twice differently (block ids of a range exchange, whose
+    bounds are sampled), cuts the lineage, so that a lost executor re-reads files, and is read by column. ``close``, or
+    leaving a ``with`` block, deletes all of them; DataFrames that read them are of no use afterwards.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "run"):
+        self.spark, self.root, self.used = spark, shared_dir(spark, f"{name}-{uuid4().hex}"), 0
+
+    def put(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Write as Parquet and read back."""
+        self.used += 1
+        path = f"{self.root}/{self.used:03d}-{name}"
+        df.write.partitionBy(*partition_by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    def folder(self, name: str) -> str:
+        """A folder of its own for files that are not tables."""
+        self.used += 1
+        return f"{self.root}/{self.used:03d}-{name}"
+
+    def close(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(conf).delete(root, True)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+
+_shared: dict[str, Workspace] = {}
+
+
+def session_workspace(spark: SparkSession) -> Workspace:
+    """The application's own workspace, for callers that name none: deleted when Python ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _shared:
+        _shared[key] = Workspace(spark, "session")
+        atexit.register(_close, key)
+    return _shared[key]
+
+
+def _close(key: str) -> None:
+    ws = _shared.pop(key)
+    sc = ws.spark.sparkContext
+    if sc._jsc is not None and sc.applicationId == key:
+        ws.close()

@@ -11,10 +11,10 @@ sit in one task. The two operators here only ever hold bounded pieces:
   blocks. Linear interpolation between neighbours, as pandas ``quantile``,
   DuckDB ``quantile_cont`` and Spark ``percentile``.
 * ``order_statistic`` - many groups (sessions), non-negative integer values
-  (microseconds): a radix select in three passes over digits of ``low_bits``
-  bits. Each pass counts the values of the chosen prefix by their next digit, so
-  no window is larger than ``2**low_bits`` rows for values below ``2**(3 * low_bits)``
-  (20 bits: 36,000 years of microseconds).
+  (microseconds): a radix select over the counts of all prefixes of the values at three
+  digits of ``low_bits`` bits (``digit_counts``: one grouping-sets pass over the values, written once).
+  Each step ranks the counts below the chosen prefix, so no window is larger than
+  ``2**low_bits`` rows for values below ``2**(3 * low_bits)`` (20 bits: 36,000 years of microseconds).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickflow.config import materialize, shuffle_partitions
+from clickflow.config import Workspace, session_workspace, shuffle_partitions
 
 _BLK = "_blk"
 
@@ -41,10 +41,12 @@ def exact_quantiles(
     groups: Sequence[str] = (),
     weight: str | None = None,
     names: Sequence[str] | None = None,
+    ws: Workspace | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per ``groups`` (low cardinality).
 
-    ``weight`` is an optional integer row multiplicity (pre-aggregated input).
+    ``weight`` is an optional integer row multiplicity (pre-aggregated input). The distinct values are
+    written to ``ws`` (or the session's workspace): this call runs a job.
     Returns one row per group with one double column per prob (``names``), or
     null when the group has no non-null value.
     """
@@ -61,10 +63,10 @@ def exact_quantiles(
     # Equal values become one weighted row before the exchange, so that a value
     # held by much of a group does not fill one block.
     base = base.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"))
-    # Checkpointed: both the block counts and the ranked rows must see the
-    # same (sampled) range bounds.
-    ranged = materialize(
-        base.repartitionByRange(shuffle_partitions(spark), *keys, "_x").withColumn(_BLK, F.spark_partition_id())
+    # Written: both the block counts and the ranked rows must see the same
+    # (sampled) range bounds.
+    ranged = (ws or session_workspace(spark)).put(
+        base.repartitionByRange(shuffle_partitions(spark), *keys, "_x").withColumn(_BLK, F.spark_partition_id()), "ranged"
     )
     blocks = ranged.groupBy(*keys, _BLK).agg(F.sum("_w").alias("_c"))
     blocks = blocks.withColumn("_before", _before(_BLK, keys, "_c"))
@@ -113,32 +115,48 @@ def exact_quantiles(
     return out
 
 
+def digit_counts(
+    values: DataFrame, group: str, value: str, more: Sequence[F.Column] = (), low_bits: int = 20
+) -> DataFrame:
+    """Counts of the non-null ``value`` (non-negative long) of every group by its prefixes: one grouping-sets pass.
+
+    Columns: group, ``_level`` (3 for the group itself, then 2, 1, 0 for the value without 2, 1, 0 digits),
+    ``_prefix``, ``_n`` and the ``more`` aggregates (over all rows of the group, at level 3).
+    """
+    prefixes = [f"_p{i}" for i in range(3)]
+    rows = values.select("*", *[F.shiftright(F.col(value), i * low_bits).alias(p) for i, p in enumerate(prefixes)])
+    sets = [[group, p] for p in prefixes] + [[group]]
+    level = F.lit(3)
+    for i, p in enumerate(prefixes):
+        level = F.when(F.grouping(p) == 0, i).otherwise(level)
+    counts = rows.groupingSets(sets, group, *prefixes).agg(level.alias("_level"), F.count(value).alias("_n"), *more)
+    # the other prefixes are null at a level; values that are null count at level 3 only
+    prefix = F.coalesce(*prefixes).alias("_prefix")
+    names = [c for c in counts.columns if c not in (group, *prefixes, "_level", "_n")]
+    return counts.select(group, "_level", prefix, "_n", *names).where("_level = 3 or _prefix is not null")
+
+
 def order_statistic(
-    values: DataFrame,
-    ranks: DataFrame,
-    group: str,
-    value: str,
-    rank: str,
-    low_bits: int = 20,
+    counts: DataFrame, ranks: DataFrame, group: str, value: str, rank: str, low_bits: int = 20
 ) -> DataFrame:
-    """Per group, the ``rank``-th smallest (0-based) of non-negative long ``value``.
+    """Per group, the ``rank``-th smallest (0-based) of the values that ``digit_counts`` has counted.
 
-    ``values``: (group, value) rows; ``ranks``: one row per group with the wanted
-    rank. Returns (group, ``value``, n_le) where n_le counts values <= it.
+    ``counts``: its result, written; ``ranks``: one row per group with the wanted rank. Returns (group, ``value``,
+    n_le) where n_le counts values <= it.
     """
-    hist = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
     pick = ranks.select(group, F.col(rank).cast("long").alias("_r"), F.lit(0).cast("long").alias("_lt"))
-    keys, digits = [group], hist
-    for shift in (2 * low_bits, low_bits, 0):
-        # values of the chosen prefix, counted by their next digit
-        digit = f"_d{shift}"
-        digits = digits.withColumn(digit, F.shiftright(F.col(value), shift))
-        level = digits.join(pick, keys).groupBy(*keys, digit, "_r", "_lt").agg(F.sum("_c").alias("_n"))
-        level = level.withColumn("_b", _before(digit, keys, "_n"))
+    keys = [group]
+    for i in (2, 1, 0):
+        # the values of the chosen prefix, counted by their next digit
+        level = counts.where(F.col("_level") == i).select(group, "_prefix", "_n")
+        if i < 2:
+            level = level.withColumn("_above", F.shiftright("_prefix", low_bits))
+            pick = pick.withColumnRenamed("_chosen", "_above")
+            keys = [group, "_above"]
+        level = level.join(pick, keys).withColumn("_b", _before("_prefix", keys, "_n"))
         level = level.where((F.col("_b") <= F.col("_r")) & (F.col("_r") < F.col("_b") + F.col("_n")))
+        found = level
         pick = level.select(
-            group, digit, (F.col("_r") - F.col("_b")).alias("_r"), (F.col("_lt") + F.col("_b")).alias("_lt"), "_n"
+            group, F.col("_prefix").alias("_chosen"), (F.col("_r") - F.col("_b")).alias("_r"), (F.col("_lt") + F.col("_b")).alias("_lt")
         )
-        keys = [group, digit]
-        found, pick = pick, pick.drop("_n")
-    return found.select(group, F.col(digit).alias(value), (F.col("_lt") + F.col("_n")).alias("n_le"))
+    return found.select(group, F.col("_prefix").alias(value), (F.col("_lt") + F.col("_b") + F.col("_n")).alias("n_le"))

@@ -1,21 +1,24 @@
 """Session features (A1-A11, D1-D17, B1-B2): one wide row per session.
 
-Plan: three per-session tables joined on the session key, then projections.
+Plan: up to three per-session tables joined on the session key, then projections. Which of them a
+call builds follows from the columns it is asked for (``SOURCES``).
 
 * ``session_aggregates`` - one grouped aggregate over the events (counts,
   calendar min/max/mean/std, per-type counts, first/last type, presence
-  flags). Only algebraic aggregates (distinct months and days as bit sets),
-  so it is a codegen hash aggregate, combined map-side: a hot session costs
-  one partial row per task.
+  flags, lowest and highest label). Only algebraic aggregates (distinct months and days as bit
+  sets, first and last type as one packed number), so it is a codegen hash aggregate, combined
+  map-side: a hot session costs one partial row per task. Aggregates that no asked column needs are
+  pruned by the optimizer.
 * ``value_counts`` - per (session, product), (session, category),
   (session, user) and (session, event type): one grouping-sets aggregate (one
   Expand, one exchange), reduced per session to distinct counts, top count
-  and null presence.
-* ``sequence_stats`` - ordered work over range blocks (see ``sequence``).
+  and null presence; only for the value columns that are needed.
+* ``sequence_stats`` - ordered work over blocks of time (see ``sequence``).
 
 Dataset statistics (activity quantiles, equal-width bin ranges) are computed
 per split over the chosen sessions; that table has one row per split, so the
-broadcast is bounded by the number of splits.
+broadcast is bounded by the number of splits. Where they are needed the session table is read twice, so
+it is written once to the run's workspace.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickflow.config import Workspace, session_workspace
 from clickflow.functions.expr import c, equal_width_bin, finite_or_zero, flag, hour_bin, ratio
-from clickflow.operators.sequence import TYPE_CODES, event_calendar, micros, sequence_stats
+from clickflow.operators.sequence import GAP_COLUMNS, TYPE_CODES, event_calendar, micros, placed_code, sequence_stats, type_place
 from clickflow.operators.triage import MODEL, session_class, triage_aggregates
-from clickflow.schema import EVENT_TYPES, SESSION
+from clickflow.schema import EVENT_TYPES, LABEL, SESSION
 
 BASE_COLUMNS = (
     "product_id_nunique",
@@ -85,11 +89,30 @@ def session_aggregates(events: DataFrame, event_types: Sequence[str] = EVENT_TYP
         F.bool_or(et == "VIEW").alias("_has_view"),
         F.bool_or(et == "ADD_CART").alias("_has_cart"),
         F.bool_or(et == "BUY").alias("_has_buy"),
+        # First and last non-null event type.
+        F.min(type_place()).alias("_first_place"),
+        F.max(type_place()).alias("_last_place"),
+        # One label for most sessions; the others are known by these.
+        *label_aggregates(events),
         # T10 in the same aggregate: the session class needs no second pass.
         *triage_aggregates(),
     )
 
 
+def label_aggregates(events: DataFrame) -> list[F.Column]:
+    """Lowest and highest label of a session's train rows, and how many have one or none."""
+    if LABEL not in events.columns:
+        return []
+    train = F.col("split") == "train"
+    label = F.when(train, F.col(LABEL))
+    return [
+        F.min(label).alias("_label_min"),
+        F.max(label).alias("_label_max"),
+        F.count(label).alias("_labels"),
+        F.count_if(train & F.col(LABEL).isNull()).alias("_no_labels"),
+    ]
+
+
 def value_counts(
     events: DataFrame, columns: Sequence[str] = ("product_id", "category_id", "user_id", "event_type")
 ) -> DataFrame:
@@ -112,18 +135,38 @@ def value_counts(
     return gs.groupBy(SESSION).agg(*aggs)
 
 
-def session_core(events: DataFrame, event_types: Sequence[str] = EVENT_TYPES) -> DataFrame:
-    """Per-session table with every column that needs no dataset statistic."""
+VALUE_COLUMNS = ("product_id", "category_id", "user_id", "event_type")
+SEQUENCE, STATISTICS = "sequence", "statistics"
+
+
+def session_core(
+    events: DataFrame,
+    event_types: Sequence[str] = EVENT_TYPES,
+    sources: set[str] | None = None,
+    ws: Workspace | None = None,
+) -> DataFrame:
+    """Per-session table with every column that needs no dataset statistic. ``sources`` (default: all) names
+    the value columns to count and whether the ordered events are needed."""
+    sources = {*VALUE_COLUMNS, SEQUENCE} if sources is None else sources
     agg = session_aggregates(events, event_types)
-    vc = value_counts(events).withColumn(
-        # The set size counts null as one more type.
-        "event_type_diversity",
-        (F.col("event_type_nunique") + F.col("_event_type_hasnull")).cast("long"),
-    )
-    seq = sequence_stats(events)
     split = F.when(F.col("_split_code") == 0, "train").when(F.col("_split_code") == 1, "test")
-    agg = agg.withColumn("_split", split).withColumn("_class", session_class())
-    return agg.join(vc, SESSION, "left").join(seq, SESSION, "left")
+    core = agg.withColumns(
+        {
+            "_split": split,
+            "_class": session_class(),
+            "_first_code": placed_code("_first_place"),
+            "_last_code": placed_code("_last_place"),
+        }
+    )
+    counted = [x for x in VALUE_COLUMNS if x in sources]
+    if counted:
+        vc = value_counts(events, counted)
+        if "event_type" in counted:  # A8: the set size counts null as one more type
+            vc = vc.withColumn("event_type_diversity", (F.col("event_type_nunique") + F.col("_event_type_hasnull")).cast("long"))
+        core = core.join(vc, SESSION, "left")
+    if SEQUENCE in sources:
+        core = core.join(sequence_stats(events, ws), SESSION, "left")
+    return core
 
 
 def _activity_stats(core: DataFrame) -> DataFrame:
@@ -151,32 +194,75 @@ def activity_quantiles(core: DataFrame) -> DataFrame:
     )
 
 
+def sources_of(columns: Sequence[str] | None, event_types: Sequence[str] = EVENT_TYPES) -> set[str]:
+    """What the asked features are made of beyond the main aggregate: value columns to count, ``SEQUENCE`` (the
+    ordered events) and ``STATISTICS`` (of the whole table)."""
+    if columns is None:
+        return {*VALUE_COLUMNS, SEQUENCE, STATISTICS}
+    unknown = set(columns) - {*FEATURE_SOURCES, *event_types, *(f"{t}_{k}" for t in event_types for k in ("ratio", "per_minute", "per_product"))}
+    if unknown:
+        raise ValueError(f"unknown features: {', '.join(sorted(unknown))}")
+    found: set[str] = set()
+    for name in columns:
+        found |= FEATURE_SOURCES.get(name, {"product_id"} if name.endswith("_per_product") else set())
+    return found
+
+
 def session_features(
     events: DataFrame,
     sessions: DataFrame | None = None,
     event_types: Sequence[str] = EVENT_TYPES,
     keep_split: bool = True,
     model_only: bool = False,
+    columns: Sequence[str] | None = None,
+    ws: Workspace | None = None,
+    with_label: bool = False,
 ) -> DataFrame:
-    """``user_session`` (+ ``split``) and 112 features per session.
+    """``user_session`` (+ ``split``) and 112 features per session, or those of ``columns``.
 
     ``sessions``: optional one-column table of session ids to keep;
     ``model_only``: keep the model sessions of triage (classified inside the
     same aggregate). Statistics are computed over the kept sessions only, per
-    split, as the reference computes them per input frame.
+    split, as the reference computes them per input frame. Without ``model_only`` a session that stands in
+    both splits is one row of train. ``with_label`` adds the ``LABEL_COLUMNS`` that ``attach_label`` reads.
+
+    Features that need ordered events or dataset statistics write a table to ``ws`` (or the session's
+    workspace) when this is called; the others only plan.
     """
-    core = session_core(events, event_types)
+    sources = sources_of(columns, event_types)
+    ws = ws or (session_workspace(events.sparkSession) if sources & {SEQUENCE, STATISTICS} else None)
+    core = session_core(events, event_types, sources, ws)
     if model_only:
         # Triage class from the same aggregate: keep the modelled sessions.
         core = core.where(F.col("_class") == MODEL)
     if sessions is not None:
         core = core.join(sessions.select(SESSION), SESSION, "left_semi")
-    stats = _activity_stats(core)
-    t = core.join(F.broadcast(stats), "_split", "left")
-    return _project(t, event_types, keep_split)
+    if STATISTICS in sources:
+        core = ws.put(core, "sessions")
+        core = core.join(F.broadcast(_activity_stats(core)), "_split", "left")
+    wanted = None if columns is None else list(columns)
+    return _project(core, event_types, keep_split, wanted, LABEL_COLUMNS if with_label else ())
+
+
+#: What ``session_features(with_label=True)`` adds for ``attach_label``.
+LABEL_COLUMNS = ("_label_min", "_label_max", "_labels", "_no_labels")
 
 
-def _project(t: DataFrame, event_types: Sequence[str], keep_split: bool) -> DataFrame:
+class _Columns(dict):
+    """Columns of the session table by name; one that was not built is null (no asked feature is made of it)."""
+
+    def __init__(self, df: DataFrame):
+        super().__init__({name: c(name) for name in df.columns})
+
+    def __call__(self, name: str) -> F.Column:
+        return self.get(name, F.lit(None).cast("double"))
+
+
+def _project(
+    t: DataFrame, event_types: Sequence[str], keep_split: bool, wanted: list[str] | None = None, more: Sequence[str] = ()
+) -> DataFrame:
+    """The features in output order (``wanted``: these in their own order) and the columns of ``more``."""
+    c = _Columns(t)
     types = type_columns(event_types)
     n = c("event_type_count")
     pn = c("product_id_nunique")
@@ -195,20 +281,10 @@ def _project(t: DataFrame, event_types: Sequence[str], keep_split: bool) -> Data
     codes = TYPE_CODES
     has_view, has_cart, has_buy = (F.coalesce(c(k), F.lit(False)) for k in ("_has_view", "_has_cart", "_has_buy"))
 
-    cols = [c(SESSION)]
-    if keep_split:
-        cols.append(c("_split").alias("split"))
-    cols += [c(x) for x in BASE_COLUMNS if x not in ("hour_std",)][:9]
-    cols += [
-        F.coalesce(c("hour_std"), F.lit(0.0)).alias("hour_std"),
-        c("day_of_week_min"),
-        c("day_of_week_max"),
-        c("day_of_week_mean"),
-        c("month_nunique"),
-        c("day_nunique"),
-        c("event_order_max"),
-    ]
-    cols += [cnt[ty] for ty in types]
+    cols = []
+    for x in BASE_COLUMNS:
+        cols.append((F.coalesce(c(x), F.lit(0.0)) if x == "hour_std" else c(x)).alias(x))
+    cols += [cnt[ty].alias(ty) for ty in types]
     cols += [
         # Unique ratio counts null as a value; top count does not.
         ((pn + zero_if_missing("_product_id_hasnull")).cast("double") / rows).alias("product_unique_ratio"),
@@ -244,18 +320,9 @@ def _project(t: DataFrame, event_types: Sequence[str], keep_split: bool) -> Data
         flag(has_view & has_cart & has_buy).alias("view_cart_buy_funnel"),
         flag(has_view & has_buy).alias("has_view_and_buy"),
         flag(has_cart & has_buy).alias("has_cart_and_buy"),
-        c("event_type_diversity"),
+        c("event_type_diversity").alias("event_type_diversity"),
         # A9
-        *[
-            F.coalesce(c(x), F.lit(0.0)).alias(x)
-            for x in (
-                "avg_time_between_events",
-                "std_time_between_events",
-                "min_time_between_events",
-                "max_time_between_events",
-                "total_pause_time",
-            )
-        ],
+        *[F.coalesce(c(x), F.lit(0.0)).alias(x) for x in GAP_COLUMNS[:5]],
         zero_if_missing("long_pauses_count").alias("long_pauses_count"),
     ]
     # D6
@@ -265,7 +332,7 @@ def _project(t: DataFrame, event_types: Sequence[str], keep_split: bool) -> Data
             ratio(cnt[ty], mins).alias(f"{ty}_per_minute"),
             ratio(cnt[ty], pn).alias(f"{ty}_per_product"),
         ]
-    q25, q75, q90 = c("_q")[0], c("_q")[1], c("_q")[2]
+    q25, q75, q90 = (F.get(c["_q"], F.lit(i)) if "_q" in c else c("_q") for i in range(3))
     cols += [
         # D7
         ratio(cart, view).alias("cart_conversion_rate"),
@@ -320,8 +387,12 @@ def _project(t: DataFrame, event_types: Sequence[str], keep_split: bool) -> Data
         (start.cast("double") * mins).alias("hour_x_duration"),
         (view * buy).alias("view_buy_interaction"),
     ]
+    names = _output_names(types)
+    chosen = dict(zip(names, cols, strict=True))
+    keys = [c(SESSION)] + ([c("_split").alias("split")] if keep_split else [])
+    out = t.select(*keys, *[chosen[n] for n in (names if wanted is None else wanted)], *more)
     # D16
-    return finite_or_zero(t.select(*cols), keep=(SESSION, "split"))
+    return finite_or_zero(out, keep=(SESSION, "split", *more))
 
 
 FEATURE_GROUPS = {
@@ -391,9 +462,39 @@ FEATURE_GROUPS = {
 }
 
 
+def _output_names(types: Sequence[str]) -> list[str]:
+    """Names in the order in which ``_project`` lists its columns."""
+    rates = [f"{t}_{k}" for t in types for k in ("ratio", "per_minute", "per_product")]
+    out = []
+    for group, cols in FEATURE_GROUPS.items():
+        out += list(types) if group == "event_type_crosstab" else rates if group == "event_type_rates" else cols
+    return out
+
+
 def feature_names() -> list[str]:
     """The 112 feature names in output order."""
-    out = []
-    for cols in FEATURE_GROUPS.values():
-        out += cols
+    return _output_names(type_columns())
+
+
+def _feature_sources() -> dict[str, set[str]]:
+    """For every feature outside the crosstab what it is made of beyond the main aggregate."""
+    out: dict[str, set[str]] = {name: set() for cols in FEATURE_GROUPS.values() for name in cols}
+    for name in out:
+        for value in VALUE_COLUMNS:
+            if name.startswith(f"{value}_nunique"):
+                out[name].add(value)
+    product = [*FEATURE_GROUPS["product_concentration"], "products_per_minute", "product_diversity_index", "session_efficiency", "browsing_intensity"]
+    product += [f"{t}_per_product" for t in type_columns()]
+    category = [*FEATURE_GROUPS["category_concentration"][:3], "categories_per_minute", "category_diversity_index"]
+    both = ["exploration_index", "focus_score", "exploration_breadth", "exploration_depth", "products_x_categories"]
+    for names, value in ((product + both, "product_id"), (category + both, "category_id"), (["event_type_diversity"], "event_type")):
+        for name in names:
+            out[name].add(value)
+    for name in (*FEATURE_GROUPS["session_gap_stats"], "category_switch_count"):
+        out[name].add(SEQUENCE)
+    for name in (*FEATURE_GROUPS["activity_flags"], *FEATURE_GROUPS["equal_width_bins"]):
+        out[name].add(STATISTICS)
     return out
+
+
+FEATURE_SOURCES = _feature_sources()

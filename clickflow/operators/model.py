@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickflow.config import Workspace, session_workspace
 from clickflow.functions.stats import exact_quantiles
 from clickflow.operators.select import assemble, sample_key
 from clickflow.schema import LABEL, N_FOLDS, SEED, SESSION
@@ -74,19 +75,37 @@ def forest_factory(cols: Sequence[str], seed: int = SEED, num_trees: int = 100,
         cacheNodeIds=True,
     )
 
-    def fit(df: DataFrame):
-        return rf.fit(assemble(df, cols))
+    return lambda df: rf.fit(vectors(df, cols))
+
+
+def vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df if "features" in df.columns else assemble(df, cols)
 
-    return fit
 
+HELD_OUT = "held_out"
 
-def gbt_factory(cols: Sequence[str], seed: int = SEED, max_iter: int = 20, max_depth: int = 5):
-    """Gradient-boosted trees (MLlib): sequential rounds, one job chain each."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=seed, maxIter=max_iter, maxDepth=max_depth)
+
+def gbt_factory(
+    cols: Sequence[str], seed: int = SEED, max_iter: int = 50, max_depth: int = 3, tolerance: float = 0.01, step: float = 0.3
+):
+    """Gradient-boosted trees (MLlib) that stop on the held-out rows: a round whose error there is not
+    smaller by ``tolerance`` ends the fit, and the best model so far is kept (at most ``max_iter`` trees)."""
+    gbt = GBTRegressor(
+        featuresCol="features",
+        labelCol=LABEL,
+        seed=seed,
+        maxIter=max_iter,
+        maxDepth=max_depth,
+        stepSize=step,
+        validationTol=tolerance,
+    )
 
     def fit(df: DataFrame):
-        return gbt.fit(assemble(df, cols))
+        if HELD_OUT in df.columns:
+            return gbt.copy({gbt.validationIndicatorCol: HELD_OUT}).fit(vectors(df, cols))
+        return gbt.fit(vectors(df, cols))
 
+    fit.validates = True
     return fit
 
 
@@ -98,22 +117,36 @@ def cross_fit(
     fit: Callable[[DataFrame], object] | None = None,
     k: int = N_FOLDS,
     parallelism: int | None = None,
+    ws: Workspace | None = None,
 ) -> tuple[DataFrame, DataFrame, list]:
     """M3: for each fold, fit on the other folds, predict the held-out rows
     (out-of-fold) and the test rows; the test prediction is the mean over
     folds. Returns (oof: session, fold, label, prediction;
-    test: session, prediction; fitted models)."""
+    test: session, prediction; fitted models).
+
+    A ``fit`` with the attribute ``validates`` gets all rows and the column ``held_out``, to stop on them. The
+    fits read a narrow table (session, fold, label, feature vector) written to ``ws`` (or the session's
+    workspace); nothing is cached."""
     fit = fit or forest_factory(cols)
-    data = train.join(folds, SESSION).where(F.col(LABEL).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    test_x = assemble(test, cols).select(SESSION, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    ws = ws or session_workspace(train.sparkSession)
+    data = train.join(folds, SESSION).where(F.col(LABEL).isNotNull())
+    data = ws.put(assemble(data, cols).select(SESSION, "fold", LABEL, "features"), "fit-rows")
+    scored = ws.put(assemble(test, cols).select(SESSION, "features"), "test-rows")
+    held = [F.col("fold") == f for f in range(k)]
+
+    def one(f: int):
+        if getattr(fit, "validates", False):
+            return fit(data.withColumn(HELD_OUT, held[f]))
+        return fit(data.where(~held[f]))
+
     # The k fits are independent Spark jobs: submit them from k driver threads
-    # (as CrossValidator's ``parallelism``) so small folds share the cores.
+    # (as CrossValidator's ``parallelism``) so small folds share the cores. The threads
+    # take on the caller's job group.
     with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
-        models = list(pool.map(lambda f: fit(data.where(F.col("fold") != f)), range(k)))
-    oof_parts, scored = [], test_x
+        models = list(pool.map(inheritable_thread_target(train.sparkSession)(one), range(k)))
+    oof_parts = []
     for f, model in enumerate(models):
-        held = assemble(data.where(F.col("fold") == f), cols)
-        oof_parts.append(model.transform(held).select(SESSION, "fold", LABEL, "prediction"))
+        oof_parts.append(model.transform(data.where(held[f])).select(SESSION, "fold", LABEL, "prediction"))
         # the k models score the test rows side by side in one pass
         scored = model.transform(scored).withColumnRenamed("prediction", f"_p{f}")
     oof = oof_parts[0]
@@ -180,7 +213,7 @@ def mean_importance(spark, models: list, cols: Sequence[str]) -> DataFrame:
     return df.groupBy("feature").agg(F.avg("importance").alias("importance"))
 
 
-def prediction_stats(pred: DataFrame, col: str = "prediction") -> DataFrame:
+def prediction_stats(pred: DataFrame, col: str = "prediction", ws: Workspace | None = None) -> DataFrame:
     """M7: min, max, mean, exact median and population std of predictions."""
     basic = pred.agg(
         F.min(col).alias("pred_min"),
@@ -188,5 +221,5 @@ def prediction_stats(pred: DataFrame, col: str = "prediction") -> DataFrame:
         F.avg(col).alias("pred_mean"),
         F.stddev_pop(col).alias("pred_std"),
     )
-    med = exact_quantiles(pred, col, [0.5], names=["pred_median"])
+    med = exact_quantiles(pred, col, [0.5], names=["pred_median"], ws=ws)
     return basic.crossJoin(med).select("pred_min", "pred_max", "pred_mean", "pred_median", "pred_std")

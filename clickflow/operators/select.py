@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickflow.operators.features import LABEL_COLUMNS
+from clickflow.operators.joins import by_session
 from clickflow.schema import LABEL, SEED, SESSION, TOP_N_FEATURES
 
 KEYS = (SESSION, "split", LABEL)
@@ -22,10 +24,25 @@ KEYS = (SESSION, "split", LABEL)
 
 def attach_label(features: DataFrame, events: DataFrame) -> DataFrame:
     """Train features left-joined with the distinct (session, label)
-    pairs of the train events; a session with two labels fans out to two rows."""
-    labels = events.where(F.col("split") == "train").select(SESSION, LABEL).distinct()
+    pairs of the train events; a session with two labels fans out to two rows.
+
+    Features built ``with_label`` know the lowest and highest label of their session, which is all there is to
+    know where these are equal. Only sessions that differ are looked up in the events; whether there are any is
+    asked of ``features`` when this is called, so hand in a written table.
+    """
     train = features.where(F.col("split") == "train")
-    return train.join(labels, SESSION, "left")
+    if not set(LABEL_COLUMNS) <= set(features.columns):
+        labels = events.where(F.col("split") == "train").select(SESSION, LABEL).distinct()
+        return train.join(labels, SESSION, "left")
+    low, high = F.col("_label_min"), F.col("_label_max")
+    several = F.coalesce(low != high, F.lit(False)) | ((F.col("_labels") > 0) & (F.col("_no_labels") > 0))
+    one = train.where(~several).withColumn(LABEL, low).drop(*LABEL_COLUMNS)
+    if train.where(several).isEmpty():
+        return one
+    many = train.where(several).drop(*LABEL_COLUMNS)
+    rows = events.where(F.col("split") == "train").select(SESSION, LABEL)
+    labels = by_session(rows, many.select(SESSION), "left_semi").distinct()
+    return one.unionByName(many.join(labels, SESSION, "left"))
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = KEYS) -> list[str]:
@@ -43,11 +60,21 @@ def sample_key(seed: int = SEED) -> Column:
     return F.md5(F.concat(F.col(SESSION), F.lit(f":{seed}")))
 
 
-def sample_rows(df: DataFrame, n: int = 5000, seed: int = SEED) -> DataFrame:
-    """up to ``n`` rows without replacement, repeatable. A distributed
-    top-k (each task keeps its best n), the sampling operator of the
-    reference, not a cap on any other query."""
-    return df.orderBy(sample_key(seed), SESSION).limit(n)
+def sample_rows(df: DataFrame, n: int = 5000, seed: int = SEED, bucket_chars: int = 4) -> DataFrame:
+    """``n`` rows without replacement (all, if there are fewer), repeatable: those with the smallest sample keys.
+
+    The threshold comes from counts by the key's first characters: a table of at most
+    16**bucket_chars rows, the only broadcast. Buckets below it are taken whole and stay where they are; only the one
+    that holds the n-th row is ranked. Rows with the same session follow by label."""
+    keyed = df.withColumn("_key", sample_key(seed)).withColumn("_b", F.substring("_key", 1, bucket_chars))
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_left", F.lit(n) - F.coalesce(before, F.lit(0))).where("_left > 0")
+    near = keyed.join(F.broadcast(counts), "_b")
+    ties = [F.col(c) for c in (SESSION, LABEL) if c in df.columns]
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_key", *ties))
+    border = near.where("_c > _left").withColumn("_place", place).where("_place <= _left")
+    return near.where("_c <= _left").select(*df.columns).unionByName(border.select(*df.columns))
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -77,7 +104,7 @@ def fit_forest(
         maxMemoryInMB=1024,
         cacheNodeIds=True,
     )
-    return rf.fit(assemble(train.where(F.col(LABEL).isNotNull()), cols))
+    return rf.fit(assemble(train.where(F.col(LABEL).isNotNull()), cols).select(LABEL, "features"))
 
 
 def importance_table(spark, cols: Sequence[str], values: Sequence[float], name: str = "score") -> DataFrame:
@@ -125,6 +152,14 @@ def top_features(scores: DataFrame, n: int = TOP_N_FEATURES, score: str = "score
     return scores.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= n)
 
 
+def feature_reduction(scores: DataFrame, n: int = TOP_N_FEATURES) -> DataFrame:
+    """How many features there are, how many are chosen, and by how much (percent) this reduces them."""
+    counts = scores.agg(F.count(F.lit(1)).alias("n_features"))
+    chosen = F.least("n_features", F.lit(n)).cast("long")
+    ratio = (1 - F.try_divide(F.col("n_chosen"), F.col("n_features"))) * 100
+    return counts.withColumn("n_chosen", chosen).withColumn("reduction_percent", ratio)
+
+
 def select_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (SESSION, "split")) -> DataFrame:
     """Project the chosen feature columns."""
     return df.select(*[c for c in keep if c in df.columns], *[F.col(f"`{c}`") for c in names])

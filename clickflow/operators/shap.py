@@ -13,7 +13,6 @@ task, whatever the number of rows explained.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,15 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickflow.config import shared_dir
-from clickflow.operators.select import fit_forest
+from clickflow.config import session_workspace
+from clickflow.operators.select import assemble, fit_forest, sample_rows
+from clickflow.schema import SESSION
 
 
 def forest_tables(spark, model) -> list[dict]:
     """Per tree: arrays of feature, threshold, left, right, value, cover,
     indexed by node id (from the model's saved node data)."""
-    path = shared_dir(spark, f"forest-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
+    path = session_workspace(spark).folder("forest")
+    model.write().save(path)
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID",
         F.col("nodeData.id").alias("id"),
@@ -130,29 +130,52 @@ def forest_shap(x: np.ndarray, trees: list[dict]) -> tuple[np.ndarray, float]:
     return phi / len(trees), base / len(trees)
 
 
-def shap_importance(spark, rows: DataFrame, model, cols: Sequence[str]) -> DataFrame:
-    """mean |SHAP| per feature over ``rows`` (feature, score)."""
+def _explained(spark, rows: DataFrame, model, cols: Sequence[str], batch, schema: str, key: str | None = None) -> DataFrame:
+    """``batch(keys, phi, base)`` of the rows' attributions, Arrow batch by batch. The model's nodes are
+    broadcast; a batch is explained in pieces, since the paths of a piece are held at once."""
     trees = spark.sparkContext.broadcast(forest_tables(spark, model))
     names = list(cols)
 
-    def explain(batches):
+    def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = pdf[names].to_numpy(dtype=float)
-            phi, _ = forest_shap(x, trees.value)
-            yield pd.DataFrame({"feature": names, "abs_sum": np.abs(phi).sum(axis=0), "n": len(pdf)})
-
-    x = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
-    sums = x.mapInPandas(
-        explain, "feature string, abs_sum double, n long"
-    )
-    return sums.groupBy("feature").agg((F.sum("abs_sum") / F.sum("n")).alias("score"))
+            for at in range(0, len(pdf), PIECE):
+                piece = pdf.iloc[at : at + PIECE]
+                phi, base = forest_shap(piece[names].to_numpy(dtype=float), trees.value)
+                yield batch(piece["_key"] if key else None, phi, base)
+
+    keys = [F.col(key).alias("_key")] if key else []
+    return rows.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).mapInPandas(run, schema)
+
+
+#: Rows that are explained at a time.
+PIECE = 2048
+
+
+def shap_importance(spark, rows: DataFrame, model, cols: Sequence[str]) -> DataFrame:
+    """mean |SHAP| per feature over ``rows`` (feature, score)."""
+    names = list(cols)
+
+    def sums(_, phi, base):
+        return pd.DataFrame({"feature": names, "abs_sum": np.abs(phi).sum(axis=0), "n": len(phi)})
+
+    parts = _explained(spark, rows, model, cols, sums, "feature string, abs_sum double, n long")
+    return parts.groupBy("feature").agg((F.sum("abs_sum") / F.sum("n")).alias("score"))
+
+
+def shap_sums(spark, rows: DataFrame, model, cols: Sequence[str], key: str = SESSION) -> DataFrame:
+    """per row the base value, the sum of its attributions, and what the model predicts, which they add up to:
+    key, base, attributed, prediction."""
+
+    def sums(keys, phi, base):
+        return pd.DataFrame({key: keys, "base": base, "attributed": phi.sum(axis=1)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    parts = _explained(spark, rows, model, cols, sums, f"{key} {kind}, base double, attributed double", key)
+    predicted = model.transform(assemble(rows, cols)).select(key, "prediction")
+    return parts.join(predicted, key)
 
 
 def shap_ranking(spark, train: DataFrame, cols: Sequence[str], sample: int = 5000) -> DataFrame:
     """F2-F4 together: forest fitted on a sample of at most ``sample`` rows, SHAP importance over all rows."""
-    from clickflow.operators.select import sample_rows
-
     model = fit_forest(sample_rows(train, sample), cols)
     return shap_importance(spark, train, model, cols)

@@ -371,6 +371,10 @@ def model_oracle() -> dict[str, str]:
     return {
         "scan_splits": f"""{with_ctes()} select event_time, event_type, {text_ids}, user_session, split,
             case when split = 'train' then {r6("session_value")} end as session_value from clk""",
+        "scan_layouts": f"""{with_ctes()} select event_id, event_time, event_type,
+            case when event_id % 2 = 1 then 'one "' || product_id || '"' || chr(10) || ' two' else cast(product_id as varchar) end as product_id,
+            cast(category_id as varchar) as category_id, cast(user_id as varchar) as user_id, user_session,
+            {r6("session_value")} as session_value, split from clk""",
         "quarantine": f"""{with_ctes()} select split, reason, count(*) as n_rows from (
             select split, 'bad event_time' as reason from {broken} where t
             union all select split, 'null user_session' as reason from {broken} where u) group by split, reason""",
@@ -379,9 +383,19 @@ def model_oracle() -> dict[str, str]:
         "attach_label": f"select user_session, split, {r6('session_value')} as session_value, {train_num} from trn",
         "numeric_columns": f"select user_session, {train_num} from trn",
         "sample_rows": f"""select user_session, {r6('session_value')} as session_value from trn
-            order by md5(user_session || ':42'), user_session limit 5000""",
+            order by md5(user_session || ':42'), user_session limit 1000""",
         "top_features": f"select feature, {r6('score')} as score, rank from top",
         "select_features": m + " " + f"""select user_session, split, feature, {r6('value')} as value from {z_src}""",
+        "feature_reduction": f"""select count(*) as n_features, least(count(*), 25) as n_chosen,
+            {r6('(1 - least(count(*), 25) / count(*)) * 100')} as reduction_percent from sc""",
+        "model_invariants": """select c.name as "check", c.n, true as holds from (
+            select (select count(*) from trn) as n_train, (select count(*) from d) as n_fit, (select count(*) from tst) as n_test) k,
+            lateral (values ('attributions add up to the prediction', n_train), ('forest importances are shares', 25),
+              ('every feature has a mean attribution', 25), ('mean importances are shares', 25),
+              ('forest: one out-of-fold prediction a session', n_fit), ('forest: better than the mean', n_fit),
+              ('forest: one test prediction a session', n_test), ('boosted: one out-of-fold prediction a session', n_fit),
+              ('boosted: better than the mean', n_fit), ('boosted: one test prediction a session', n_test),
+              ('boosted: every fold stops before its limit', 5)) c(name, n)""",
         "standardize": m + " " + f"""select user_session, split, feature, {r6('z')} as z_tmp from (
             select v.user_session, v.split, v.feature,
               (v.value - s.mu) / (case when s.sd is null or s.sd = 0 then 1.0 else s.sd end) as z
@@ -408,6 +422,8 @@ def model_oracle() -> dict[str, str]:
         "assemble_submission": f"select user_session, {r6('session_value')} as session_value, source from sub",
         "clip_negative": f"""select user_session, {r6('case when session_value < 0 then 0.0 else session_value end')}
             as session_value from sub""",
+        "write_submission": f"""select user_session, {r6('case when session_value < 0 then 0.0 else session_value end')}
+            as session_value from sub""",
         "coverage_check": """select t.n as n_test_sessions, s.n as n_submission_sessions,
             (select count(*) from (select distinct user_session from clk where split = 'test')
                where user_session not in (select user_session from sub)) as n_missing,
@@ -416,6 +432,11 @@ def model_oracle() -> dict[str, str]:
             t.n = s.n as counts_match
             from (select count(distinct user_session) as n from clk where split = 'test') t,
                  (select count(distinct user_session) as n from sub) s""",
+        "coverage_ids": """select coalesce(e.user_session, s.user_session) as user_session,
+            case when s.user_session is null then 'missing' else 'extra' end as side
+            from (select distinct user_session from clk where split = 'test') e
+            full outer join (select user_session from tri where session_class = 'model') s on e.user_session = s.user_session
+            where e.user_session is null or s.user_session is null""",
         "profile_shapes": """select stage, n_rows, n_cols from (
             select 'events_' || split as stage, count(*) as n_rows, 9 as n_cols from clk group by split
             union all select 'clean_' || split, count(*), 9 from clean group by split

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from clickflow.operators import sequence as E
 from clickflow.operators import triage as TR
 from clickflow.operators.features import FEATURE_GROUPS, activity_quantiles, session_core, session_features
 from clickflow.schema import SESSION
-from clickflow.sources.events import clickstream, parse_event_time, quarantine, scan_splits
+from clickflow.sources.events import clickstream, parse_event_time, quarantine, scan_events, scan_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,13 +48,13 @@ def _model_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.model_events(_events(spark, sf_dir))
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_features(_events(spark, sf_dir), model_only=True)
+def _features(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The features of the modelled sessions, or only ``columns`` and what these are made of."""
+    return session_features(_events(spark, sf_dir), model_only=True, columns=columns)
 
 
 def _group(name: str) -> Query:
-    cols = FEATURE_GROUPS[name]
-    return lambda spark, d: rounded(_features(spark, d).select(SESSION, "split", *cols))
+    return lambda spark, d: rounded(_features(spark, d, FEATURE_GROUPS[name]))
 
 
 def _triage_q(fn) -> Query:
@@ -72,24 +71,20 @@ def q_event_calendar(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("event_id", SESSION, "hour", "day_of_week", "month", "day", "is_weekend")
 
 
-def q_session_gap_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _group("session_gap_stats")(spark, d)
-
-
 def q_activity_quantiles(spark: SparkSession, d: str) -> DataFrame:
     ev = _events(spark, d)
-    core = session_core(ev).where(F.col("_class") == TR.MODEL)
+    core = session_core(ev, sources=set()).where(F.col("_class") == TR.MODEL)
     return rounded(activity_quantiles(core))
 
 
 def q_event_presence(spark: SparkSession, d: str) -> DataFrame:
     cols = ["view_cart_buy_funnel", "has_view_and_buy", "has_cart_and_buy", "event_type_diversity"]
-    return _features(spark, d).select(SESSION, "split", *cols)
+    return _features(spark, d, cols)
 
 
 def q_clean_features(spark: SparkSession, d: str) -> DataFrame:
     cols = ["hour_std", "std_time_between_events", "hour_bin", "category_switch_count"]
-    return rounded(_features(spark, d).select(SESSION, "split", *cols))
+    return rounded(_features(spark, d, cols))
 
 
 def core_queries() -> dict[str, Query]:
@@ -122,44 +117,65 @@ def core_queries() -> dict[str, Query]:
 
 
 # ---------------------------------------------------------------- model side
-from clickflow.config import materialize, shared_dir  # noqa: E402
+from clickflow.config import session_workspace  # noqa: E402
 from clickflow.operators import model as M  # noqa: E402
 from clickflow.operators import select as S  # noqa: E402
 from clickflow.operators import submit as U  # noqa: E402
-from clickflow.operators.features import feature_names  # noqa: E402
+from clickflow.operators.features import LABEL_COLUMNS, feature_names  # noqa: E402
 from clickflow.schema import LABEL  # noqa: E402
 
+#: What the stand-in regressor reads.
+STANDIN = ["event_type_count"]
+
 
 class Ctx:
-    """The pipeline pieces one query needs, each built when it is first asked for."""
+    """The pipeline pieces one query needs, each built when it is first asked for, from the feature ``columns``
+    that it needs (default: all)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, columns: list[str] | None = None):
         self.spark = spark
+        self.ws = session_workspace(spark)
         self.events = _events(spark, sf_dir)
         self.triage = TR.triage_sessions(self.events)
-        self.cols = feature_names()
+        self.cols = columns or feature_names()
+        self.columns = columns
 
     @cached_property
+    def labelled(self) -> DataFrame:
+        # Read by several later steps (labels, ranking, scaling, fits): written once, so
+        # later plans start from a scan of the columns they need.
+        features = session_features(self.events, model_only=True, columns=self.columns, ws=self.ws, with_label=True)
+        return self.ws.put(features, "features")
+
+    @property
     def features(self) -> DataFrame:
-        # Read by several later steps (ranking, scaling, fits): checkpointed, so
-        # later plans start from a scan of it instead of the whole feature lineage.
-        return materialize(session_features(self.events, model_only=True))
+        return self.labelled.drop(*LABEL_COLUMNS)
 
     @cached_property
     def train(self) -> DataFrame:
-        return materialize(S.attach_label(self.features, self.events))
+        return S.attach_label(self.labelled, self.events)
 
     @property
     def test(self) -> DataFrame:
         return self.features.where(F.col("split") == "test")
 
+    @cached_property
+    def _scores(self) -> DataFrame:
+        return self.ws.put(S.correlation_scores(self.train, self.cols), "scores")
+
     def scores(self) -> DataFrame:
-        return S.correlation_scores(self.train, self.cols)
+        return self._scores
 
     def top_names(self, n: int = 25) -> list[str]:
         rows = S.top_features(self.scores(), n).orderBy("rank").select("feature").collect()
         return [r.feature for r in rows]
 
+    def scaled(self, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        return M.standardize(S.select_features(self.train, names + [LABEL]), S.select_features(self.test, names), names)
+
+    def cross_fit(self, names: list[str], fit=None):
+        return M.cross_fit(*self.scaled(names), self.folds(), names, fit, ws=self.ws)
+
     def folds(self) -> DataFrame:
         """Folds of the modelled train sessions; these follow from the triage alone."""
         modelled = (F.col("session_class") == TR.MODEL) & (F.col("in_train") == 1)
@@ -177,10 +193,31 @@ class Ctx:
         )
 
 
+def _standin(spark: SparkSession, d: str) -> Ctx:
+    return Ctx(spark, d, STANDIN)
+
+
 def _long(df: DataFrame, names: list[str]) -> DataFrame:
     return df.unpivot([SESSION, "split"], names, "feature", "value")
 
 
+def q_attach_label(spark, d):
+    return rounded(Ctx(spark, d).train)
+
+
+def q_numeric_columns(spark, d):
+    train = Ctx(spark, d).train
+    return rounded(train.select(SESSION, *S.numeric_columns(train)))
+
+
+#: Small enough to be fewer than all rows on every test folder but the smallest.
+SAMPLE = 1000
+
+
+def q_sample_rows(spark, d):
+    return rounded(S.sample_rows(_standin(spark, d).train, SAMPLE).select(SESSION, LABEL))
+
+
 def q_select_features(spark, d):
     c = Ctx(spark, d)
     names = c.top_names()
@@ -207,42 +244,88 @@ def q_shap_importance(spark, d):
     return shap_ranking(spark, c.train, c.cols)
 
 
-def q_cross_fit(spark, d):
-    c = Ctx(spark, d)
-    names = c.top_names()
-    tr, te = M.standardize(S.select_features(c.train, names + [LABEL]), S.select_features(c.test, names), names)
-    oof, test_pred, _ = M.cross_fit(tr, te, c.folds(), names)
+def _predictions(oof: DataFrame, test_pred: DataFrame) -> DataFrame:
     return oof.select(SESSION, F.lit("oof").alias("kind"), "prediction").unionByName(
         test_pred.select(SESSION, F.lit("test").alias("kind"), "prediction")
     )
 
 
+def q_cross_fit(spark, d):
+    c = Ctx(spark, d)
+    oof, test_pred, _ = c.cross_fit(c.top_names())
+    return _predictions(oof, test_pred)
+
+
+def q_boosted_cross_fit(spark, d):
+    c = Ctx(spark, d)
+    names = c.top_names()
+    oof, test_pred, _ = c.cross_fit(names, M.gbt_factory(names))
+    return _predictions(oof, test_pred)
+
+
 def q_mean_importance(spark, d):
     c = Ctx(spark, d)
     names = c.top_names()
-    tr, te = M.standardize(S.select_features(c.train, names + [LABEL]), S.select_features(c.test, names), names)
-    _, _, models = M.cross_fit(tr, te, c.folds(), names)
+    _, _, models = c.cross_fit(names)
     return M.mean_importance(spark, models, names)
 
 
-def q_write_submission(spark, d):
+def q_model_invariants(spark, d):
+    """What must hold for fitted models whatever the trees look like: check, n (rows concerned), holds."""
+    from clickflow.operators.shap import shap_importance, shap_sums
+
     c = Ctx(spark, d)
-    path = shared_dir(spark, "submission")
-    U.write_submission(U.clip_negative(c.submission()), path)
-    return spark.read.option("header", True).schema(f"{SESSION} string, {LABEL} double").csv(path)
+    names, rows = c.top_names(), []
+    forest = S.fit_forest(S.sample_rows(c.train, SAMPLE), names, num_trees=20, max_depth=6)
+    sums = shap_sums(spark, c.train, forest, names)
+    off = F.abs(F.col("base") + F.col("attributed") - F.col("prediction")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    importance = S.forest_importance(spark, forest, names)
+    scores = shap_importance(spark, c.train, forest, names)
+    oof, test_pred, models = c.cross_fit(names, M.forest_factory(names, num_trees=10, max_depth=5))
+    mean = M.mean_importance(spark, models, names)
+    boost_oof, boost_test, boosted = c.cross_fit(names, M.gbt_factory(names))
+
+    def check(name: str, df: DataFrame, holds) -> None:
+        rows.append(df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n"), F.coalesce(holds, F.lit(False)).alias("holds")))
+
+    one = lambda col: F.abs(F.sum(col) - 1) < 1e-9
+    check("attributions add up to the prediction", sums, ~F.bool_or(off))
+    check("forest importances are shares", importance, one("score") & (F.min("score") >= 0))
+    check("every feature has a mean attribution", scores, F.min("score") >= 0)
+    check("mean importances are shares", mean, one("importance") & (F.min("importance") >= 0))
+    for name, out, pred in (("forest", oof, test_pred), ("boosted", boost_oof, boost_test)):
+        better = F.sqrt(F.avg((F.col(LABEL) - F.col("prediction")) ** 2)) < F.stddev_pop(LABEL)
+        check(f"{name}: one out-of-fold prediction a session", out, F.count_distinct(SESSION) == F.count("prediction"))
+        check(f"{name}: better than the mean", out, better)
+        check(f"{name}: one test prediction a session", pred, F.count_distinct(SESSION) == F.count("prediction"))
+    trees = spark.createDataFrame([(m.getNumTrees,) for m in boosted], "trees int")
+    check("boosted: every fold stops before its limit", trees, F.max("trees") < boosted[0].getMaxIter())
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
-def q_profile_shapes(spark, d):
-    c = Ctx(spark, d)
-    return c_profile(c)
+def q_write_submission(spark, d):
+    c = _standin(spark, d)
+    done = c.ws.put(U.clip_negative(c.submission()), "submission")
+    return rounded(U.read_submission(spark, U.write_submission(done, c.ws.folder("published"))))
+
+
+def q_coverage_ids(spark, d):
+    """Test sessions against the sessions of the modelled rows: those of the other classes are missing, those of train are extra."""
+    ev = _events(spark, d)
+    triage = TR.triage_sessions(ev)
+    return U.coverage_ids(U.expected_sessions(ev), TR.session_ids(triage, TR.MODEL))
 
 
-def c_profile(c: Ctx) -> DataFrame:
+def q_profile_shapes(spark, d):
     """Rows and columns of each stage, from one aggregate over the events
     joined with the session classes, plus the feature tables."""
     from clickflow.sources.io import profile_shapes
 
-    return profile_shapes(c.events, c.triage, c.features)
+    # the rows of the feature table do not depend on its columns
+    return profile_shapes(_events(spark, d), TR.triage_sessions(_events(spark, d)), _features(spark, d, []), 1 + len(feature_names()))
 
 
 def _export(spark: SparkSession, d: str, broken: bool) -> tuple[str, str]:
@@ -256,7 +339,7 @@ def _export(spark: SparkSession, d: str, broken: bool) -> tuple[str, str]:
         time = F.when(F.col("event_id") % 97 == 0, F.lit("no time")).otherwise(time)
         session = F.when(F.col("event_id") % 89 != 0, session)
     out = ev.select("split", time.alias("event_time"), "event_type", *ids, session.alias(SESSION), F.col(LABEL).cast("string").alias(LABEL))
-    base = shared_dir(spark, f"export-{uuid4().hex}")
+    base = session_workspace(spark).folder("export")
     for split, cols in (("train", out.columns[1:]), ("test", out.columns[1:-1])):
         out.where(F.col("split") == split).select(*cols).write.option("header", True).csv(f"{base}/{split}")
     return f"{base}/train", f"{base}/test"
@@ -267,6 +350,17 @@ def q_scan_splits(spark, d):
     return rounded(back.drop("event_id"))
 
 
+def q_scan_layouts(spark, d):
+    """One folder with two header lines: other order, a further column, line breaks inside of fields."""
+    ev = _events(spark, d).withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    folder = session_workspace(spark).folder("layouts")
+    writer = lambda df: df.write.option("header", True).option("escape", '"').mode("append").csv(folder)
+    writer(ev.where("event_id % 2 = 0"))
+    text = F.concat(F.lit('one "'), F.col("product_id").cast("string"), F.lit('"\n two'))
+    writer(ev.where("event_id % 2 = 1").withColumn("product_id", text).withColumn("note", F.lit("a,\nb")).select("note", *reversed(ev.columns)))
+    return rounded(scan_events(spark, folder, fmt="csv"))
+
+
 def q_quarantine(spark, d):
     train, test = _export(spark, d, broken=True)
     bad = quarantine(spark, train, split="train").unionByName(quarantine(spark, test, split="test"))
@@ -276,29 +370,32 @@ def q_quarantine(spark, d):
 def model_queries() -> dict[str, Query]:
     return {
         "scan_splits": q_scan_splits,
+        "scan_layouts": q_scan_layouts,
         "quarantine": q_quarantine,
         "multi_label_sessions": lambda s, d: TR.multi_label_sessions(_events(s, d)),
-        "attach_label": lambda s, d: rounded(Ctx(s, d).train),
-        "numeric_columns": lambda s, d: rounded(
-            (lambda c: c.train.select(SESSION, *S.numeric_columns(c.train)))(Ctx(s, d))
-        ),
-        "sample_rows": lambda s, d: rounded(S.sample_rows(Ctx(s, d).train).select(SESSION, LABEL)),
+        "attach_label": q_attach_label,
+        "numeric_columns": q_numeric_columns,
+        "sample_rows": q_sample_rows,
         "fit_forest": q_fit_forest,
         "shap_importance": q_shap_importance,
         "top_features": lambda s, d: rounded(S.top_features(Ctx(s, d).scores())),
         "select_features": q_select_features,
+        "feature_reduction": lambda s, d: rounded(S.feature_reduction(Ctx(s, d).scores())),
         "standardize": q_standardize,
         "kfold_assign": lambda s, d: Ctx(s, d).folds(),
         "cross_fit": q_cross_fit,
-        "fold_metrics": lambda s, d: rounded(M.fold_metrics(Ctx(s, d).standin()[0])),
-        "oof_metrics": lambda s, d: rounded(M.oof_metrics(Ctx(s, d).standin()[0])),
+        "boosted_cross_fit": q_boosted_cross_fit,
+        "model_invariants": q_model_invariants,
+        "fold_metrics": lambda s, d: rounded(M.fold_metrics(_standin(s, d).standin()[0])),
+        "oof_metrics": lambda s, d: rounded(M.oof_metrics(_standin(s, d).standin()[0])),
         "mean_importance": q_mean_importance,
-        "prediction_stats": lambda s, d: rounded(M.prediction_stats(Ctx(s, d).standin()[1])),
+        "prediction_stats": lambda s, d: rounded(M.prediction_stats(_standin(s, d).standin()[1])),
         "feature_categories": lambda s, d: rounded(S.feature_categories(Ctx(s, d).scores())),
         "category_report": lambda s, d: rounded(S.category_report(Ctx(s, d).scores())),
-        "assemble_submission": lambda s, d: rounded(Ctx(s, d).submission()),
-        "clip_negative": lambda s, d: rounded(U.clip_negative(Ctx(s, d).submission()).select(SESSION, LABEL)),
-        "coverage_check": lambda s, d: (lambda c: U.coverage_check(c.events, c.submission()))(Ctx(s, d)),
+        "assemble_submission": lambda s, d: rounded(_standin(s, d).submission()),
+        "clip_negative": lambda s, d: rounded(U.clip_negative(_standin(s, d).submission()).select(SESSION, LABEL)),
+        "coverage_check": lambda s, d: (lambda c: U.coverage_check(c.events, c.submission()))(_standin(s, d)),
+        "coverage_ids": q_coverage_ids,
         "write_submission": q_write_submission,
         "profile_shapes": q_profile_shapes,
     }

@@ -8,7 +8,9 @@ of a test-data folder (the fixture of FIXTURES.md F-1), so every query grows wit
 
 from __future__ import annotations
 
+import csv
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +46,66 @@ def format_of(spark: SparkSession, path: str) -> str:
     raise ValueError(f"give fmt ('csv' or 'parquet'): cannot tell it from the files of {path}")
 
 
-def _read_raw(spark: SparkSession, path: str, fmt: str | None, strict: bool) -> DataFrame:
-    """The export's columns under their own names; CSV values as text. Rows that break the CSV
-    form raise if strict, else carry their text in a column of their own."""
-    fmt = fmt or format_of(spark, path)
-    if fmt == "parquet":
-        raw = spark.read.parquet(path)
-    elif fmt == "csv":
-        names = spark.read.option("header", True).csv(path).columns
+def _first_line(spark: SparkSession, file) -> str | None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stream = file.getFileSystem(conf).open(file)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+        inner = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(inner, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a CSV file or folder by the columns of their header lines. The first line of each file is read,
+    by a few threads of the driver; empty files have no layout."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        spark.read.csv(path)  # raises with Spark's own error
+    files = [st.getPath() for st in fs.listStatus(where) if st.isFile() and not st.getPath().getName().startswith(("_", "."))]
+    files.sort(key=lambda f: f.toString())
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for file, line in zip(files, pool.map(lambda f: _first_line(spark, f), files)):
+            if line:
+                columns = tuple(next(csv.reader([line.removeprefix("\ufeff")])))
+                out.setdefault(columns, []).append(file.toString())
+    return out
+
+
+def _read_csv(spark: SparkSession, path: str, strict: bool, multiline: bool) -> DataFrame:
+    """The files of each layout under their own header, united by name; values as text."""
+    parts = []
+    for names, files in csv_layouts(spark, path).items():
+        missing = [c for c in REQUIRED if c not in names]
+        if missing:
+            raise ValueError(f"{files[0]} lacks the columns {', '.join(missing)}")
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        reader = spark.read.option("header", True).option("enforceSchema", False)
+        reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multiline).option("escape", '"')
         if strict:
-            raw = reader.option("mode", "FAILFAST").schema(schema).csv(path)
+            parts.append(reader.option("mode", "FAILFAST").schema(schema).csv(files))
         else:
             schema = schema.add(CORRUPT, T.StringType())
-            raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
-    else:
+            parts.append(reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(files))
+    if not parts:
+        raise ValueError(f"{path} has no file with a header line")
+    raw = parts[0]
+    for p in parts[1:]:
+        raw = raw.unionByName(p, allowMissingColumns=True)
+    return raw
+
+
+def _read_raw(spark: SparkSession, path: str, fmt: str | None, strict: bool, multiline: bool = True) -> DataFrame:
+    """The export's columns under their own names; CSV values as text. Rows that break the CSV
+    form raise if strict, else carry their text in a column of their own."""
+    fmt = fmt or format_of(spark, path)
+    if fmt == "csv":
+        return _read_csv(spark, path, strict, multiline)
+    if fmt != "parquet":
         raise ValueError(f"unknown format {fmt!r}")
+    raw = spark.read.parquet(path)
     missing = [c for c in REQUIRED if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
@@ -80,6 +125,8 @@ def _typed(raw: DataFrame, strict: bool, split: str | None, tie_break: str) -> D
 
     time = F.col("event_time").cast("string")
     parsed = parse_event_time(time, strict)
+    if strict:  # a missing time does not fit either
+        parsed = F.when(time.isNull(), F.raise_error(F.lit("null event_time")).cast("timestamp_ntz")).otherwise(parsed)
     reasons.append(F.when(parsed.isNull(), F.lit("bad event_time")))
     reasons.append(F.when(F.col(SESSION).isNull(), F.lit(f"null {SESSION}")))
     if CORRUPT in raw.columns:
@@ -104,30 +151,49 @@ def scan_events(
     strict: bool = True,
     split: str | None = None,
     tie_break: str = "event_id",
+    multiline: bool = True,
 ) -> DataFrame:
     """Read an event export by column name; ids stay text.
 
+    The CSV files of a folder may have different headers (other orders, further columns). Fields may hold line
+    breaks in quotes; a file is then read by one task, so turn ``multiline`` off for huge files without them.
     ``strict`` raises on a value or row that does not fit (a null session key is kept, as the
     operators define it); otherwise rows that ``quarantine`` would return are left out. A missing
     path raises AnalysisException (PATH_NOT_FOUND), which is left to surface (S2).
     """
-    typed = _typed(_read_raw(spark, path, fmt, strict), strict, split, tie_break)
+    typed = _typed(_read_raw(spark, path, fmt, strict, multiline), strict, split, tie_break)
     return (typed if strict else typed.where(F.size("reasons") == 0)).drop("reasons")
 
 
 def quarantine(
-    spark: SparkSession, path: str, fmt: str | None = None, split: str | None = None, tie_break: str = "event_id"
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    split: str | None = None,
+    tie_break: str = "event_id",
+    multiline: bool = True,
 ) -> DataFrame:
     """S3: the rows of an export that do not fit, with all their reasons."""
-    return _typed(_read_raw(spark, path, fmt, False), False, split, tie_break).where(F.size("reasons") > 0)
+    return _typed(_read_raw(spark, path, fmt, False, multiline), False, split, tie_break).where(F.size("reasons") > 0)
 
 
 def scan_splits(
-    spark: SparkSession, train_path: str, test_path: str, fmt: str | None = None, strict: bool = True
+    spark: SparkSession,
+    train_path: str,
+    test_path: str,
+    fmt: str | None = None,
+    strict: bool = True,
+    tie_break: str = "event_id",
+    multiline: bool = True,
 ) -> DataFrame:
-    """S1 for the two-file layout (train with labels, test without), tagged with ``split``."""
-    train = scan_events(spark, train_path, fmt, strict, "train")
-    return train.unionByName(scan_events(spark, test_path, fmt, strict, "test"))
+    """S1 for the two-file layout (train with labels, test without), tagged with ``split``. Without a
+    tie-break column the ids are numbered over both."""
+    raw = [
+        _read_raw(spark, path, fmt, strict, multiline).withColumn("split", F.lit(split))
+        for path, split in ((train_path, "train"), (test_path, "test"))
+    ]
+    typed = _typed(raw[0].unionByName(raw[1], allowMissingColumns=True), strict, None, tie_break)
+    return (typed if strict else typed.where(F.size("reasons") == 0)).drop("reasons")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,12 +9,13 @@ from clickflow.operators.joins import by_session
 from clickflow.schema import SESSION
 
 
-def profile_shapes(events: DataFrame, triage: DataFrame, features: DataFrame) -> DataFrame:
+def profile_shapes(events: DataFrame, triage: DataFrame, features: DataFrame, n_features: int | None = None) -> DataFrame:
     """Rows and column counts of: input splits, clean splits, anomalous test
     rows, model splits and the feature tables. One aggregate over events
-    joined with the per-session class (null sessions count as clean)."""
+    joined with the per-session class (null sessions count as clean). ``n_features``: the
+    columns of the feature table where ``features`` has only its rows."""
     ev_cols = len(events.columns)
-    feat_cols = len([c for c in features.columns if c != "split"])
+    feat_cols = n_features or len([c for c in features.columns if c != "split"])
     cls = by_session(events, triage.select(SESSION, "session_class"), "left")
     klass = F.coalesce(F.col("session_class"), F.lit("model"))
     agg = cls.groupBy("split").agg(

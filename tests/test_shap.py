@@ -62,3 +62,13 @@ def test_importance_job(spark, fitted):
     df, model, _ = fitted
     imp = {r.feature: r.score for r in SH.shap_importance(spark, df, model, COLS).collect()}
     assert imp["a"] > imp["b"] > 0
+
+
+def test_attributions_of_every_row_add_up(spark, fitted, monkeypatch):
+    df, model, _ = fitted
+    monkeypatch.setattr(SH, "PIECE", 7)
+    rows = SH.shap_sums(spark, df, model, COLS).collect()
+    assert sorted(r.user_session for r in rows) == sorted(str(i) for i in range(300))
+    for r in rows:
+        assert r.base + r.attributed == pytest.approx(r.prediction, rel=1e-9, abs=1e-9)
+    assert len({r.base for r in rows}) == 1

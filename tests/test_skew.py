@@ -1,12 +1,12 @@
 """Skew-safe operators against brute force: one session holding most rows,
-split over several range blocks, and the exact order statistics."""
+cut into several blocks of time, and the exact order statistics."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from clickflow.functions.stats import exact_quantiles, order_statistic
+from clickflow.functions.stats import digit_counts, exact_quantiles, order_statistic
 from clickflow.operators.sequence import ordered_events, sequence_stats
 
 
@@ -47,19 +47,32 @@ def brute(pdf):
     return out
 
 
-def test_hot_session_spans_blocks(spark, hot_events):
-    o = ordered_events(hot_events, ("category_id",))
-    blocks = o.where(F.col("user_session") == "hot").count()
-    assert blocks == 3000
-    orders = sorted(r.event_order for r in o.where(F.col("user_session") == "hot").select("event_order").collect())
-    assert orders == list(range(1, 3001))
+@pytest.mark.parametrize("block_rows", [50, 250_000])
+def test_hot_session_spans_blocks(hot_events, block_rows):
+    hot = ordered_events(hot_events, ("category_id",), block_rows).where(F.col("user_session") == "hot")
+    rows = hot.orderBy("event_order").select("event_order", "_t", "event_id", "_prev_t").collect()
+    assert [r.event_order for r in rows] == list(range(1, 3001))
+    assert [(r._t, r.event_id) for r in rows] == sorted((r._t, r.event_id) for r in rows)
+    assert [r._prev_t for r in rows] == [None, *[r._t for r in rows[:-1]]]
 
 
-def test_sequence_stats_match_brute_force(spark, hot_events):
+def test_heavy_hours_are_cut(spark, hot_events, monkeypatch):
+    from clickflow.operators import sequence
+
+    rows = hot_events.select("user_session", sequence.micros().alias("_t"))
+    rows = rows.withColumn("_hour", F.expr(f"(_t - pmod(_t, {sequence.HOUR}L)) div {sequence.HOUR}L"))
+    heavy = sequence.heavy_hours(rows, 50).collect()
+    assert {r.user_session for r in heavy} == {"hot"} and len(heavy) == 3 and all(r._parts > 5 for r in heavy)
+    monkeypatch.setattr(sequence, "HEAVY_HOURS", 2)  # only hours with more than half of all events
+    assert sequence.heavy_hours(rows, 50).collect() == []
+
+
+@pytest.mark.parametrize("block_rows", [50, 250_000])
+def test_sequence_stats_match_brute_force(hot_events, block_rows):
     pdf = hot_events.toPandas()
     pdf["category_id"] = pdf["category_id"].astype(object).where(pdf["category_id"].notna(), None)
     want = brute(pdf)
-    got = {r.user_session: r for r in sequence_stats(hot_events).collect()}
+    got = {r.user_session: r for r in sequence_stats(hot_events, block_rows=block_rows).collect()}
     assert set(got) == set(want)
     for s, w in want.items():
         g = got[s]
@@ -70,15 +83,32 @@ def test_sequence_stats_match_brute_force(spark, hot_events):
         assert g.category_switch_count == w["sw"], s
 
 
+def test_gaps_of_years_and_events_without_time(spark, make_events):
+    times = ["2001-01-01 00:00:00", "2003-02-01 00:00:00", "2003-02-01 00:00:00", "2010-06-01 12:00:00.000001", "2024-12-31 23:59:59"]
+    ev = make_events([(i, t, "VIEW", 1, 1, 1, "s") for i, t in enumerate(times)])
+    late = spark.createDataFrame([(9, None, "BUY", 1, 2, 1, "s", 10.0, "train")], ev.schema.simpleString().replace("struct<", "").rstrip(">"))
+    row = sequence_stats(ev).collect()[0]
+    t = pd.Series(pd.to_datetime(times, format="ISO8601"))
+    gaps = t.diff().dt.total_seconds().dropna()
+    assert row.max_time_between_events == pytest.approx(gaps.max()) and row.std_time_between_events == pytest.approx(gaps.std())
+    assert row.long_pauses_count == int((gaps > gaps.quantile(0.75)).sum()) and row.total_pause_time == pytest.approx(gaps.sum())
+    both = {r.event_id: (r.event_order, r._has_prev, r._prev_t is None) for r in ordered_events(ev.unionByName(late)).collect()}
+    assert both[9] == (1, False, True) and both[0] == (2, True, True) and both[1][:2] == (3, True)
+
+
 def test_order_statistic_brute_force(spark):
     rng = np.random.default_rng(3)
-    vals = [("a", int(v)) for v in rng.integers(0, 5_000_000, 2000)] + [("b", 7), ("b", 7), ("b", 2)]
+    vals = [("a", int(v)) for v in rng.integers(0, 5_000_000, 2000)] + [("b", 7), ("b", 7), ("b", 2), ("b", None), ("c", None)]
+    vals += [("d", 2**59), ("d", 2**59 - 1), ("d", 0)]
     df = spark.createDataFrame(vals, "g string, v long")
-    ranks = spark.createDataFrame([("a", 1499), ("b", 1)], "g string, k long")
-    got = {r.g: (r.v, r.n_le) for r in order_statistic(df, ranks, "g", "v", "k", low_bits=12).collect()}
-    a = np.sort([v for g, v in vals if g == "a"])
-    assert got["a"] == (a[1499], int((a <= a[1499]).sum()))
-    assert got["b"] == (7, 3)
+    ranks = spark.createDataFrame([("a", 1499), ("b", 1), ("d", 2)], "g string, k long")
+    for bits in (12, 20):
+        counts = digit_counts(df, "g", "v", [F.count(F.lit(1)).alias("rows")], bits)
+        got = {r.g: (r.v, r.n_le) for r in order_statistic(counts, ranks, "g", "v", "k", bits).collect()}
+        a = np.sort([v for g, v in vals if g == "a"])
+        assert got["a"] == (a[1499], int((a <= a[1499]).sum()))
+        assert got["b"] == (7, 3) and got["d"] == (2**59, 3) and "c" not in got
+        assert {(r.g, r._n, r.rows) for r in counts.where("_level = 3").collect()} == {("a", 2000, 2000), ("b", 3, 4), ("c", 0, 1), ("d", 3, 3)}
 
 
 def test_exact_quantiles_match_numpy(spark):

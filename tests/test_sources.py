@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from clickflow.config import shared_dir
-from clickflow.sources.events import clickstream, scan_events, scan_splits
+from clickflow.sources.events import clickstream, csv_layouts, scan_events, scan_splits
 
 
 def test_two_file_csv_round_trip(spark):
@@ -106,3 +106,34 @@ def test_hot_session_is_dealt_over_tasks(spark, make_events):
     finally:
         for k, v in keep.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_layouts_of_one_folder_are_united(spark, tmp_path):
+    base = "event_time,event_type,product_id,category_id,user_id,user_session"
+    (tmp_path / "a.csv").write_text(f"{base}\n2024-01-01 10:00:00,VIEW,p1,c1,u1,s1\n")
+    (tmp_path / "b.csv").write_text('\ufeffuser_session,"note, long",user_id,category_id,product_id,event_type,event_time\n'
+                                    's2,"two\nlines",u2,c2,"p ""2""\nend",BUY,2024-01-01 11:00:00\n')
+    import gzip
+
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(f"{base}\n2024-01-01 12:00:00,VIEW,p3,,u3,s3\n".encode()))
+    (tmp_path / "d.csv").write_text("")
+    assert sorted(map(len, csv_layouts(spark, str(tmp_path)).values())) == [1, 2]
+    rows = scan_events(spark, str(tmp_path), fmt="csv", split="train").orderBy("event_time").collect()
+    assert [(r.user_session, r.event_type, r.product_id, r.category_id, r.user_id) for r in rows] == [
+        ("s1", "VIEW", "p1", "c1", "u1"), ("s2", "BUY", 'p "2"\nend', "c2", "u2"), ("s3", "VIEW", "p3", None, "u3")]
+    (tmp_path / "e.csv").write_text("event_time,user_id\n2024-01-01 10:00:00,u\n")
+    with pytest.raises(ValueError, match="e.csv lacks the columns event_type"):
+        scan_events(spark, str(tmp_path), fmt="csv", split="train")
+
+
+def test_ids_of_two_splits_differ_and_null_times_raise(spark, tmp_path):
+    base = "event_time,event_type,product_id,category_id,user_id,user_session"
+    for name in ("train", "test"):
+        (tmp_path / f"{name}.csv").write_text(f"{base}\n2024-01-01 10:00:00,VIEW,p1,c1,u1,s1\n")
+    rows = scan_splits(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), fmt="csv").collect()
+    assert len({r.event_id for r in rows}) == 2 and {r.split for r in rows} == {"train", "test"}
+    bad = tmp_path / "bad.csv"
+    bad.write_text(f"{base}\n,VIEW,p1,c1,u1,s1\n")
+    with pytest.raises(Exception, match="null event_time"):
+        scan_events(spark, str(bad), fmt="csv", split="train").collect()
+    assert scan_events(spark, str(bad), fmt="csv", split="train", strict=False).collect() == []
