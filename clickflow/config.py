@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -113,3 +114,11 @@ def _close(key: str) -> None:
     sc = ws.spark.sparkContext
     if sc._jsc is not None and sc.applicationId == key:
         ws.close()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed there and not on their PYTHONPATH."""
+    folder = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as tmp:  # the driver copies it to the executors at once
+        archive = shutil.make_archive(os.path.join(tmp, "clickflow"), "zip", os.path.dirname(folder), os.path.basename(folder))
+        spark.sparkContext.addPyFile(archive)

@@ -59,8 +59,10 @@ def type_columns(event_types: Sequence[str] = EVENT_TYPES) -> list[str]:
     return sorted(event_types)
 
 
-def session_aggregates(events: DataFrame, event_types: Sequence[str] = EVENT_TYPES) -> DataFrame:
-    """The main per-session aggregate."""
+def session_aggregates(
+    events: DataFrame, event_types: Sequence[str] = EVENT_TYPES, with_label: bool = False
+) -> DataFrame:
+    """The main per-session aggregate; ``with_label`` adds the ``LABEL_COLUMNS``."""
     ev = event_calendar(events.where(F.col(SESSION).isNotNull()))
     et = F.col("event_type")
     # Split as a code (0 train, 1 test): a fixed-width buffer keeps this a
@@ -93,16 +95,14 @@ def session_aggregates(events: DataFrame, event_types: Sequence[str] = EVENT_TYP
         F.min(type_place()).alias("_first_place"),
         F.max(type_place()).alias("_last_place"),
         # One label for most sessions; the others are known by these.
-        *label_aggregates(events),
+        *(label_aggregates() if with_label else ()),
         # T10 in the same aggregate: the session class needs no second pass.
         *triage_aggregates(),
     )
 
 
-def label_aggregates(events: DataFrame) -> list[F.Column]:
+def label_aggregates() -> list[F.Column]:
     """Lowest and highest label of a session's train rows, and how many have one or none."""
-    if LABEL not in events.columns:
-        return []
     train = F.col("split") == "train"
     label = F.when(train, F.col(LABEL))
     return [
@@ -144,11 +144,12 @@ def session_core(
     event_types: Sequence[str] = EVENT_TYPES,
     sources: set[str] | None = None,
     ws: Workspace | None = None,
+    with_label: bool = False,
 ) -> DataFrame:
     """Per-session table with every column that needs no dataset statistic. ``sources`` (default: all) names
     the value columns to count and whether the ordered events are needed."""
     sources = {*VALUE_COLUMNS, SEQUENCE} if sources is None else sources
-    agg = session_aggregates(events, event_types)
+    agg = session_aggregates(events, event_types, with_label)
     split = F.when(F.col("_split_code") == 0, "train").when(F.col("_split_code") == 1, "test")
     core = agg.withColumns(
         {
@@ -217,21 +218,25 @@ def session_features(
     columns: Sequence[str] | None = None,
     ws: Workspace | None = None,
     with_label: bool = False,
+    statistics: str = "split",
 ) -> DataFrame:
     """``user_session`` (+ ``split``) and 112 features per session, or those of ``columns``.
 
     ``sessions``: optional one-column table of session ids to keep;
     ``model_only``: keep the model sessions of triage (classified inside the
     same aggregate). Statistics are computed over the kept sessions only, per
-    split, as the reference computes them per input frame. Without ``model_only`` a session that stands in
+    split, as the reference computes them per input frame (``statistics="train"``: those of train for all rows,
+    so that no test row takes part in them). Without ``model_only`` a session that stands in
     both splits is one row of train. ``with_label`` adds the ``LABEL_COLUMNS`` that ``attach_label`` reads.
 
     Features that need ordered events or dataset statistics write a table to ``ws`` (or the session's
     workspace) when this is called; the others only plan.
     """
+    if statistics not in ("split", "train"):
+        raise ValueError(f"statistics are those of 'split' or 'train', not {statistics!r}")
     sources = sources_of(columns, event_types)
     ws = ws or (session_workspace(events.sparkSession) if sources & {SEQUENCE, STATISTICS} else None)
-    core = session_core(events, event_types, sources, ws)
+    core = session_core(events, event_types, sources, ws, with_label)
     if model_only:
         # Triage class from the same aggregate: keep the modelled sessions.
         core = core.where(F.col("_class") == MODEL)
@@ -239,7 +244,12 @@ def session_features(
         core = core.join(sessions.select(SESSION), SESSION, "left_semi")
     if STATISTICS in sources:
         core = ws.put(core, "sessions")
-        core = core.join(F.broadcast(_activity_stats(core)), "_split", "left")
+        stats = _activity_stats(core)
+        if statistics == "train":
+            stats = stats.where("_split = 'train'").drop("_split")
+            core = core.join(F.broadcast(stats), F.lit(True), "left")  # one row, or none
+        else:
+            core = core.join(F.broadcast(stats), "_split", "left")
     wanted = None if columns is None else list(columns)
     return _project(core, event_types, keep_split, wanted, LABEL_COLUMNS if with_label else ())
 

@@ -375,6 +375,12 @@ def model_oracle() -> dict[str, str]:
             case when event_id % 2 = 1 then 'one "' || product_id || '"' || chr(10) || ' two' else cast(product_id as varchar) end as product_id,
             cast(category_id as varchar) as category_id, cast(user_id as varchar) as user_id, user_session,
             {r6("session_value")} as session_value, split from clk""",
+        "input_status": f"""{with_ctes()} select split as name, true as present, count(*) as n_rows from clk group by split
+            union all select 'validation', false, null""",
+        "features_train_statistics": f"""{with_ctes(TRIAGE_SQL, FEATURE_SQL.replace(
+            "x as (select * from core join st on core.split = st.st_split)",
+            "x as (select * from core cross join (select * from st where st_split = 'train'))"))}
+            select user_session, split, {_num(FEATURE_GROUPS["activity_flags"] + FEATURE_GROUPS["equal_width_bins"])} from feat""",
         "quarantine": f"""{with_ctes()} select split, reason, count(*) as n_rows from (
             select split, 'bad event_time' as reason from {broken} where t
             union all select split, 'null user_session' as reason from {broken} where u) group by split, reason""",

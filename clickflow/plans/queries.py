@@ -350,6 +350,19 @@ def q_scan_splits(spark, d):
     return rounded(back.drop("event_id"))
 
 
+def q_input_status(spark, d):
+    """The two exported splits, and one that is not there."""
+    from clickflow.sources.io import input_status
+
+    train, test = _export(spark, d, broken=False)
+    return input_status(spark, {"train": train, "test": test, "validation": f"{train}-validation"})
+
+
+def q_features_train_statistics(spark, d):
+    columns = FEATURE_GROUPS["activity_flags"] + FEATURE_GROUPS["equal_width_bins"]
+    return session_features(_events(spark, d), model_only=True, columns=columns, statistics="train")
+
+
 def q_scan_layouts(spark, d):
     """One folder with two header lines: other order, a further column, line breaks inside of fields."""
     ev = _events(spark, d).withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
@@ -371,6 +384,8 @@ def model_queries() -> dict[str, Query]:
     return {
         "scan_splits": q_scan_splits,
         "scan_layouts": q_scan_layouts,
+        "input_status": q_input_status,
+        "features_train_statistics": q_features_train_statistics,
         "quarantine": q_quarantine,
         "multi_label_sessions": lambda s, d: TR.multi_label_sessions(_events(s, d)),
         "attach_label": q_attach_label,

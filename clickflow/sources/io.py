@@ -1,8 +1,8 @@
-"""Shapes of the pipeline stages (rows, columns), computed as aggregates."""
+"""What inputs there are. S5: shapes of the pipeline stages (rows, columns), computed as aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickflow.operators.joins import by_session
@@ -42,3 +42,23 @@ def profile_shapes(events: DataFrame, triage: DataFrame, features: DataFrame, n_
         F.concat_ws("_", F.lit("features"), "split").alias("stage"), "n_rows", F.lit(feat_cols).alias("n_cols")
     )
     return rows.unionByName(feats)
+
+
+def input_status(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> DataFrame:
+    """Name, present, n_rows of each input: a run can be refused, with all that is missing, before it starts.
+    The rows of inputs that are there are counted; a missing path has none."""
+    conf, out = spark._jsc.hadoopConfiguration(), None
+    for name, path in paths.items():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        present = bool(where.getFileSystem(conf).exists(where))
+        rows = spark.read.format(fmt).option("header", True).load(path).agg(F.count(F.lit(1)).alias("n")) if present else spark.range(1).select(F.lit(None).cast("long").alias("n"))
+        one = rows.select(F.lit(name).alias("name"), F.lit(present).alias("present"), F.col("n").alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def require_inputs(status: DataFrame) -> None:
+    """Raise with the names of all inputs that are missing or empty."""
+    bad = [r.name for r in status.where("not present or n_rows = 0").select("name").collect()]  # a row for each input
+    if bad:
+        raise FileNotFoundError(f"missing or empty inputs: {', '.join(sorted(bad))}")

@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from clickflow.config import shared_dir
+from clickflow.sources.io import input_status, require_inputs
 from clickflow.sources.events import clickstream, csv_layouts, scan_events, scan_splits
 
 
@@ -137,3 +138,14 @@ def test_ids_of_two_splits_differ_and_null_times_raise(spark, tmp_path):
     with pytest.raises(Exception, match="null event_time"):
         scan_events(spark, str(bad), fmt="csv", split="train").collect()
     assert scan_events(spark, str(bad), fmt="csv", split="train", strict=False).collect() == []
+
+
+def test_missing_inputs_are_named_together(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n2\n")
+    (tmp_path / "b.csv").write_text("x\n")
+    paths = {n: str(tmp_path / f"{n}.csv") for n in "abc"}
+    status = input_status(spark, paths)
+    assert {tuple(r) for r in status.collect()} == {("a", True, 2), ("b", True, 0), ("c", False, None)}
+    with pytest.raises(FileNotFoundError, match="empty inputs: b, c"):
+        require_inputs(status)
+    require_inputs(status.where("name = 'a'"))
