@@ -1,42 +1,52 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Each page is cut into text lines, one per block element, with the zone of the page that a
-line stands in. Pages are sorted by host, path and id (a range exchange, so that a large
-host spreads over many tasks) and each page is compared with its neighbours of the same host
-in that order: lines are aligned by longest common subsequence and shared lines are deleted as
-template, inside of articles too. Of what is left, landmarks decide: the lines of the article
-if the page has one, else those of <main>, else all that stand outside of menus, notices,
-forms and the like. Copies and near copies of one article under several addresses are common: a
-page that shares more than half of the main text (characters of the lines that landmarks would
-keep) is no witness, and the nearest distinct page before and after is taken instead. Pages
-of another partition are not seen.
+line stands in. Pages stand in the order of host, path and id; pages that follow each other with the same html are
+one run. Each run is compared with the ``NEAR`` runs before and the ``NEAR`` runs after it on its host: lines are
+aligned by longest common subsequence. Pages that share more than half of the main text (characters of the
+lines that landmarks would keep) are near copies of one article and no witnesses; the others are. A line that
+the nearest witness on either side shares is deleted as template. Inside of an article one shared sentence says
+little, so there a line goes only if ``STRONG`` witnesses or more were found and three quarters of them share it.
+Of what is left, landmarks decide: the lines of the article if the page has one, else those of <main>, else all
+that stand outside of menus, notices, forms and the like.
 
 Class, id and role names mark boilerplate by whole tokens, never on html, body, main or article, and an
 article or main inside an element so marked (or a form) is text again. Hidden elements, menus, footers
 and the like stay closed.
 
-Null or empty html gives an empty text; a null url is a host of its own with empty path.
-Pages alone on their host keep what the landmarks allow. Repeated rows are extracted alike.
+Spark: the ids are sorted by range (small columns and a hash of the html), which gives the cuts between blocks of
+neighbouring pages, and for each cut the few runs on either side of it (at most 2 * ``NEAR`` rows a cut go
+to the driver and to all tasks, whatever the pages). Pages are then parsed where they are read and shuffled
+once, as lines, to their block; those beside a cut go to the other block too. So neighbours do not depend on
+the number of partitions.
+
+Null or empty html gives an empty text; a page whose url is null or names no host has no neighbours. Pages alone on
+their host keep what the landmarks allow. Repeated rows are extracted alike. A tag that is never closed is text.
 Only the named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickflow.llm.common import table
+from clickflow.llm.common import Store, slices, table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+NEAR = 4  # runs of pages on either side that a page is compared with
+STRONG = 3  # witnesses that are needed against a line of an article
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"""[>"']""")
+# Elements whose content is no text.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in "script style template noscript svg iframe textarea title math".split()}
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\shidden(?:[\s=]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 # Element names and name parts that mark zones.
@@ -57,12 +67,55 @@ CLOSED = BOILER_TAGS - {"form", "fieldset"}  # no article or main inside opens t
 HIDING, BOILER, NEUTRAL, MAIN, ARTICLE = -1, 0, 1, 2, 3
 
 
+def tag_end(html: str, at: int) -> int:
+    """Position behind the > that ends a tag whose name ends at ``at``; quoted ones count only if the quotes are never
+    closed. -1 if there is none."""
+    p = at
+    while m := STOP.search(html, p):
+        if m[0] == ">":
+            return m.end()
+        p = html.find(m[0], m.end()) + 1
+        if not p:
+            break
+    return html.find(">", at) + 1 or -1
+
+
+def markup(html: str) -> Iterator[tuple[str | None, bool, str, str]]:
+    """The page in one pass forward: (None, False, "", text) and (tag name, closing, attributes, "")."""
+    at = begin = 0
+    while (lt := html.find("<", at)) >= 0:
+        name = NAME.match(html, lt + 1)
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 2) + 3
+            end = end if end > 2 else len(html)
+        elif name or html.startswith(("<!", "<?"), lt):
+            end = tag_end(html, name.end()) if name else html.find(">", lt) + 1 or -1
+            if end < 0:  # no > from here on: no more tags
+                break
+        else:
+            at = lt + 1
+            continue
+        if lt > begin:
+            yield None, False, "", html[begin:lt]
+        if name:
+            tag = name[2].lower()
+            if tag in RAW and not name[1] and not (tag in ("svg", "math") and html[end - 2] == "/"):
+                last = RAW[tag].search(html, end)
+                end = last.end() if last else len(html)
+            elif tag not in RAW:
+                yield tag, bool(name[1]), html[name.end() : end - 1], ""
+        at = begin = end
+    if begin < len(html):
+        yield None, False, "", html[begin:]
+
+
 def page_lines(html: str) -> tuple[list[str], list[int]]:
     """Text lines of a page in order, and the zone of each."""
     lines: list[str] = []
     zones: list[int] = []
     stack: list[tuple[str, int]] = []
-    zone, parts, at = NEUTRAL, [], 0
+    opened: Counter[str] = Counter()
+    zone, parts = NEUTRAL, []
 
     def close() -> None:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
@@ -71,29 +124,24 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             zones.append(zone)
         parts.clear()
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        name = m[3]
+    for name, closing, attrs, text in markup(html):
         if name is None:
+            parts.append(text)
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "br":
                 parts.append(" ")
             continue
         close()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    zone = stack[k][1]
-                    del stack[k:]
+        if closing:
+            while opened[name]:
+                last, zone = stack.pop()
+                opened[last] -= 1
+                if last == name:
                     break
             continue
         if name in VOID:
             continue
-        attrs = m[4]
         inner = zone
         if zone != HIDING:
             words = {w for v in NAMED.findall(attrs) for w in v.strip("\"'").lower().split()} if "=" in attrs else set()
@@ -110,50 +158,99 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                 inner = BOILER
         if name in TRACKED or inner != zone:
             stack.append((name, zone))
+            opened[name] += 1
             zone = inner
-    parts.append(html[at:])
     close()
     return lines, zones
 
 
-def aligned(a: list, b: list) -> set[int]:
-    """Positions of ``a`` in a longest common subsequence of a and b (bit-parallel rows)."""
-    out: set[int] = set()
-    lo, na, nb = 0, len(a), len(b)
-    while lo < na and lo < nb and a[lo] == b[lo]:
-        out.add(lo)
-        lo += 1
-    while na > lo and nb > lo and a[na - 1] == b[nb - 1]:
-        na, nb = na - 1, nb - 1
-        out.add(na)
-    common = set(a[lo:na]) & set(b[lo:nb])
-    rows = [i for i in range(lo, na) if a[i] in common]
-    cols = [x for x in b[lo:nb] if x in common]
-    if not rows:
-        return out
+def rows_of(a: list, b: list) -> list[int]:
+    """Bit-parallel rows of the longest common subsequence: zero bits of row i below j are its length for the first i of
+    a and j of b. One number for each row."""
     where: dict = {}
-    for j, x in enumerate(cols):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(cols)) - 1
-    bits, v = [full], full  # zero bits of row i below j: length for the first i of a and j of b
-    for i in rows:
-        u = v & where[a[i]]
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    full = (1 << len(b)) - 1
+    masks: dict = {}
+    bits, v = [full], full
+    for x in a:
+        if x not in masks:
+            flags = np.zeros(len(b) + 1, np.uint8)
+            flags[where.get(x, [])] = 1
+            masks[x] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        u = v & masks[x]
         v = ((v + u) | (v - u)) & full
         bits.append(v)
+    return bits
+
+
+def lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of a with every beginning of b; one row is held."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        places = where.get(x)
+        if places is None:
+            continue
+        if len(places) == 1:
+            u = v & 1 << places[0]
+        else:
+            flags = np.zeros(len(b), np.uint8)
+            flags[places] = 1
+            u = v & int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        v = ((v + u) | (v - u)) & full
+    ones = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - ones.astype(np.int64))])
+
+
+SMALL = 1 << 22  # bits of a table of rows that is held at once
+
+
+def longest(a: list, b: list, base: int, out: set[int]) -> None:
+    """Adds the positions of ``a`` (from ``base``) in a longest common subsequence; large ones are halved, so that
+    memory stays in proportion to a and b."""
+    if not a or not b:
+        return
+    if len(a) > 1 and len(a) * len(b) > SMALL:
+        mid = len(a) // 2
+        j = int(np.argmax(lengths(a[:mid], b) + lengths(a[mid:][::-1], b[::-1])[::-1]))
+        longest(a[:mid], b[:j], base, out)
+        longest(a[mid:], b[j:], base + mid, out)
+        return
+    bits = rows_of(a, b)
 
     def length(i: int, j: int) -> int:
         return j - (bits[i] & ((1 << j) - 1)).bit_count()
 
-    i, j = len(rows), len(cols)
+    i, j = len(a), len(b)
     while i and j:
-        if a[rows[i - 1]] == cols[j - 1]:
-            out.add(rows[i - 1])
+        if a[i - 1] == b[j - 1]:
+            out.add(base + i - 1)
             i, j = i - 1, j - 1
         elif length(i - 1, j) >= length(i, j - 1):
             i -= 1
         else:
             j -= 1
-    return out
+
+
+def aligned(a: list, b: list) -> set[int]:
+    """Positions of ``a`` in a longest common subsequence of a and b."""
+    out: set[int] = set()
+    lo, na, nb = 0, len(a), len(b)
+    while lo < na and lo < nb and a[lo] == b[lo]:
+        out.add(lo)
+        lo += 1
+    while na > lo and nb > lo and a[na - 1] == b[nb - 1]:
+        na, nb = na - 1, nb - 1
+        out.add(na)
+    common = set(a[lo:na]) & set(b[lo:nb])
+    rows = [i for i in range(lo, na) if a[i] in common]
+    found: set[int] = set()
+    longest([a[i] for i in rows], [x for x in b[lo:nb] if x in common], 0, found)
+    return out.union(rows[i] for i in found)
 
 
 def alike(lines: list[str], zones: list[int], shared: set[int]) -> bool:
@@ -163,22 +260,25 @@ def alike(lines: list[str], zones: list[int], shared: set[int]) -> bool:
     return 2 * sum(n for n, s in sizes if s) > sum(n for n, _ in sizes)
 
 
-def witness(row: dict, seen: list[dict]) -> set[int]:
-    """Positions of the row's lines that the nearest distinct page of ``seen`` (nearest last) shares.
-
-    Pages that the row is a copy or near copy of leave ``seen``, and the row takes their place, so a run of copies holds one page.
-    """
-    shared: set[int] = set()
-    while seen:
-        if seen[-1]["lines"] != row["lines"]:
-            shared = aligned(row["lines"], seen[-1]["lines"])
-            if not alike(row["lines"], row["zones"], shared):
-                break
-            shared = set()
-        seen.pop()
-    seen.append(row)
-    del seen[:-DISTINCT]
-    return shared
+def template(lines: list[str], zones: list[int], before: list[list[str]], after: list[list[str]]) -> set[int]:
+    """Positions of the lines that go: ``before`` and ``after`` are the lines of the neighbours, nearest first."""
+    gone: set[int] = set()
+    votes: Counter[int] = Counter()
+    witnesses = 0
+    for side in (before, after):
+        nearest = True
+        for other in side:
+            shared = aligned(lines, other)
+            if alike(lines, zones, shared):
+                continue
+            witnesses += 1
+            votes.update(shared)
+            if nearest:
+                gone.update(i for i in shared if zones[i] != ARTICLE)
+                nearest = False
+    if witnesses >= STRONG:
+        gone.update(i for i, n in votes.items() if zones[i] == ARTICLE and 4 * n >= 3 * witnesses)
+    return gone
 
 
 def main_text(lines: list[str], zones: list[int], shared: set[int]) -> str:
@@ -187,70 +287,153 @@ def main_text(lines: list[str], zones: list[int], shared: set[int]) -> str:
     return "\n".join(t for t, z in left if z == best) if best > BOILER else ""
 
 
-DISTINCT = 4  # distinct pages before a page that are held
 ADDRESS = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^#]*)"
 
 
+ORDER = ("host", "path", "key", "h1", "h2")
+
+
+def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range of ids its first and its last ``NEAR`` + 1 runs: one page of each."""
+    block = TaskContext.get().partitionId()
+    first: list[dict] = []
+    last: deque[dict] = deque(maxlen=NEAR + 1)
+    run = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            here = (row["host"], row["h1"], row["h2"])
+            if here != run:
+                run = here
+                if len(first) <= NEAR:
+                    first.append(row)
+                last.append(row)
+    rows = [(block, side, i, *(r[c] for c in ORDER)) for side, rs in ((0, first), (1, last)) for i, r in enumerate(rs)]
+    if rows:
+        names = ["block", "side", "place", *ORDER]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema([("block", pa.int32()), ("side", pa.int32()), ("place", pa.int32()), *[(c, batch.schema.field(c).type) for c in ORDER]]))
+
+
+def cuts_and_context(rows: list) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """First id of every block but the first, and the other blocks that need a page as a neighbour: up to ``NEAR`` runs of
+    the same host on either side of each cut, through blocks of few runs where need be."""
+    blocks: dict[int, tuple[list, list]] = {}
+    for r in sorted(rows, key=lambda r: (r["block"], r["side"], r["place"])):
+        blocks.setdefault(r["block"], ([], []))[r["side"]].append(tuple(r[c] for c in ORDER))
+    order = sorted(blocks)
+    context: dict[tuple, list[int]] = {}
+
+    def reach(k: int, step: int) -> None:
+        """The runs that block k has behind its border on one side."""
+        edge = blocks[order[k]][0][0] if step < 0 else blocks[order[k]][1][-1]
+        run, found, j = (edge[0], *edge[3:]), 0, k + step
+        while 0 <= j < len(order) and found < NEAR:
+            whole = blocks[order[j]][1][::-1] if step < 0 else blocks[order[j]][0]
+            for page in whole:
+                if page[0] != edge[0] or found == NEAR:
+                    return
+                if (page[0], *page[3:]) != run:
+                    run, found = (page[0], *page[3:]), found + 1
+                    context.setdefault(page, []).append(k)
+            j += step  # the block has no further runs
+
+    for k in range(len(order)):
+        reach(k, -1)
+        reach(k, 1)
+    return [blocks[b][0][0] for b in order[1:]], context
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text (main text, blocks joined by one newline), n_chars (code points)."""
+    spark = pages.sparkSession
     kind = pages.schema[key].dataType.simpleString()
+    host = F.coalesce(F.lower(F.regexp_extract("url", ADDRESS, 1)), F.lit(""))
+    path = F.coalesce(F.regexp_extract("url", ADDRESS, 2), F.lit(""))
+    hashes = [F.coalesce(F.xxhash64("html", *more), F.lit(0)) for more in ((), (F.lit(1),))]
+    # a null key sorts first in Spark and has no order in Python: its text does
+    name = F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    ids = rows.select(host.alias("host"), path.alias("path"), name, *[h.alias(f"h{i + 1}") for i, h in enumerate(hashes)])
+    ids = Store(spark, "html").put(ids.where("host <> ''"), "ids")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ids.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
+    found = ranged.mapInArrow(borders, "block int, side int, place int, host string, path string, key string, h1 long, h2 long").collect()
+    shared = spark.sparkContext.broadcast(cuts_and_context([r.asDict() for r in found]))
+
+    key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    columns = ["block", "context", "host", "path", "name", "h1", "h2", "key", "url", "lines", "zones"]
+    schema = f"block int, context boolean, host string, path string, name string, h1 long, h2 long, key {kind}, url string, lines array<string>, zones array<tinyint>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = [page_lines(h or "") for h in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("url"), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.list_(pa.int8()))],
-                    names=["key", "url", "lines", "zones"],
-                )
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, set[int]]]:
-        """Each row with the positions of lines that the nearest distinct page before it shares."""
-        seen, host = [], None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for row in batch.slice(at, 500).to_pylist():
-                    if row["host"] != host:
-                        seen, host = [], row["host"]
-                    yield row, witness(row, seen) if host is not None else set()
-
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_of(rows(batches), marked_types, lambda row, shared: (*(row[c] for c in names), sorted(shared)))
-
-    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_of(rows(batches), types, lambda row, shared: (row["key"], row["url"], main_text(row["lines"], row["zones"], shared.union(row["shared"]))))
-
-    def batches_of(found, schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
-        out = []
-        for row, shared in found:
-            out.append(make(row, shared))
-            if len(out) >= 500:
-                yield batch_of(out, schema)
-                out = []
-        if out:
-            yield batch_of(out, schema)
-
-    names = ["key", "url", "lines", "zones", "host", "path"]
-    types = pa.schema([("key", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("url", pa.string()), ("text", pa.string())])
-
-    marked_types = pa.schema(
-        [*list(types)[:2], ("lines", pa.list_(pa.string())), ("zones", pa.list_(pa.int8())), ("host", pa.string()), ("path", pa.string()), ("shared", pa.list_(pa.int32()))]
-    )
-
-    def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    lined = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(
-        cut, f"key {kind}, url string, lines array<string>, zones array<tinyint>"
-    )
-    host = F.lower(F.regexp_extract("url", ADDRESS, 1))
-    lined = lined.select("*", host.alias("host"), F.regexp_extract("url", ADDRESS, 2).alias("path"))
-    near = lined.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    marked = near.mapInArrow(forward, f"key {kind}, url string, lines array<string>, zones array<tinyint>, host string, path string, shared array<int>")
-    # the same partitions read backwards, for the pages after
-    marked = marked.sortWithinPartitions(F.desc("host"), F.desc("path"), F.desc("key"))
-    out = marked.mapInArrow(backward, f"key {kind}, url string, text string")
+        cuts, context = shared.value
+        for batch in slices(batches, "html", 1 << 21):
+            ids = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+            got = [page_lines(h) for h in batch.column(7).to_pylist()]
+            take, block, other = [], [], []
+            for i, page in enumerate(ids):
+                take.append(i)
+                block.append(bisect_right(cuts, page) if page[0] else -1 - i % n)
+                other.append(False)
+                for b in context.get(page, ()):
+                    take.append(i)
+                    block.append(b)
+                    other.append(True)
+            picked = batch.select(range(7)).take(pa.array(take))
+            lines, zones = (pa.array([got[i][k] for i in take], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int8())))
+            arrays = [pa.array(block, pa.int32()), pa.array(other), *[picked.column(i) for i in range(7)], lines, zones]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            keys, urls, found = zip(*kept) if kept else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(urls, pa.string()), pa.array(found, pa.string())], names=["key", "url", "text"])
+
+        for members, text in runs(batches):
+            for page in members:
+                kept.append((*page, text))
+                size += len(text)
+                if size > 1 << 22:
+                    yield batch()
+                    kept, size = [], 0
+        yield batch()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, str]]:
+        """Pages of each run of a block with their text, once the runs behind it are known."""
+        held: list[dict] = []  # runs in order: up to NEAR done ones, then those to do
+        done, place = 0, None
+
+        def text(k: int) -> tuple[list, str]:
+            run = held[k]
+            before = [r["lines"] for r in held[max(0, k - NEAR) : k]][::-1]
+            gone = template(run["lines"], run["zones"], before, [r["lines"] for r in held[k + 1 : k + 1 + NEAR]])
+            return run["pages"], main_text(run["lines"], run["zones"], gone)
+
+        pieces = (batch.slice(at, 200) for batch in batches for at in range(0, batch.num_rows, 200))
+        for piece in pieces:
+            for row in piece.to_pylist():
+                if place != (row["block"], row["host"]) or not row["host"]:
+                    yield from (text(k) for k in range(done, len(held)) if held[k]["pages"])
+                    held, done, place = [], 0, (row["block"], row["host"])
+                same = (row["h1"], row["h2"])
+                if not held or held[-1]["same"] != same:
+                    held.append({"same": same, "lines": row["lines"], "zones": row["zones"], "pages": []})
+                if not row["context"]:
+                    held[-1]["pages"].append((row["key"], row["url"]))
+                while done + NEAR < len(held) - 1:
+                    if held[done]["pages"]:
+                        yield text(done)
+                    done += 1
+                    if done > NEAR:
+                        del held[0]
+                        done -= 1
+        yield from (text(k) for k in range(done, len(held)) if held[k]["pages"])
+
+    named = rows.select(host.alias("host"), path.alias("path"), name.alias("name"), *[h.alias(f"h{i + 1}") for i, h in enumerate(hashes)], "key", "url", "html")
+    lined = named.mapInArrow(cut, schema)
+    near = lined.repartition(n, "block").sortWithinPartitions("block", "host", "path", "name", "h1", "h2", "context")
+    out = near.mapInArrow(texts, f"key {kind}, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

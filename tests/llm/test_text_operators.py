@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -454,7 +455,70 @@ def test_witness_beyond_copies_and_near_copies(spark):
     assert got == {k: text(*b) for k, b in enumerate([(0, 0), (1, 1), (1, 1), (1, 1), (1, 2), (1, 3), (2, 4)])}
 
 
-def test_common_subsequence_against_table():
+def test_pages_are_extracted_alike_in_any_number_of_partitions(spark):
+    """Runs of copies and template lines across the borders of blocks; articles keep a sentence that two of them share."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    rows, want = [], {}
+    for host in range(4):
+        story, k = None, 0
+        while k < (40 if host else 3):
+            story = [line(9) for _ in range(6)]
+            for _ in range(rng.choice([1, 1, 1, 7, 15])):  # copies beside each other
+                body = "<p>Welcome here</p>" + "".join(f"<p>{x}</p>" for x in story) + f"<p>Call host {host}</p>"
+                rows.append((len(rows), f"http://h{host}.com/p/{k:03d}", PAGE.replace("{body}", body)))
+                want[len(rows) - 1] = "\n".join(story)
+                k += 1
+    for k in range(30):  # articles of one host: the invitation goes, a sentence of two of them stays
+        story = [line(9) for _ in range(5)] + (["Les."] if k in (4, 5) else [])
+        body = "<article>" + "".join(f"<p>{x}</p>" for x in story) + "<p>Subscribe now</p></article>"
+        rows.append((len(rows), f"http://art.com/{k:02d}", PAGE.replace("{body}", body)))
+        want[len(rows) - 1] = "\n".join(story)
+    rows += [(len(rows) + i, u, "<p>alone</p>") for i, u in enumerate([None, "", "mailto:x", None, "http://one.com"])]
+    want |= {r[0]: "alone" for r in rows[-5:]}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.page_id: r.text for r in html.extract(pages).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert html.extract(pages.limit(0)).collect() == []
+
+
+def test_page_query(spark):
+    got = html.op9_html_extraction(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    rows = got.collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:  # all of these pages have an article
+        assert r.text == html.main_text(*html.page_lines(pages[r.page_id].html), set()) and r.n_chars == len(r.text)
+
+
+def test_markup_is_read_once_forward():
+    start = time.time()
+    for bad in ("<a " * 300_000, '<a "' * 200_000, "<p x='" * 200_000, "<!--" * 200_000, "<![CDATA[" * 100_000, "<" * 500_000, "<script>" * 50_000, "<div>" * 50_000 + "</p>" * 100_000):
+        html.page_lines(f"<p>before</p>{bad}")
+    assert time.time() - start < 60  # each took minutes when every tag looked for its end on its own
+    assert html.page_lines("<p>a < b <i x='>'>c</i> <b y=\"never closed>d</b><!-- x --><p>e<!-->f<svg/>g<title>no</title>h</p><a ")[0] == ["a < b c d", "efgh", "<a"]
+
+
+def test_common_subsequence_of_many_lines():
+    rng = random.Random(2)
+    a = [str(rng.randrange(3000)) for _ in range(6000)]
+    b = [str(rng.randrange(3000)) for _ in range(6000)]
+    found = sorted(html.aligned(a, b))
+    it = iter(b)
+    assert all(a[i] in it for i in found)
+    assert len(found) == int(html.lengths(a, b)[-1]) > 100  # halves give as long a sequence as one pass
+
+
+def test_common_subsequence_against_table(monkeypatch):
+    monkeypatch.setattr(html, "SMALL", 8)
     rng = random.Random(5)
     for _ in range(300):
         a = [rng.choice("abcde") for _ in range(rng.randrange(12))]
