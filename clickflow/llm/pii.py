@@ -1,13 +1,15 @@
 """Personal data spans: fixed patterns, and weak supervision for what they miss.
 
 Base spans (email, ip, card, phone) follow fixed patterns and are always kept. Further candidates are
-tokens with digits that could be secrets, telephone numbers without a plus sign, and spelled-out email
-addresses. Labelers (patterns, gazetteers, context words) vote yes, no or nothing on each
-candidate. Expectation-maximisation over the counts of vote patterns, summed over all documents,
+tokens of 12 characters or more with a digit, which could be secrets, telephone numbers without a plus sign, and
+spelled-out email addresses (a local part of at most 64 and labels of at most 63 characters, as addresses have). Labelers
+(patterns, gazetteers, context words) vote yes, no or nothing on each candidate; the gazetteers are heads of
+issued keys, area codes and top-level domains. Expectation-maximisation over the counts of vote patterns, summed over all documents,
 estimates how reliable each labeler is; the patterns' posteriors train a logistic span classifier
-on a bounded, hash-drawn sample (``sample`` candidates), and spans it accepts are added.
+on a bounded, hash-drawn sample (``sample`` distinct feature rows, each weighing as often as it stands), and spans it
+accepts are added.
 
-Null and empty texts have no spans. Long texts are searched whole. With no candidates at all, only base
+Null and empty texts have no spans. Long texts are searched whole, in time that grows with their length. With no candidates at all, only base
 spans are returned. Repeated rows get the same spans. Other columns are not read.
 """
 
@@ -31,12 +33,14 @@ from clickflow.llm.toxicity import logistic
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Matches of [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) take whole runs of digits, so each run is tried once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 LOOSE_PHONE = re.compile(r"(?<![0-9.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])")
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]+)+", re.I)
+SPELLED_AT = re.compile(r" ?(?:\(at\)|\[at\]|\bat\b)", re.I)
+SPELLED_DOMAIN = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]{1,63})+", re.I)
 TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-=")
 # Words of the gazetteers.
 SECRET_WORDS = re.compile(r"passw|pwd|token|secret|api.?key|access.?key|credential|bearer|auth|kennwort|contrase|mot de passe", re.I)
@@ -44,9 +48,11 @@ PHONE_WORDS = re.compile(r"tel|phone|call|fax|mobile|cell|whatsapp|sms|anruf|lla
 MAIL_WORDS = re.compile(r"mail|contact|write|reach|kontakt|correo|courriel", re.I)
 PLAIN_WORDS = re.compile(r"version|license|section|chapter|page|figure|isbn|issue|volume", re.I)
 KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xox", "eyJ", "AIza")
+KEY_SHAPES = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[A-Z0-9]{20}|[A-Za-z0-9+/]{40}")
+AREA_CODES = frozenset("201 202 212 213 312 415 555 617 800 833 844 855 866 877 888 900 01 02 03 04 05 06 07 08 09 015 016 017 020 030 040 089".split())
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu ch at it nl us ca au jp cn br ru example".split())
-LABELERS = 9
-NAMES = ("pattern", "hex", "context", "entropy", "wordlike", "digits only", "plain words", "gazetteer", "form")
+NAMES = ("pattern", "hex", "context", "entropy", "wordlike", "digits only", "plain words", "gazetteer", "form", "assignment")
+LABELERS = len(NAMES)
 
 
 # --- base spans ---------------------------------------------------------------
@@ -98,20 +104,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- candidates, labelers, features ----------------------------------------------
 
 
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spelled-out addresses, found from each "at"."""
+    end = 0
+    for m in SPELLED_AT.finditer(text):
+        lo = max(end, m.start() - 65)
+        run = m.start() - lo - len(text[lo : m.start()].rstrip(LOCAL))
+        domain = SPELLED_DOMAIN.match(text, m.end()) if 0 < run <= 64 else None
+        if domain:
+            end = domain.end()
+            yield m.start() - run, end
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of further candidates, none of which meets a base span or another candidate."""
-    taken = [(a, b) for a, _, b in base]
+    taken = bytearray(len(text))
+    for a, _, b in base:
+        taken[a:b] = b"\1" * (b - a)
     out: list[tuple[int, int, int]] = []
 
     def add(a: int, kind: int, b: int) -> None:
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
             out.append((a, kind, b))
 
     low = text.lower()
     if "at" in low and "dot" in low:
-        for m in SPELLED.finditer(text):
-            add(m.start(), 0, m.end())
+        for a, b in spelled(text):
+            add(a, 0, b)
     first = DIGITS.search(text)
     if first:
         for m in LOOSE_PHONE.finditer(text, first.start() - 1 if first.start() else 0):
@@ -149,18 +169,19 @@ def votes_and_features(text: str, a: int, kind: int, b: int) -> tuple[list[int],
     turns = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:]))
     vote = [0] * LABELERS
     if kind == 4:
-        vote[0] = 2 if s.startswith(KEY_HEADS) else 0
+        vote[0] = 2 if KEY_SHAPES.fullmatch(s) else 0
         vote[1] = 2 if hexadecimal and len(s) >= 16 else 0
         vote[3] = 2 if bits > 3.0 and turns >= 3 else 1 if bits < 2.6 else 0
         vote[4] = 1 if turns <= 1 and digits < letters else 0
         vote[5] = 1 if not letters else 0
-        vote[7] = 2 if before.rstrip()[-1:] in ("=", ":", '"', "'") else 0
+        vote[7] = 2 if s.startswith(KEY_HEADS) else 0
+        vote[9] = 2 if before.rstrip()[-1:] in ("=", ":", '"', "'") else 0
         vote[8] = 2 if len(s) >= 16 and turns >= 4 and (s.isupper() or hexadecimal) else 1 if "/" in s or s.count("-") > 2 else 0
     elif kind == 3:
         groups = [len(g) for g in DIGITS.findall(s)]
-        vote[0] = 2 if groups in ([3, 3, 4], [2, 4, 4], [3, 4, 4], [3, 3, 3]) else 1
+        vote[0] = 2 if groups in ([3, 3, 4], [2, 4, 4], [3, 4, 4], [3, 3, 3]) or "(" in s else 1
         vote[5] = 1 if "." in s and "-" not in s and " " not in s and "(" not in s else 0
-        vote[7] = 2 if "(" in s else 0
+        vote[7] = 2 if DIGITS.search(s)[0] in AREA_CODES else 0
         vote[8] = 1 if re.match(r"(19|20)[0-9]{2}|[0-9]{2}[.-][0-9]{2}", s) else 2 if s[0] not in "01" else 0
     else:
         top = re.split(r"[^a-z]+", s.lower())[-1]
@@ -249,7 +270,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 20_000) -> SpanModel:
     x = np.array([r["f"] for r in rows])
     y = np.array([posterior[r["kind"], r["code"]] for r in rows])
     store.drop("candidates")
-    return SpanModel(logistic(x, y, ridge=0.1))
+    return SpanModel(logistic(x, y, ridge=0.1, n=np.array([float(r["n"]) for r in rows])))
 
 
 def find(docs: DataFrame, model: SpanModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -252,14 +252,16 @@ def fit(
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the constant. Classes weigh by their counts."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, n: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps; the last weight is the constant. Classes weigh by their counts; ``n``: how
+    many times a row counts."""
+    n = np.ones(len(x)) if n is None else n
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + penalty, x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x.T * (n * p * (1 - p) + 1e-9)) @ x + penalty, x.T @ (n * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

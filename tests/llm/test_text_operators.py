@@ -238,7 +238,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 def brute_base(t):
     out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
-    out += [(m.start(), 1, m.end()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
     for m in pii.CARD.finditer(t):
         d = [int(c) for c in m[0] if c.isdigit()]
         total = sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])
@@ -289,6 +289,56 @@ def test_pii_fit_reads_upper_case_addresses(spark, monkeypatch):
     assert [k for k, _ in seen[0]] == [0] and list(seen[0].values()) == [1]
 
 
+def test_pii_time_grows_with_the_text():
+    start = time.time()
+    runs = ["7" * 1_000_000, "1." * 500_000, "a1B2" * 250_000, "x" * 1_000_000 + " at dot", "at-" * 300_000 + " dot", "a@" * 300_000, "555-123-4567 " * 50_000, "jane at x dot org " * 30_000]
+    for text in runs:
+        found = pii.candidates(text, pii.base_spans(text))
+        for c in found[:100]:
+            pii.votes_and_features(text, *c)
+    assert time.time() - start < 60  # the first alone took hours when each digit was tried
+    assert len(pii.candidates(runs[6], [])) == 50_000 and len(pii.candidates(runs[7], [])) == 30_000
+
+
+def test_pii_precision_and_recall_of_added_spans(spark):
+    rng = random.Random(8)
+    words = "the of and river stone light paper window green often small table under about while road north".split()
+    prose = lambda: " ".join(rng.choices(words, k=rng.randint(4, 25)))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, of=letters: "".join(rng.choices(of, k=n - 1)) + str(rng.randrange(10))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    good = [
+        lambda: ("password: ", key(16)), lambda: ("api_key=", key(32, "0123456789abcdef")), lambda: ("token ", "ghp_" + key(30)),
+        lambda: ("secret = ", "AKIA" + key(16, letters[:26] + "0123456789")), lambda: ("call ", f"555-{digits(3)}-{digits(4)}"),
+        lambda: ("phone: ", f"(212) {digits(3)}-{digits(4)}"), lambda: ("write to ", f"{rng.choice(words)}.{rng.choice(words)} at {rng.choice(words)} dot com"),
+        lambda: ("contact ", f"{rng.choice(words)}(at){rng.choice(words)}(dot)org"),
+    ]
+    bad = [
+        lambda: ("version ", f"release-notes-{digits(2)}"), lambda: ("see ", f"chapter_of_the_book_{digits(1)}"), lambda: ("order ", digits(14)),
+        lambda: ("page ", f"{rng.choice(words)}-{rng.choice(words)}-{digits(4)}"), lambda: ("in ", f"2019.{digits(3)}.{digits(4)}"),
+        lambda: ("we met at noon, ", f"the polka dot dress of {digits(4)}"),
+    ]
+    rows, planted = [], set()
+    for i in range(1500):
+        text = prose()
+        for make, wanted in ((rng.choice(good), True), (rng.choice(bad), False)):
+            if rng.random() < 0.7:
+                before, span = make()
+                start = len(text) + 1 + len(before)
+                text = f"{text} {before}{span} {prose()}"
+                if wanted:
+                    planted.add((i, start, start + len(span)))
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    added = set()
+    for r in pii.find(docs, pii.fit(docs)).collect():
+        own = {(s.start, s.end) for s in r.base}
+        added |= {(r.doc_id, s.start, s.end) for s in r.spans if (s.start, s.end) not in own}
+    precision, recall = len(added & planted) / len(added), len(added & planted) / len(planted)
+    print(f"added spans: precision {precision:.3f}, recall {recall:.3f} of {len(planted)}")
+    assert precision > 0.9 and recall > 0.9
+
+
 def test_pii_empty_table(spark):
     docs = docs_of(spark, ["a"]).limit(0)
     assert pii.find(docs, pii.fit(docs)).count() == 0
