@@ -62,6 +62,9 @@ class LengthClass:
     owner: list[np.ndarray]  # item of each key
 
 
+MARKS = 1 << 16
+
+
 class Index:
     """Benchmark items by length class, with their sampled CGK keys."""
 
@@ -69,6 +72,8 @@ class Index:
         words, first, _ = text_words(pa.array(texts, pa.string()))
         self.ids = ids
         self.vocabulary = np.unique(words)
+        self.marks = np.zeros(MARKS, bool)
+        self.marks[self.vocabulary & np.uint64(MARKS - 1)] = True
         at = np.searchsorted(self.vocabulary, words)
         self.items = [at[a:b] for a, b in zip(first[:-1], first[1:])]
         self.pairs = np.unique(np.concatenate([x[:-1] * len(self.vocabulary) + x[1:] for x in self.items]))
@@ -140,8 +145,12 @@ def search(index: Index, col: pa.Array) -> list[tuple[int, int, int, int, int]]:
     words, first, row = text_words(col)
     if not len(words) or not len(index.vocabulary):
         return []
-    at = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
-    word = np.where(index.vocabulary[at] == words, at, OTHER)
+    # most words of the documents are not the benchmark's: a small table of marks tells before the search
+    word = np.full(len(words), OTHER)
+    maybe = np.flatnonzero(index.marks[words & np.uint64(MARKS - 1)])
+    at = np.minimum(np.searchsorted(index.vocabulary, words[maybe]), len(index.vocabulary) - 1)
+    hit = index.vocabulary[at] == words[maybe]
+    word[maybe[hit]] = at[hit]
     last = first[1:][row]  # end of the row of each word
     both = np.flatnonzero((word[:-1] >= 0) & (word[1:] >= 0) & (row[:-1] == row[1:]))
     code = word[both] * len(index.vocabulary) + word[both + 1]
@@ -149,6 +158,8 @@ def search(index: Index, col: pa.Array) -> list[tuple[int, int, int, int, int]]:
     known = np.zeros(len(word) + 1, np.int32)
     if len(index.pairs):
         known[both[index.pairs[at] == code] + 1] = 1
+    if not known.any() and all(group.least > 0 for group in index.classes):
+        return []
     known = np.cumsum(known)  # benchmark pairs that begin before each position
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     for group in index.classes:
