@@ -12,12 +12,14 @@ state that is written every few steps.
 Null and empty texts have no tokens; their rate is the starting rate. Null label values form no
 domain. With no labelled rows there is one domain, and all rates are equal. Domains without a
 target weight get 0; if no weight is given for any known domain, the present mix is the target.
-Repeated rows and ties get equal rates. Other columns of the documents are kept unless the
-output names them, in which case the output wins.
+Repeated rows and ties get equal rates. Of the documents only key and text are read. Targets that
+no rates meet get the nearest mix; what was missed at the last look, as a share of all target tokens, is returned.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -33,24 +35,33 @@ def words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def one_of(lexicon: list[str], word: Column) -> Column:
+    return word.isin(lexicon)
+
+
 def statistics(docs: DataFrame, lexicons: list[list[str]]) -> DataFrame:
     """Adds n_tokens and the classifier's inputs; docs has ``text`` and ``w`` (its words)."""
     chars = F.greatest(F.char_length("text"), F.lit(1))
     n = F.size("w")
-    out = docs.withColumns(
+    every = sorted({w for lexicon in lexicons for w in lexicon})
+    out = docs.withColumn("distinct", F.array_distinct("w"))
+    # the words of any lexicon first, which are few; sets of literals are hashed once, not once a row
+    out = out.withColumn("hits", F.filter("distinct", partial(one_of, every)) if every else F.array().cast("array<string>"))
+    share = lambda of: F.coalesce((F.char_length("text") - F.char_length(F.translate("text", of, ""))) / chars, F.lit(0.0))
+    out = out.withColumns(
         {
             "n_tokens": n.cast("long"),
             "size": F.log1p(n),
-            "symbols": F.coalesce(F.char_length(F.regexp_replace("text", r"[^#$%&*|!{}<>=]+", "")) / chars, F.lit(0.0)),
-            "capitals": F.coalesce(F.char_length(F.regexp_replace("text", r"[^A-Z]+", "")) / chars, F.lit(0.0)),
-            "variety": F.size(F.array_distinct("w")) / F.greatest(n, F.lit(1)),
+            "symbols": share("#$%&*|!{}<>="),
+            "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            "variety": F.size("distinct") / F.greatest(n, F.lit(1)),
             "length": F.coalesce(F.char_length("text") / F.greatest(n, F.lit(1)), F.lit(0.0)) / 10,
         }
     )
     for k, lexicon in enumerate(lexicons):
-        hits = F.size(F.array_intersect("w", F.lit(lexicon))) if lexicon else F.lit(0)
+        hits = F.size(F.filter("hits", partial(one_of, lexicon))) if lexicon else F.lit(0)
         out = out.withColumn(f"lexicon{k}", F.log1p(hits))
-    return out
+    return out.drop("distinct", "hits")
 
 
 def lexicon_of(sample: DataFrame, domain: str, most: int) -> list[str]:
@@ -99,7 +110,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, store: Store, key: str, tex
 
 
 def fit_rates(
-    members: DataFrame, target: np.ndarray, start: float, store: Store | None = None, steps: int = 60, tolerance: float = 1e-5, every: int = 6
+    members: DataFrame, target: np.ndarray, start: float, store: Store | None = None, steps: int = 60, tolerance: float = 1e-5, every: int = 6, report: dict | None = None
 ) -> list[list[float]]:
     """Steps of the accelerated projected gradient over (n_tokens, p): a multiplier for each domain, and the momentum.
 
@@ -116,16 +127,16 @@ def fit_rates(
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     now, rows, written = members, members.count() if store else 0, 0
     taken: list[list[float]] = []
-    t = 1.0
+    rates, t = target, 1.0
     for step in range(steps):
-        at = state_of(taken[written:], k, start, "state" if written else None)
+        at = stepped(now, taken[written:], k, start) if store else now.withColumn("s", state_of(taken, k, start)).withColumns({v: F.col(f"s.{v}") for v in "ry"})
         if store and step - written == every:
-            now = store.put(now.select("n_tokens", "p", at.alias("state")), f"state-{step}", rows)
+            now = at = store.put(at.select("n_tokens", "p", "r", "y"), f"state-{step}", rows)
             if written:
                 store.drop(f"state-{written}")
-            written, at = step, F.col("state")
-        sums = [F.sum(n * F.col("p")[i] * F.col("s")[v]).alias(f"{v}{i}") for v in ("r", "y") for i in range(k)]
-        row = now.withColumn("s", at).agg(*sums).first()
+            written = step
+        sums = [F.sum(n * F.col("p")[i] * F.col(v)).alias(f"{v}{i}") for v in ("r", "y") for i in range(k)]
+        row = at.agg(*sums).first()
         rates, ahead = (np.array([row[f"{v}{i}"] or 0.0 for i in range(k)]) for v in ("r", "y"))
         if np.abs(rates - target).max() <= tolerance * max(target.sum(), 1.0):
             break
@@ -133,16 +144,31 @@ def fit_rates(
         taken.append([*(float(v) for v in inverse @ (ahead - target)), float((before - 1) / t)])
     if written:
         store.drop(f"state-{written}")
+    if report is not None:
+        report["missed"] = ((rates - target) / max(target.sum(), 1.0)).tolist()
     return taken
 
 
-def state_of(taken: list[list[float]], k: int, start: float, state: str | None = None) -> Column:
-    """Rate r and look-ahead rate y of a row after the steps, from the start or from a written state.
+def stepped(rows: DataFrame, taken: list[list[float]], k: int, start: float) -> DataFrame:
+    """What ``state_of`` computes for a few steps, as columns r and y, from those that the rows have or from the start: plain
+    arithmetic, one projection a step."""
+    if "r" not in rows.columns:
+        rows = rows.withColumns({"r": F.lit(float(start)), "y": F.lit(float(start))})
+    n = F.col("n_tokens").cast("double")
+    for m in taken:
+        slope = sum((F.col("p")[i] * m[i] for i in range(k)), F.lit(0.0))
+        rows = rows.withColumn("next", F.greatest(F.lit(0.0), F.col("y") - n * slope))
+        rows = rows.withColumns({"y": F.col("next") + m[k] * (F.col("next") - F.col("r")), "r": F.col("next")}).drop("next")
+    return rows
+
+
+def state_of(taken: list[list[float]], k: int, start: float) -> Column:
+    """Rate r and look-ahead rate y of a row after the steps.
 
     Each step subtracts the gradient at y, projects to r >= 0 and looks ahead along the change
     (Nesterov's momentum, the last number of a step).
     """
-    first = F.col(state) if state else F.struct(F.lit(float(start)).alias("r"), F.lit(float(start)).alias("y"))
+    first = F.struct(F.lit(float(start)).alias("r"), F.lit(float(start)).alias("y"))
     if not taken:
         return first
     n = F.col("n_tokens").cast("double")
@@ -167,7 +193,7 @@ def mix_to_targets(
     sample: int = 8_000,
     lexicon: int = 300,
 ) -> DataFrame:
-    """key, n_tokens, domains, posterior (array), rate. labelled: (id, domain). budget: target tokens as a share of all."""
+    """key, n_tokens, domains, posterior (array), rate, missed (array: expected less target tokens by domain). labelled: (id, domain). budget: target tokens as a share of all."""
     store = Store(docs.sparkSession, "mixing")
     members, domains = posteriors(docs, labelled, store, key, text, sample, lexicon)
     members = store.put(members, "members")
@@ -178,8 +204,9 @@ def mix_to_targets(
     if not goal.sum():
         goal = np.array([now[f"t{i}"] or 0.0 for i in range(k)])
     target = goal / max(goal.sum(), 1e-300) * budget * float(now["n"] or 0)
-    rate = state_of(fit_rates(members, target, budget, store), k, budget)["r"]
-    out = members.select(F.col("id").alias(key), "n_tokens", F.lit(domains).alias("domains"), F.col("p").alias("posterior"), rate.alias("rate"))
+    report: dict[str, list[float]] = {}
+    rate = state_of(fit_rates(members, target, budget, store, report=report), k, budget)["r"]
+    out = members.select(F.col("id").alias(key), "n_tokens", F.lit(domains).alias("domains"), F.col("p").alias("posterior"), rate.alias("rate"), F.lit(report["missed"]).alias("missed"))
     return out
 
 
