@@ -35,6 +35,7 @@ from clickflow.llm.common import Store, components, lists, mix, shingle_sets, si
 
 CLASS_RATIO = 1.4
 PIVOTS = 32
+MARKS = 1 << 24  # bits that tell which texts a cell may need
 
 
 # --- blocking ---------------------------------------------------------------
@@ -200,6 +201,16 @@ def trie_links(sets: list[np.ndarray], num: int, den: int, group: list | None =
     return out
 
 
+def only_near(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id has a mark that an id of ``placed`` has: all that are placed, and few others while the
+    marks are not full. The marks are a broadcast of at most ``MARKS`` / 64 rows, whatever the table's size."""
+    mark = f"pmod(xxhash64(17, id), {MARKS}L)"
+    word, bit = F.expr(f"shiftright({mark}, 6) as word"), F.expr(f"shiftleft(1L, cast({mark} % 64 as int)) as bit")
+    marks = placed.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    near = docs.select("*", word, bit).join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return near.select(*docs.columns)
+
+
 def cell_links(docs: DataFrame, placed: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) found within each (cell, block) group. placed: id, cell, block, known (component or id)."""
 
@@ -213,7 +224,7 @@ def cell_links(docs: DataFrame, placed: DataFrame, width: int, num: int, den: in
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in links], pa.int64())})
 
     # the placed rows grow with the table: one plan at every size, no broadcast
-    return docs.join(placed.hint("merge"), "id").select("cell", "block", "id", "known", "text").groupBy("cell", "block").applyInArrow(join, "a long, b long")
+    return only_near(docs, placed).join(placed.hint("merge"), "id").select("cell", "block", "id", "known", "text").groupBy("cell", "block").applyInArrow(join, "a long, b long")
 
 
 # --- operator ---------------------------------------------------------------
@@ -236,6 +247,9 @@ def near_duplicates(
     met = store.put(met, "met", (n["keys"] or 0) // 2)
     pairs = keyed.join(met, "k").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
     cells = store.put(components(store, pairs, "cells").withColumnRenamed("component", "cell"), "cell", docs_n)
+    # the keys, most of what is written, are not needed any more
+    known_sets = store.put(signed_rows.select("id", "n", "sig"), "sets", docs_n)
+    store.drop("signatures", "met")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block))
     sizes = store.put(sizes, "sizes", docs_n)
     sized = store.put(cells.join(sizes, "cell"), "sized", docs_n)
@@ -265,7 +279,7 @@ def near_duplicates(
     classes = store.put(classes, "class-of", docs_n)
 
     # membership by signature: both sides are written tables, so AQE splits the rows of a large group of copies
-    member = signed_rows.select("id", "n", "sig").join(classes, "sig", "left")
+    member = known_sets.join(classes, "sig", "left")
     return member.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id")
     )

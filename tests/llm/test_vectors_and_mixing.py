@@ -165,6 +165,6 @@ def test_pipeline_stages(spark):
 
 def test_registry():
     names = list(llm_queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(llm_oracle()) <= set(names)
     assert os.path.exists(os.path.join(os.path.dirname(__file__), "..", "..", "corpus_pipeline.py"))
