@@ -350,7 +350,7 @@ def marked(rows: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, min_tokens: int = 5, block: int = 512
+    docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, min_tokens: int = 1, block: int = 512
 ) -> DataFrame:
     """(id, line) of each line that goes; line numbers from 0."""
     spark = docs.sparkSession

@@ -617,3 +617,48 @@ def test_word_hashes_agree_with_words():
     assert len(set(hashes.tolist())) == len(set(spoken))
     by = dict(zip(hashes.tolist(), spoken))
     assert [by[h] for h in hashes.tolist()] == spoken and Counter(row.tolist())[0] == 3
+
+
+# --- learned operators: what they may learn from -----------------------------------------------
+
+
+def changed_copy(spark, folder, **tables):
+    """The smallest test folder with some tables replaced."""
+    base = "/root/testdata/sf0.001"
+    for name in ("documents", "labels"):
+        df = spark.read.parquet(f"{base}/{name}.parquet")
+        tables.get(name, lambda x: x)(df).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def test_toxicity_query_learns_nothing_from_held_out_rows(spark, tmp_path):
+    plain = toxicity.op8_toxicity(spark, "/root/testdata/sf0.001")
+    assert plain.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    rows = plain.collect()
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert len(rows) == n and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(HELD_OUT).collect()}
+    assert {r.doc_id for r in rows if r.held_out} == held
+    flipped = changed_copy(spark, str(tmp_path), labels=lambda x: x.withColumn("toxic", F.when(HELD_OUT, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    again = toxicity.op8_toxicity(spark, flipped).collect()
+    assert {(r.doc_id, r.score) for r in again} == {(r.doc_id, r.score) for r in rows}
+
+
+def test_toxicity_query_with_empty_tables(spark, tmp_path):
+    folder = changed_copy(spark, str(tmp_path), documents=lambda x: x.limit(0), labels=lambda x: x.limit(0))
+    assert toxicity.op8_toxicity(spark, folder).collect() == []
+
+
+def test_language_query_learns_nothing_from_held_out_rows(spark, tmp_path):
+    plain = language.op3_language_id(spark, "/root/testdata/sf0.001")
+    assert plain.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    rows = plain.collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = {r.lang for r in docs.where(~HELD_OUT).select("lang").distinct().collect()} - {None}
+    assert len(rows) == docs.count() and {r.lang_pred for r in rows} <= learned | {"und"} and all(0 <= r.score <= 1 for r in rows)
+    other = changed_copy(spark, str(tmp_path), documents=lambda x: x.withColumn("lang", F.when(HELD_OUT, "xx").otherwise(F.col("lang"))))
+    again = language.op3_language_id(spark, other).collect()
+    assert {(r.doc_id, r.lang_pred, r.score) for r in again} == {(r.doc_id, r.lang_pred, r.score) for r in rows}
