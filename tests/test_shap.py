@@ -1,5 +1,6 @@
 """TreeSHAP: local accuracy and agreement with brute-force Shapley values."""
 
+import time
 from itertools import combinations
 from math import factorial
 
@@ -72,3 +73,44 @@ def test_attributions_of_every_row_add_up(spark, fitted, monkeypatch):
     for r in rows:
         assert r.base + r.attributed == pytest.approx(r.prediction, rel=1e-9, abs=1e-9)
     assert len({r.base for r in rows}) == 1
+
+
+def full_tree(rng, depth, m):
+    """A whole binary tree of random splits; features come again on a path."""
+    n, inner = (1 << depth + 1) - 1, (1 << depth) - 1
+    tree = {"value": rng.normal(size=n), "threshold": rng.normal(size=n) / 2, "cover": np.ones(n)}
+    tree.update({"left": np.full(n, -1), "right": np.full(n, -1), "feature": rng.integers(0, m, n)})
+    at = np.arange(inner)
+    tree["left"][at], tree["right"][at] = 2 * at + 1, 2 * at + 2
+    tree["cover"][inner:] = rng.integers(1, 20, n - inner)
+    for j in at[::-1]:
+        tree["cover"][j] = tree["cover"][2 * j + 1] + tree["cover"][2 * j + 2]
+    return tree
+
+
+def predicted(tree, x):
+    at = np.zeros(len(x), np.int64)
+    while (tree["left"][at] >= 0).any():
+        goes = x[np.arange(len(x)), tree["feature"][at]] <= tree["threshold"][at]
+        at = np.where(tree["left"][at] < 0, at, np.where(goes, tree["left"][at], tree["right"][at]))
+    return tree["value"][at]
+
+
+def test_many_rows_of_deep_trees_take_seconds():
+    rng = np.random.default_rng(3)
+    trees, x = [full_tree(rng, 9, 20) for _ in range(4)], rng.normal(size=(20_000, 20))
+    start = time.process_time()
+    phi, base = SH.forest_shap(x, trees)
+    assert time.process_time() - start < 15
+    assert phi.sum(axis=1) + base == pytest.approx(sum(predicted(t, x) for t in trees) / 4, rel=1e-9, abs=1e-9)
+    few, _ = SH.forest_shap(x[:5], trees)  # hardly any tables
+    assert few == pytest.approx(phi[:5], rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 3, 200])
+def test_tables_agree_with_brute_force(n):
+    rng = np.random.default_rng(n)
+    trees, x = [full_tree(rng, 4, 6) for _ in range(3)], rng.normal(size=(n, 6))
+    phi, _ = SH.forest_shap(x, trees)
+    for r in range(0, n, 50):
+        assert phi[r] == pytest.approx(brute_shap(trees, x[r], 6), rel=1e-9, abs=1e-9)
