@@ -28,6 +28,7 @@ HOUR = 3_600_000_000  # microseconds
 BLOCK_ROWS = 250_000
 #: Only hours with more than this part of all events are cut: the list of them has fewer rows than this.
 HEAVY_HOURS = 200_000
+HOUR_MARKS = 1 << 16
 PARTS = 1 << 20  # of one hour at most
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -53,9 +54,15 @@ def event_calendar(events: DataFrame) -> DataFrame:
 def heavy_hours(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """session, ``_hour``, ``_parts``: the hours in which a session has more than ``block_rows`` events and more than one in
     ``HEAVY_HOURS`` of all events, and into how many parts they are cut. Fewer than ``HEAVY_HOURS`` rows."""
-    counts = rows.groupBy(SESSION, "_hour").agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_total"))
-    heavy = counts.crossJoin(F.broadcast(total)).where(F.col("_c") > F.greatest(F.lit(block_rows), F.col("_total") / HEAVY_HOURS))
+    many = F.greatest(F.lit(block_rows), F.col("_total") / HEAVY_HOURS)
+    # Nearly every event has an hour of its own, so the hours are first counted by a small hash, which shuffles
+    # ``HOUR_MARKS`` rows a task; only hours whose hash has enough events are counted themselves.
+    marked = rows.select(SESSION, "_hour", F.pmod(F.xxhash64(SESSION, "_hour"), F.lit(HOUR_MARKS)).alias("_mark"))
+    marks = marked.groupBy("_mark").agg(F.count(F.lit(1)).alias("_c"))
+    total = marks.agg(F.sum("_c").alias("_total"))
+    near = marks.crossJoin(F.broadcast(total)).where(F.col("_c") > many).select("_mark", "_total")
+    counts = marked.join(F.broadcast(near), "_mark").groupBy(SESSION, "_hour", "_total").agg(F.count(F.lit(1)).alias("_c"))
+    heavy = counts.where(F.col("_c") > many)
     parts = F.least(F.ceil(F.col("_c") / block_rows), F.lit(PARTS)).cast("long")
     return heavy.select(SESSION, "_hour", parts.alias("_parts"))
 

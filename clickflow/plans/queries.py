@@ -135,11 +135,19 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str, columns: list[str] | None = None):
         self.spark = spark
         self.ws = session_workspace(spark)
-        self.events = _events(spark, sf_dir)
-        self.triage = TR.triage_sessions(self.events)
+        self.derived = _events(spark, sf_dir)
         self.cols = columns or feature_names()
         self.columns = columns
 
+    @cached_property
+    def events(self) -> DataFrame:
+        """All features read the events several times: derived (fields of the text, labels joined) and written once for them."""
+        return self.derived if self.columns else self.ws.put(self.derived, "events")
+
+    @property
+    def triage(self) -> DataFrame:
+        return TR.triage_sessions(self.__dict__.get("events", self.derived))  # one pass needs no written table
+
     @cached_property
     def labelled(self) -> DataFrame:
         # Read by several later steps (labels, ranking, scaling, fits): written once, so

@@ -124,3 +124,19 @@ def test_exact_quantiles_match_numpy(spark):
 def test_weighted_median(spark):
     df = spark.createDataFrame([(1.0, 3), (100.0, 1), (2.0, 2)], "v double, w long")
     assert exact_quantiles(df, "v", [0.5], weight="w", names=["m"]).collect()[0].m == pytest.approx(1.5)
+
+
+def test_heavy_hours_shuffle_no_row_for_each_hour(spark, make_events):
+    """Hours are counted by a small hash first; the exact count comes behind it."""
+    from clickflow.operators import sequence as Q
+
+    times = [("busy", f"2024-01-01 10:{i // 60:02d}:{i % 60:02d}") for i in range(300)]
+    times += [(f"s{i % 40}", f"2024-01-{1 + i % 28:02d} {i % 24:02d}:00:00") for i in range(400)] + [("busy", "2024-01-02 10:00:00")]
+    ev = make_events([(i, t, "VIEW", 1, 1, 1, s) for i, (s, t) in enumerate(times)])
+    rows = ev.select("user_session", Q.micros().alias("_t")).withColumn("_hour", F.expr(f"(_t - pmod(_t, {Q.HOUR}L)) div {Q.HOUR}L"))
+    heavy = Q.heavy_hours(rows, block_rows=100)
+    assert [(r.user_session, r._parts) for r in heavy.collect()] == [("busy", 3)]
+    found = heavy._jdf.queryExecution().optimizedPlan().toString()
+    assert "_mark" in found
+    many = spark.range(300_000).select(F.col("id").cast("string").alias("user_session"), F.col("id").alias("_hour"))
+    assert Q.heavy_hours(many, block_rows=100).count() == 0
