@@ -2,11 +2,12 @@
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes). Texts with equal sets
    share a signature; the copy with the smallest key stands for all of them.
-2. Blocking, exact by the pigeonhole principle: two sets of Jaccard >= t differ in at most k
-   tokens, k from their size class. The hash range is cut into k + 1 + r parts, so at least
-   r + 1 parts agree. Each part's content is one key. A set with at most r empty parts needs
-   no key for these; a set with more of them writes keys for empty parts as well. Sets that
-   share a key are candidates; candidates that hang together form a cell.
+2. Blocking, exact by the prefix principle: under one global order of tokens, two sets of Jaccard
+   >= t share a token among the first n - ceil(t n) + 1 of each. The order begins with the tokens in
+   the first part of the hash range (2.5 (1 - t) of it), the rarest first, as counted over all distinct
+   sets; the others follow by hash. So only that part is shuffled to be counted, and a token that a
+   single set holds, which most are, leaves no key. Keys are tokens of the prefix together with a
+   size class. Sets that share a key are candidates; candidates that hang together form a cell.
 3. Within a cell, sets are sequences in one global order (common tokens first, then by hash) and
    are stored in a trie with joined edges. Each set runs through the trie: the overlap with a
    shared beginning is counted once for all sets below, and a subtree is left when the overlap so
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickflow.llm.common import Store, components, lists, mix, shingle_sets, signed, slices, table
+from clickflow.llm.common import MASK, Store, components, mix, shingle_sets, signed, slices, table
 
 CLASS_RATIO = 1.4
 PIVOTS = 32
 MARKS = 1 << 24  # bits that tell which texts a cell may need
+HELD = 200_000  # rows of one token from which it counts as common, without an exact count
+SEEN = 2_000_000  # signatures that a task remembers to write equal sets once
 
 
 # --- blocking ---------------------------------------------------------------
@@ -71,38 +74,134 @@ class Classes:
         return k + 1 + r, r
 
 
-def block_keys(tokens: np.ndarray, classes: Classes) -> np.ndarray:
-    """Keys of one sorted token set."""
-    out = []
-    if len(tokens):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens + np.uint64(0x51ED270B)))])
-    for c in classes.labels(len(tokens)) if len(tokens) else ():
-        m, r = classes.parts(c)
-        if not m:
-            continue
-        part = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        edge = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
-        full = np.diff(edge) > 0
-        use = np.arange(m)[full] if m - full.sum() <= r else np.arange(m)
-        out.append(mix((sums[edge[use + 1]] - sums[edge[use]]) ^ mix(np.uint64(c << 40) + use.astype(np.uint64))))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def counted_below(num: int, den: int) -> np.uint64:
+    """Hashes below this one come first in the order of tokens, by rarity; the others follow by hash."""
+    return np.uint64(min(MASK, (MASK // (2 * den)) * 5 * (den - num)))
+
+
+def prefix_size(n, num: int, den: int):
+    return n - -(-n * num // den) + 1
+
+
+def set_signature(s: np.ndarray) -> int:
+    return int(signed(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)))[0])
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """id, n (set size), sig (of the whole set), keys (of its parts)."""
-    classes = Classes(num, den)
+    """id, n (set size), counted (its tokens that are ordered by rarity), sig (of the whole set)."""
+    below = counted_below(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = list(shingle_sets(batch.column("text"), width))
-            sig = np.array([signed(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)))[0] for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig), lists([signed(block_keys(s, classes)) for s in sets], pa.int64())],
-                names=["id", "n", "sig", "keys"],
-            )
+            cols = [[len(s) for s in sets], [int(np.searchsorted(s, below)) for s in sets], [set_signature(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n", "counted", "sig"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, sig long, keys array<long>")
+    return rows.mapInArrow(run, "id long, n long, counted long, sig long")
+
+
+def tokens_to_count(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(k, sig): the counted tokens of each set, and as many of the others as its prefix may need.
+
+    Equal sets of one task are written once; sets that only equal ones can match are left out.
+    """
+    below = counted_below(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text"):
+            tokens, sigs = [], []
+            for s in shingle_sets(batch.column("text"), width):
+                if len(s) * den < num * (len(s) + 1):
+                    continue
+                sig = set_signature(s)
+                if sig in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(sig)
+                counted = int(np.searchsorted(s, below))
+                tokens.append(s[: max(counted, prefix_size(len(s), num, den))])  # s is sorted
+                sigs.append(sig)
+            if tokens:
+                k = signed(np.concatenate(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(np.array(sigs, np.int64), [len(t) for t in tokens]))], names=["k", "sig"])
+
+    return docs.select("text").mapInArrow(run, "k long, sig long")
+
+
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """(sig, k, df) of the tokens that two sets or more hold; df: how many, ``HELD`` for common ones. Rows are streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows, common, last = 0, None, None  # common: a token whose rows fill the buffer, and its last set
+
+        def out(k, sig, df):
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(k), pa.array(df, pa.int64())], names=["sig", "k", "df"])
+
+        def flush(block: np.ndarray) -> Iterator[pa.RecordBatch]:
+            k, sig = block
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (sig[1:] != sig[:-1])
+            if common is not None and len(k) and k[0] == common:
+                new[0] = sig[0] != last
+                same = k == common
+                yield out(k[new & same], sig[new & same], np.full(int((new & same).sum()), HELD))
+                new &= ~same
+            k, sig = k[new], sig[new]
+            if len(k):
+                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                size = np.diff(np.append(first, len(k)))
+                df = np.repeat(size, size)
+                yield out(k[df > 1], sig[df > 1], np.minimum(df[df > 1], HELD))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            rows += batch.num_rows
+            if rows < HELD:
+                continue
+            block = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(block[0], block[0, -1]))
+            if cut == 0:
+                if common != block[0, -1]:
+                    common, last = block[0, -1], None
+                cut = block.shape[1]
+            yield from flush(block[:, :cut])
+            last = block[1, cut - 1]
+            held, rows = [block[:, cut:]], block.shape[1] - cut
+        if rows:
+            yield from flush(np.concatenate(held, axis=1))
+
+    return tokens.repartition("k").sortWithinPartitions("k", "sig").mapInArrow(run, "sig long, k long, df long")
+
+
+def prefix_keys(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, k): keys of each set's prefix. shared: id, n, counted, tokens (array of (rest, df, k), in order)."""
+    classes = Classes(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            flat = batch.column("tokens")
+            edge = flat.offsets.to_numpy()
+            rest, k = (flat.values.field(c).to_numpy(zero_copy_only=False) for c in ("rest", "k"))
+            for i, (key, n, counted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "n", "counted")))):
+                at, to = int(edge[i]), int(edge[i + 1])
+                middle = at + int(np.searchsorted(rest[at:to], True))
+                # tokens of this set alone come first
+                use = max(0, prefix_size(n, num, den) - (counted - (middle - at)))
+                tokens = np.concatenate([k[at : min(at + use, middle)], k[middle:to]]).view(np.uint64)
+                for c in classes.labels(n) if len(tokens) else ():
+                    keys.append(signed(mix(tokens ^ mix(np.array([c + 1], np.uint64)))))
+                    ids.append(np.full(len(tokens), key))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(keys))], names=["id", "k"])
+
+    return shared.select("id", "n", "counted", "tokens").mapInArrow(run, "id long, k long")
 
 
 # --- trie join --------------------------------------------------------------
@@ -237,19 +336,24 @@ def near_duplicates(
     store = Store(docs.sparkSession, "ngram-join")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed_rows = store.put(signatures(rows, "id", "text", width, num, den), "signatures")
-    n = signed_rows.agg(F.count("*").alias("docs"), F.sum(F.size("keys")).alias("keys")).first()
-    docs_n = n["docs"]
-    reps = store.put(signed_rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep")), "reps", docs_n)
-
-    # candidates: one row for each (part key, set); a key is kept when two sets have it
-    keyed = signed_rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("k"))
+    docs_n = signed_rows.count()
+    reps = signed_rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("counted").alias("counted"))
+    reps = store.put(reps, "reps", docs_n)
+
+    # candidates: one row for each (key, set); a key is kept when two sets have it
+    shared = shared_tokens(tokens_to_count(rows, width, num, den))
+    below = int(counted_below(num, den)) - (1 << 63)
+    rest = F.col("k").bitwiseXOR(F.lit(-(1 << 63))) >= F.lit(below)  # as unsigned numbers
+    order = F.sort_array(F.collect_list(F.struct(rest.alias("rest"), "df", "k"))).alias("tokens")
+    held = store.put(shared.groupBy("sig").agg(order), "held")
+    keyed = held.join(reps, "sig").select(F.col("rep").alias("id"), "n", "counted", "tokens")
+    keyed = store.put(prefix_keys(keyed, num, den), "keys")
+    store.drop("held")
     met = keyed.groupBy("k").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m <> x").select("k", "m")
-    met = store.put(met, "met", (n["keys"] or 0) // 2)
+    met = store.put(met, "met")
     pairs = keyed.join(met, "k").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
     cells = store.put(components(store, pairs, "cells").withColumnRenamed("component", "cell"), "cell", docs_n)
-    # the keys, most of what is written, are not needed any more
-    known_sets = store.put(signed_rows.select("id", "n", "sig"), "sets", docs_n)
-    store.drop("signatures", "met")
+    store.drop("keys", "met")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block))
     sizes = store.put(sizes, "sizes", docs_n)
     sized = store.put(cells.join(sizes, "cell"), "sized", docs_n)
@@ -274,12 +378,12 @@ def near_duplicates(
         if across.limit(1).count():
             links = links.unionByName(cell_links(rows, across, width, num, den))
     found = components(store, links, "components")
-    classes = store.put(found.join(reps.withColumnRenamed("rep", "id"), "id").select("sig", "component"), "classes", docs_n)
+    classes = store.put(found.join(reps.select("sig", F.col("rep").alias("id")), "id").select("sig", "component"), "classes", docs_n)
     classes = reps.join(classes, "sig", "left").select("sig", F.coalesce("component", "rep").alias("c"))
     classes = store.put(classes, "class-of", docs_n)
 
     # membership by signature: both sides are written tables, so AQE splits the rows of a large group of copies
-    member = known_sets.join(classes, "sig", "left")
+    member = signed_rows.join(classes, "sig", "left")
     return member.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id")
     )

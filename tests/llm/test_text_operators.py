@@ -74,6 +74,39 @@ def test_ngram_join(spark, width, num, block):
     assert sorted(tuple(r) for r in got.collect()) == brute_classes(texts, width, num, 100)
 
 
+def test_ngram_join_candidates_do_not_chain_by_single_passages(spark, monkeypatch):
+    """Texts that share one passage of five words with the next one are no candidates, so none is compared."""
+    rng = random.Random(3)
+    own = [[f"v{rng.randrange(10**9)}" for _ in range(20)] for _ in range(120)]
+    texts = [" ".join(a + b[:5]) for a, b in zip(own, own[1:] + own[:1])]
+    texts.append(texts[0] + " tail")
+    placed = []
+    links = ngram_join.cell_links
+
+    def count(docs, there, *args):
+        placed.append(there.count())
+        return links(docs, there, *args)
+
+    monkeypatch.setattr(ngram_join, "cell_links", count)
+    got = ngram_join.near_duplicates(docs_of(spark, texts), width=5, num=80, den=100, block=4)
+    assert sorted(tuple(r) for r in got.collect()) == brute_classes(texts, 5, 80, 100)
+    assert sum(placed) <= 4
+
+
+def test_ngram_join_common_tokens(spark, monkeypatch):
+    """Tokens of more rows than a task holds are streamed; each set has each of them once."""
+    rows = [(k, s) for k in (-5, 3, 9) for s in range(40) for _ in range(1 + s % 3)] + [(4, 1), (4, 1), (5, 1), (5, 2)]
+    tokens = spark.createDataFrame(rows, "k long, sig long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(ngram_join, "HELD", 20)
+    try:
+        got = sorted((r.k, r.sig, r.df) for r in ngram_join.shared_tokens(tokens).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == sorted([(k, s, 20) for k in (-5, 3, 9) for s in range(40)] + [(5, 1, 2), (5, 2, 2)])
+
+
 def test_ngram_join_empty_table(spark):
     assert ngram_join.near_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
 
