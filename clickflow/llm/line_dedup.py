@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickflow.llm.common import LOWER, SPACE, Store, components, lists, mix, signed, slices, spans_of, table, text_bytes, word_hashes
+from clickflow.llm.ngram_join import only_near
 from clickflow.llm.suffix_dedup import groups_of
 
 CELLS = 1 << 19  # of each of the two sketch rows
@@ -345,7 +346,8 @@ def marked(rows: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sig[hit])], names=["sig"])
 
     # the wanted lines grow with the table: one plan at every size, no broadcast
-    fetched = rows.join(wanted.hint("merge"), "id").mapInArrow(fetch, "cell long, block long, id long, line long, sig long, probe boolean, tokens array<long>")
+    # and only texts with wanted lines are shuffled (the second call, for large cells, needs few)
+    fetched = only_near(rows, placed).join(wanted.hint("merge"), "id").mapInArrow(fetch, "cell long, block long, id long, line long, sig long, probe boolean, tokens array<long>")
     return fetched.repartition("cell", "block").sortWithinPartitions("cell", "block", "id", "line").mapInArrow(join, "sig long")
 
 
@@ -378,7 +380,8 @@ def repeated_lines(
         there = large.join(left.select("cell").distinct(), "cell")
         again = left.select(*columns, F.explode(every).alias("block"), F.lit(True).alias("probe"))
         others = there.join(left.select("sig"), "sig", "left_anti").select(*columns, own.alias("block"), F.lit(False).alias("probe"))
-        found = store.put(found.unionByName(marked(rows, again.unionByName(others), num, den)).distinct(), "found2", n)
+        again = store.put(again.unionByName(others), "again")  # read for the marks of texts and for the join
+        found = store.put(found.unionByName(marked(rows, again, num, den)).distinct(), "found2", n)
     judged = store.put(firsts.join(found.withColumn("late", F.lit(True)), "sig", "left").select("sig", F.col("id").alias("fi"), F.col("line").alias("fl"), "late"), "judged", n)
     return lines.join(judged, "sig").where("late or id <> fi or line <> fl").select("id", "line").distinct()
 

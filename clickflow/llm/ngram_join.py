@@ -45,7 +45,7 @@ SEEN = 2_000_000  # signatures that a task remembers to write equal sets once
 
 
 class Classes:
-    """Size classes and part counts for Jaccard >= num / den."""
+    """Size classes for Jaccard >= num / den, and the parts of the hash range by the pigeonhole principle (not used by the join)."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den

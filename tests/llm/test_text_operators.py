@@ -139,6 +139,25 @@ def brute_lines(texts, num, den, least):
     return gone
 
 
+def test_line_dedup_fetches_only_texts_with_wanted_lines(spark, monkeypatch):
+    """Texts without candidate lines are left out before the texts are joined with the wanted lines."""
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(12)) for _ in range(60)]
+    texts += [f"{texts[0]} more", f"{texts[1]} more"]
+    fetched = []
+    near = line_dedup.only_near
+
+    def count(docs, placed):
+        kept = near(docs, placed)
+        fetched.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "only_near", count)
+    found = line_dedup.repeated_lines(docs_of(spark, texts), block=4)
+    assert {tuple(r) for r in found.collect()} == brute_lines(texts, 80, 100, 5) == {(60, 0), (61, 0)}
+    assert fetched == [4]
+
+
 @pytest.mark.parametrize("block", [512, 4])
 def test_line_dedup(spark, block):
     rng = random.Random(4)
