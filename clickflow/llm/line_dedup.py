@@ -11,9 +11,9 @@ judge all lines that have a word). Sets too small to match any but an equal one
    count-min sketch) gives every word its rarity, the global order of tokens.
 2. Equal sets are represented by their first line. A second pass writes, for each distinct set, its
    prefix: the n - ceil(t n) + 1 rarest tokens. Two sets of Jaccard >= t share a prefix token. Sets
-   that share one, pass the length filter and can differ by few enough tokens (128 parity bits of the
-   set bound the difference from below) are candidates; candidates that hang together form
-   a cell. Words whose prefix lists exceed the buffer link all their sets to one cell unseen.
+   that share one, pass the length filter and can differ by few enough tokens (parity bits of the
+   set, 64 for a short line and up to 1,024 for a long one, bound the difference from below) are
+   candidates; candidates that hang together form a cell. Words whose prefix lists exceed the buffer link all their sets to one cell unseen.
 3. Tokens of the candidate lines are fetched once for each cell and joined there: prefix index in
    order of rarity, length and positional filter, exact Jaccard. Cells over ``block`` lines are
    split by hash, with about 32 pivot lines in every block; lines that found no earlier match are
@@ -43,6 +43,8 @@ SKETCH_PARTS = 32
 BUFFER = 200_000
 PIVOTS = 32
 PAIRS = 4_000_000
+#: Sets of more tokens than these take 2, 4, 8, 16 words of parity bits: with fewer, unrelated sets would pass for near ones.
+WIDER = np.array([64, 160, 400, 900])
 
 
 TOKEN_BITS = 44
@@ -133,8 +135,44 @@ def rarity(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return np.minimum(sketch[0][a], sketch[1][b])
 
 
+def parity(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each set (its tokens stand together in ``h``): 64-bit words, and where those of each set begin.
+
+    The bit of a token is its hash modulo the number of bits. The first 1, 2, 4, ... words of a set tell its
+    parity in 64, 128, 256, ... bits: a half that is folded onto the other is kept behind it (see ``differing``).
+    """
+    width = np.left_shift(1, np.searchsorted(WIDER, size))
+    begin = np.concatenate([[0], np.cumsum(width)])
+    flat = np.empty(begin[-1], np.uint64)
+    m = mix(h)
+    for w in np.unique(width).tolist():
+        of = width == w
+        n = size[of]
+        mine = m[np.repeat(of, size)]
+        edge = np.cumsum(n) - n
+        bit = np.left_shift(np.uint64(1), mine & np.uint64(63))
+        word = (mine >> np.uint64(6)) & np.uint64(w - 1)
+        words = np.stack([np.bitwise_xor.reduceat(np.where(word == q, bit, np.uint64(0)), edge) for q in range(w)])
+        half = w // 2
+        while half:
+            words[:half] ^= words[half : 2 * half]
+            half //= 2
+        flat[begin[:-1][of][:, None] + np.arange(w)] = words.T
+    return flat, begin
+
+
+def differing(words: np.ndarray) -> np.ndarray:
+    """Bits set in rows of folded words as ``parity`` writes them, 1, 2, 4, ... to a row: the least number of differing
+    tokens, where the words are those of two sets xor-ed."""
+    full = words[:, :1]
+    while full.shape[1] < words.shape[1]:
+        upper = words[:, full.shape[1] : 2 * full.shape[1]]
+        full = np.concatenate([full ^ upper, upper], axis=1)
+    return np.bitwise_count(full).sum(axis=1, dtype=np.int64)
+
+
 def prefixes(rows: DataFrame, sketch, min_tokens: int, num: int, den: int) -> DataFrame:
-    """(k, sig, b1, b2): prefix token (44 bits) with the set's size (16 bits, saturated), signature, 128 parity bits.
+    """(k, sig, bits, more): prefix token (44 bits) with the set's size (16 bits, saturated), signature, first and further words of parity bits.
 
     Equal sets of one task are written once; tokens that only one line holds cannot meet and are left out.
     """
@@ -156,29 +194,29 @@ def prefixes(rows: DataFrame, sketch, min_tokens: int, num: int, den: int) -> Da
             if len(seen) > 2_000_000:
                 seen.clear()
             seen.update(sig[fresh].tolist())
-            m = mix(h)
-            bit = np.left_shift(np.uint64(1), m & np.uint64(63))
-            low = (m >> np.uint64(6)) & np.uint64(1) == 0
-            b1 = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), edge)
-            b2 = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), edge)
             keep = np.repeat(fresh, size)
-            h, at, df = h[keep], at[keep], rarity(h[keep], counts)
+            h, size, sig = h[keep], size[fresh], sig[fresh]
             if not len(h):
                 continue
+            at, df = np.repeat(np.arange(len(size)), size), rarity(h, counts)
+            words, own = parity(h, size)
             # by line, rarity (in steps of 1/64 of a doubling), hash: ties of the packed number keep the order by hash
             step = (np.log2(df) * 64).astype(np.uint64)
-            line = (np.cumsum(np.diff(at, prepend=at[0]) != 0)).astype(np.uint64)
-            order = np.argsort((line << np.uint64(44)) | (step << np.uint64(32)) | (h >> np.uint64(TOKEN_BITS - 32)), kind="stable")
-            h, at, df = h[order], at[order], df[order]
+            order = np.argsort((at.astype(np.uint64) << np.uint64(44)) | (step << np.uint64(32)) | (h >> np.uint64(TOKEN_BITS - 32)), kind="stable")
+            h, df = h[order], df[order]
             n = size[at]
-            begin = np.flatnonzero(np.diff(at, prepend=-1))
-            place = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+            place = np.arange(len(h)) - (np.cumsum(size) - size)[at]
             use = (place <= n - -(-n * num // den)) & (df > 1)
             h, at = h[use], at[use]
             k = (h << np.uint64(16)) | np.minimum(size[at], 0xFFFF).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(sig[at]), pa.array(signed(b1[at])), pa.array(signed(b2[at]))], names=["k", "sig", "b1", "b2"])
+            count = np.diff(own)[at] - 1
+            stop = np.cumsum(count)
+            further = words[np.repeat(own[at] + 1 - (stop - count), count) + np.arange(count.sum())]
+            ends = pa.array(np.append(0, 8 * stop), pa.int32())
+            more = pa.Array.from_buffers(pa.binary(), len(at), [None, ends.buffers()[1], pa.py_buffer(further)])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(sig[at]), pa.array(signed(words[own[at]])), more], names=["k", "sig", "bits", "more"])
 
-    return rows.select("text").mapInArrow(run, "k long, sig long, b1 long, b2 long")
+    return rows.select("text").mapInArrow(run, "k long, sig long, bits long, more binary")
 
 
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,8 +237,18 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def meet(k: np.ndarray, sig: np.ndarray, b1: np.ndarray, b2: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def further_words(more: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit words of a binary column end to end, and where each row's begin."""
+    _, ends, data = more.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(more.type) else np.int32)[more.offset : more.offset + len(more) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return data[ends[0] : ends[-1]].copy().view(np.uint64), (ends - ends[0]) // 8
+
+
+def meet(k: np.ndarray, sig: np.ndarray, bits: np.ndarray, more: pa.Array, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate links among prefix rows sorted by k (token, then size): each set to the smallest row of its component."""
+    words, own = further_words(more)
+    width = np.diff(own) + 1
     size = (k & np.uint64(0xFFFF)).astype(np.int64)
     token = np.cumsum(np.diff(k >> np.uint64(16), prepend=np.uint64(0)) != 0)
     sortable = token * (1 << 17) + size
@@ -216,8 +264,20 @@ def meet(k: np.ndarray, sig: np.ndarray, b1: np.ndarray, b2: np.ndarray, num: in
         c = count[at:to]
         i = np.repeat(np.arange(at, to), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        differ = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
+        differ = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
         ok = (differ * (num + den) <= (size[i] + size[j]) * (den - num)) | (size[j] == 0xFFFF)
+        i, j = i[ok], j[ok]
+        both = np.minimum(width[i], width[j])
+        ok = np.ones(len(i), bool)
+        for w in np.unique(both[both > 1]).tolist():
+            those = np.flatnonzero(both == w)
+            for a in range(0, len(those), PAIRS // w):
+                here = those[a : a + PAIRS // w]
+                x, y = i[here], j[here]
+                rest = np.arange(w - 1)
+                rest = words[own[x][:, None] + rest] ^ words[own[y][:, None] + rest]
+                differ = differing(np.concatenate([(bits[x] ^ bits[y])[:, None], rest], axis=1))
+                ok[here] = (differ * (num + den) <= (size[x] + size[y]) * (den - num)) | (size[y] == 0xFFFF)
         i, j = node[i[ok]], node[j[ok]]
         ok = i != j
         pair = np.unique(i[ok] * len(k) + j[ok])
@@ -236,39 +296,39 @@ def candidates(posted: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between sets that share a prefix token and pass the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         rows, hub = 0, None  # hub: (token, set) of a token whose list fills the buffer
 
         def out(a, b):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        def flush(block: np.ndarray):
-            k = block[0]
+        def flush(block: pa.Table):
             if hub is not None:
-                same = k >> 16 == hub[0]
-                yield out(block[1][same], np.full(int(same.sum()), hub[1]))
-                block, k = block[:, ~same], k[~same]
-            if len(k):
-                yield out(*meet(k.view(np.uint64), block[1], block[2].view(np.uint64), block[3].view(np.uint64), num, den))
+                same = block.column("k").to_numpy() >> 16 == hub[0]
+                yield out(block.column("sig").to_numpy()[same], np.full(int(same.sum()), hub[1]))
+                block = block.filter(pa.array(~same)).combine_chunks()
+            if block.num_rows:
+                k, sig, bits = (block.column(c).to_numpy() for c in ("k", "sig", "bits"))
+                yield out(*meet(k.view(np.uint64), sig, bits.view(np.uint64), block.column("more").chunk(0), num, den))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            held.append(batch)
             rows += batch.num_rows
             if rows < BUFFER:
                 continue
-            block = np.concatenate(held, axis=1)
-            token = block[0] >> 16
+            block = pa.Table.from_batches(held).combine_chunks()
+            token = block.column("k").to_numpy() >> 16
             cut = int(np.searchsorted(token, token[-1]))
             if cut == 0:
                 if hub is None or hub[0] != token[-1]:
-                    hub = (token[-1], int(block[1][0]))
-                cut = block.shape[1]
-            yield from flush(block[:, :cut])
-            held, rows = [block[:, cut:]], block.shape[1] - cut
+                    hub = (token[-1], int(block.column("sig")[0].as_py()))
+                cut = rows
+            yield from flush(block.slice(0, cut))
+            held, rows = block.slice(cut).to_batches(), rows - cut
         if rows:
-            yield from flush(np.concatenate(held, axis=1))
+            yield from flush(pa.Table.from_batches(held).combine_chunks())
 
     near = posted.repartition(F.shiftright("k", 16)).sortWithinPartitions("k")  # by token, then size
     return near.mapInArrow(run, "a long, b long").where("a <> b")

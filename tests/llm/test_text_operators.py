@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,43 @@ def test_line_dedup_fetches_only_texts_with_wanted_lines(spark, monkeypatch):
     assert fetched == [4]
 
 
+def test_line_dedup_long_lines_do_not_chain(spark, monkeypatch):
+    """Long lines that share some words are no candidates: their parity bits do not saturate."""
+    rng = random.Random(12)
+    pool = [f"v{rng.randrange(10**9)}" for _ in range(4000)]
+    lines = [rng.sample(pool, n) for n in (300, 700, 120) for _ in range(16)]
+    texts = [" ".join(x) for x in lines] + [" ".join(x[5:] + ["tail"]) for x in lines[::8]]
+    fetched = []
+    near = line_dedup.only_near
+
+    def count(docs, placed):
+        fetched.append(placed.count())
+        return near(docs, placed)
+
+    monkeypatch.setattr(line_dedup, "only_near", count)
+    found = line_dedup.repeated_lines(docs_of(spark, texts))
+    assert {tuple(r) for r in found.collect()} == brute_lines(texts, 80, 100, 5) == {(k, 0) for k in range(48, 54)}
+    assert fetched == [12]
+
+
+def test_line_dedup_parity_bounds_the_difference():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 5, 64, 65, 160, 161, 400, 401, 900, 901, 3000, 40])
+    pool = rng.integers(0, 1 << 44, 4000, dtype=np.uint64)
+    sets = [rng.choice(pool, n, replace=False) for n in sizes]
+    words, begin = line_dedup.parity(np.concatenate(sets), sizes)
+    assert np.diff(begin).tolist() == [1, 1, 1, 2, 2, 4, 4, 8, 8, 16, 16, 1]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            least = min(begin[i + 1] - begin[i], begin[j + 1] - begin[j])
+            w = 1
+            while w <= least:
+                got = line_dedup.differing((words[begin[i] : begin[i] + w] ^ words[begin[j] : begin[j] + w])[None])[0]
+                odd = np.bincount((common.mix(np.concatenate([x, y])) % np.uint64(64 * w)).astype(np.int64), minlength=64 * w) % 2
+                assert got == odd.sum() <= len(set(x.tolist()) ^ set(y.tolist()))
+                w *= 2
+
+
 @pytest.mark.parametrize("block", [512, 4])
 def test_line_dedup(spark, block):
     rng = random.Random(4)
